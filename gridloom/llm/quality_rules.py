@@ -107,6 +107,9 @@ def votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("votes", F.array(*(vote(x, good, bad) for _, x, good, bad in RULES)))
 
 
+#: The bad thresholds of RULES are set so wide that on good documents a rule votes bad at most this often.
+RARE = 0.002
+
 Table = list[tuple[list[float], list[float]]]
 
 
@@ -120,10 +123,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
     any pattern the start stands.
     """
     n = len(patterns[0][0]) if patterns else len(RULES)
-    prior, how = 0.9, [([0.3, 0.1, 0.6], [0.01, 0.1, 0.89])] * n
+    prior, how = 0.9, [([0.3, 0.05, 0.65], [0.001, 0.05, 0.949])] * n
     for _ in range(rounds):
         total = good = 0.0
-        seen = [([0.3, 0.1, 0.6], [0.01, 0.1, 0.89]) for _ in range(n)]
+        seen = [([0.3, 0.05, 0.65], [0.001, 0.05, 0.949]) for _ in range(n)]
         for vote, count in patterns:
             p = posterior(vote, prior, how)
             total += count
@@ -141,7 +144,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple
 
 def _bounded(bad: list[float], good: list[float]) -> tuple[list[float], list[float]]:
     bad, good = [x / sum(bad) for x in bad], [x / sum(good) for x in good]
-    low, high = max(0.1, bad[0]), min(0.01, good[0])
+    low, high = max(0.1, bad[0]), min(RARE, good[0])
     scale = lambda row, first: [first, *(x * (1 - first) / max(1e-12, 1 - row[0]) for x in row[1:])]
     bad, good = scale(bad, low), scale(good, high)
     return [max(1e-4, x) for x in bad], [max(1e-4, x) for x in good]
