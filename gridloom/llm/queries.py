@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules
+from . import bpe, license_scan, quality_rules
 from .common import table
 
 
+def vocabulary_path() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """Counts and digests of encoded documents."""
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -20,6 +42,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_license_scan, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_bpe, op7_license_scan, op8_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op7_license_scan": license_scan.ORACLE_SQL}
