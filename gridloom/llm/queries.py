@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash, mixing, quality_rules
+from . import bpe, license_scan, minhash, mixing, quality_rules, toxicity
 from .common import table
 
 
@@ -41,6 +41,17 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Scores of ``docs`` by models of the labelled documents table."""
+    train = toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, train)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -50,6 +61,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op5_bpe, op7_license_scan, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.oracle_sql(2, 80, 100), "op7_license_scan": license_scan.ORACLE_SQL}

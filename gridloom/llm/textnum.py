@@ -114,3 +114,28 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     import hashlib
 
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def prefix_hashes(off: np.ndarray, data: np.ndarray, lengths: tuple[int, ...], member: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """``word_hashes`` and, for each length, the hashes of the words' first bytes (a shorter word is its own prefix)."""
+    bounds, words = word_hashes(off, data, member)
+    out = {}
+    if len(words):
+        inside = member[data]
+        before = np.zeros(len(data) + 1, dtype=bool)
+        before[1:] = inside
+        before[off] = False
+        start = np.flatnonzero(inside & ~before[:-1])
+        letters = np.cumsum(np.append(0, inside))
+        stop = np.append(letters[start[1:]], letters[-1])
+        size = stop - letters[start]
+        total = np.zeros(len(words), dtype=_U)
+        power = _U(1)
+        with np.errstate(over="ignore"):
+            for i in range(max(lengths)):
+                live = size > i
+                total[live] += _VALUES[data[start[live] + i]] * power
+                power = power * _P
+                if i + 1 in lengths:
+                    out[i + 1] = mix(total + np.minimum(size, i + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
+    return bounds, words, {n: out.get(n, words) for n in lengths}
