@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash, mixing, quality_rules, toxicity
+from . import bpe, license_scan, minhash, mixing, quality_knn, quality_rules, toxicity
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_knn.score_quality(docs, quality_knn.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(mod=5, rest=0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def vocabulary_path() -> str:
     """The vocabulary file that the queries use."""
     import public_tokenizers
@@ -61,6 +67,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op4_quality_knn, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.oracle_sql(2, 80, 100), "op7_license_scan": license_scan.ORACLE_SQL}
