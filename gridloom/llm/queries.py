@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash, mixing, quality_knn, quality_rules, toxicity
+from . import bpe, license_scan, minhash, mixing, pii, quality_knn, quality_rules, toxicity
 from .common import table
 
 
@@ -67,6 +67,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op4_quality_knn, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules)}
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates; a deployment sets its own."""
+    return spark.conf.get("spark.gridloom.pii.key", "unset key of the test tables")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op4_quality_knn, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules, op9_pii)}
 
 ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.oracle_sql(2, 80, 100), "op7_license_scan": license_scan.ORACLE_SQL}
