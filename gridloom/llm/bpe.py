@@ -14,8 +14,11 @@ letters, a word-end suffix and no decoder (decoding joins tokens by a space).
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+import sys
+import types
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -28,8 +31,11 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A character that is no byte letter, for the word end.
 END = "\ue000"
 BATCH_BYTES = 4 << 20
-#: Chunks kept between batches, a cache only: beyond this it starts anew.
-CACHE = 300_000
+NEVER = 1 << 40
+#: Pieces of text in one generation of the cache; two generations are kept.
+CACHE = 350_000
+#: Words of more bytes are merged one by one.
+LONG = 40
 
 
 def byte_letters() -> list[str]:
@@ -54,7 +60,9 @@ class WordBPE:
         self.tokens = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
-        self.longest = max(map(len, self.vocab))
+        self.longest: dict[str, int] = {}
+        for t in self.vocab:
+            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
         n = self.size = max(self.tokens) + 1
         self.rank, self.left, self.right = np.full(n, -1), np.arange(n), np.arange(n)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -70,21 +78,23 @@ class WordBPE:
         order = np.argsort(keys)
         self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.pair_ranks = np.append(np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order], 0)
+        self.result = np.array([z for _, z in self.merges.values()], dtype=np.int32)  # in rank order
         self.letters = dict(enumerate(byte_letters()))
+        self.base = np.array([[self.vocab[c + end] for c in byte_letters()] for end in ("", END)], dtype=np.int32)
         self.split = regex.compile(SPLIT)
         self.spaces = regex.compile(r"\s+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.exact = self.seen = 0
 
     # Words -----------------------------------------------------------------
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match, or None where no token fits."""
-        out, i, vocab = [], 0, self.vocab
+        out, i, vocab, longest = [], 0, self.vocab, self.longest
         while i < len(word):
-            for j in range(min(len(word), i + self.longest), i, -1):
+            for j in range(min(len(word), i + longest.get(word[i : i + 2], 1)), i, -1):
                 if (t := vocab.get(word[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -114,10 +124,47 @@ class WordBPE:
             live = live[go]
         return ok
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        """Exact merging in rank order, leftmost first."""
-        units = [*word[:-2], word[-2:]]
-        ids: list[int | None] = [self.vocab[u] for u in units]
+    def ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of merging each pair, or NEVER."""
+        keys = x.astype(np.int64) * self.size + y
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where((self.pair_keys[at] == keys) & (x >= 0) & (y >= 0), self.pair_ranks[at], NEVER)
+
+    def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Exact merging in rank order, leftmost first, one merge of all words at a time."""
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        place = np.arange(width)
+        ids = np.full((len(words), width), -1, dtype=np.int32)
+        ids[place < sizes[:, None]] = self.base[0][np.frombuffer(b"".join(words), dtype=np.uint8)]
+        ids[np.arange(len(words)), sizes - 1] = self.base[1][[w[-1] for w in words]]
+        rank = np.full(ids.shape, NEVER, dtype=np.int64)
+        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        rows, done = np.arange(len(words)), [()] * len(words)
+        while len(rows):
+            j = rank.argmin(axis=1)
+            each = np.arange(len(rows))
+            best = rank[each, j]
+            live = best < NEVER
+            for r, t in zip(rows[~live].tolist(), ids[~live].tolist()):
+                done[r] = tuple(x for x in t if x >= 0)
+            rows, ids, rank, j, best = rows[live], ids[live], rank[live], j[live], best[live]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            ids[each, j] = self.result[best]
+            shift = np.minimum(place + (place > j[:, None]), width - 1)
+            ids = np.take_along_axis(ids, shift, axis=1)
+            rank = np.take_along_axis(rank, shift, axis=1)
+            ids[:, -1], rank[:, -1] = -1, NEVER
+            for k, some in ((j - 1, j > 0), (j, j < width - 1)):
+                at = each[some]
+                rank[at, k[some]] = self.ranks(ids[at, k[some]], ids[at, k[some] + 1])
+        return done
+
+    def merge(self, word: bytes) -> tuple[int, ...]:
+        """Exact merging of one word of any length."""
+        ids: list[int | None] = [*self.base[0][list(word[:-1])].tolist(), int(self.base[1][word[-1]])]
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
         heap = [(*m, i, x, y) for i, (x, y) in enumerate(zip(ids, ids[1:])) if (m := self.merges.get((x, y)))]
         heapq.heapify(heap)
@@ -136,8 +183,11 @@ class WordBPE:
         return tuple(t for t in ids if t is not None)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words (byte letters with the word end)."""
-        proposals = [self.propose(w) for w in words]
+        """Encode new words."""
+        if not words:
+            return
+        letters = self.letters
+        proposals = [self.propose((w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)) + END) for w in words]
         flat = np.fromiter(chain.from_iterable(p or () for p in proposals), dtype=np.int64)
         sizes = np.array([len(p or ()) for p in proposals])
         word = np.repeat(np.arange(len(words)), sizes)
@@ -147,8 +197,13 @@ class WordBPE:
         failing = {*word[inner[~good]].tolist(), *(i for i, p in enumerate(proposals) if p is None)}
         self.seen += len(words)
         self.exact += len(failing)
-        for i, (w, p) in enumerate(zip(words, proposals)):
-            self.words[w] = self.merge(w) if i in failing else tuple(p)
+        raw = {i: words[i].encode() for i in failing}
+        short = sorted((i for i, w in raw.items() if len(w) <= LONG), key=lambda i: len(raw[i]))
+        exact = {i: self.merge(w) for i, w in raw.items() if len(w) > LONG}
+        for k in range(0, len(short), 4096):
+            part = short[k : k + 4096]
+            exact.update(zip(part, self.merge_many([raw[i] for i in part])))
+        self.new.update((w, exact[i] if i in exact else tuple(p)) for i, (w, p) in enumerate(zip(words, proposals)))
 
     # Texts -----------------------------------------------------------------
 
@@ -162,15 +217,25 @@ class WordBPE:
         return text.split()
 
     def prepare(self, chunks: set[str]) -> None:
-        """Have every chunk's token ids and decoded text at hand."""
-        if len(self.chunks) > CACHE:
-            self.chunks, self.words = {}, {}
-        letters = self.letters
-        spelled = {c: [w.encode().decode("latin-1").translate(letters) + END for w in self.split.findall(c)] for c in chunks if c not in self.chunks}
-        self.learn(list({w for ws in spelled.values() for w in ws if w not in self.words}))
-        for c, ws in spelled.items():
-            ids = tuple(chain.from_iterable(self.words[w] for w in ws))
-            self.chunks[c] = (ids, " ".join(map(self.tokens.__getitem__, ids)))
+        """Have every chunk's token ids in the newer generation of the cache."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        unknown = []
+        for c in chunks:
+            if c not in new:
+                if (ids := old.get(c)) is not None:
+                    new[c] = ids
+                else:
+                    unknown.append(c)
+        split = self.split.findall
+        cut = {c: split(c) for c in unknown if not (c.isascii() and c.isalpha())}
+        words = {w for ws in cut.values() for w in ws}
+        words.update(c for c in unknown if c not in cut)
+        self.learn([w for w in words if w not in new])
+        for c, ws in cut.items():
+            if len(ws) != 1:
+                new[c] = tuple(chain.from_iterable(new[w] for w in ws))
 
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Token ids and decoded text of each text."""
@@ -179,17 +244,17 @@ class WordBPE:
             parts = self.cut.split(t) if self.cut and "<|" in t else [t]
             pieces.append([p if i % 2 else self.chunks_of(p) for i, p in enumerate(parts)])
         self.prepare({c for ps in pieces for p in ps if isinstance(p, list) for c in p})
-        known = self.chunks
+        known, token = self.new.__getitem__, self.tokens.__getitem__
         ids, decoded = [], []
         for ps in pieces:
-            found = []
+            found: list[int] = []
             for p in ps:
                 if isinstance(p, str):
-                    found.append(((self.special[p],), p))
+                    found.append(self.special[p])
                 else:
-                    found += map(known.__getitem__, p)
-            ids.append(list(chain.from_iterable(f[0] for f in found)))
-            decoded.append(" ".join(f[1] for f in found))
+                    found.extend(chain.from_iterable(map(known, p)))
+            ids.append(found)
+            decoded.append(" ".join(map(token, found)))
         return ids, decoded
 
     def decode(self, ids: list[int]) -> str:
@@ -205,14 +270,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     they are, null or repeated; an empty table gives an empty result.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        read = f.read()
+    stamp = hashlib.sha256(read.encode()).hexdigest()
+    content = docs.sparkSession.sparkContext.broadcast(read)
     ids = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # lives as long as the worker
+        if getattr(kept, "bpe", (None,))[0] != stamp:
+            kept.bpe = (stamp, WordBPE(content.value))
+        bpe = kept.bpe[1]
         for whole in batches:
             for batch in _pieces(whole):
-                bpe = bpe or WordBPE(content.value)
                 found, decoded = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])
                 offsets = np.cumsum([0, *map(len, found)])
                 flat = pa.array(np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1])))
