@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, minhash, mixing, pii, quality_knn, quality_rules, toxicity
+from . import bpe, license_scan, minhash, mixing, nn_descent, pii, quality_knn, quality_rules, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages"))))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -76,6 +80,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op3_mixing, op4_quality_knn, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules, op9_pii)}
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_warc, op3_mixing, op4_quality_knn, op5_bpe, op6_toxicity, op7_license_scan, op8_quality_rules, op9_pii, op10_nn_descent)}
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.oracle_sql(2, 80, 100), "op7_license_scan": license_scan.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.oracle_sql(2, 80, 100), "op2_warc": warc.ORACLE_SQL, "op7_license_scan": license_scan.ORACLE_SQL}
