@@ -1,17 +1,89 @@
-"""The corpus pipeline: documents in, token digests out."""
+"""The corpus pipeline: documents in, token digests out.
+
+Stages, in order: toxic documents go; one document of each group of near
+duplicates stays; personal data gets surrogates; sources are mixed to target
+weights; what is left is encoded and decoded.  Each stage takes what the one
+before kept, as Parquet, and all but the last give the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, minhash, mixing, pii, queries
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents whose probability of being toxic reaches this go.
+TOXIC_AT = 0.7
+
+
+def _once(docs: DataFrame, column: str) -> DataFrame:
+    """One row for each id, so that a join by id multiplies nothing."""
+    return docs.groupBy("doc_id").agg(F.max(column).alias(column))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below TOXIC_AT.  Where rows share an id, the highest score decides for all; rows with a null id stay."""
+    scores = queries.toxicity_scores(spark, docs, sf_dir)
+    rejected = _once(scores.where(F.col("score") >= TOXIC_AT), "score").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with five-word shingles of similarity 0.8 or more; of rows that share an id one stays, all with a null id stay."""
+    found = minhash.near_duplicates(docs, k=5, num=80, den=100)
+    dropped = found.where("not kept").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
 
-STAGES: list = []
 
+def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars counts the new text."""
+    return _measured(pii.replace_pii(docs, queries.pii_key(spark)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: repeated, whole or in part, as their blocks are taken."""
+    return _measured(mixing.mixed_documents(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix."""
+    return queries.token_digests(bpe.encode_documents(docs, queries.vocabulary_path()))
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("pii", replace_private),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: SQL can't express the models, sketches and draws; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table."""
+    """Apply all stages to the documents table; what a stage gives is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        import tempfile
+
+        shared = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
