@@ -36,8 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group with five-word shingles of similarity 0.8 or more; of rows that share an id one stays, all with a null id stay."""
     found = minhash.near_duplicates(docs, k=5, num=80, den=100)
     dropped = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return kept.select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
