@@ -53,8 +53,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Scores of ``docs`` by models of the labelled documents table."""
-    train = toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, train)
+    counted, calibration = toxicity.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, counted, calibration)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
