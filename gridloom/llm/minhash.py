@@ -9,12 +9,14 @@ likely as the Jaccard similarity.
 
 1. Documents with the same shingle set fall together by fingerprint.
 2. Bands of registers give each distinct set its buckets.
-3. Star rounds: each set is paired with one hub of its buckets; pairs whose
+3. Stars: each set is paired with a few hubs of its buckets; pairs whose
    estimated similarity is plausible are verified on the full sets, and verified
    links merge components.  Only buckets with several components go on.
-4. The rest: in the buckets left, every pair of sets in different components
-   that the joint likelihood of their registers finds plausible is verified.
-   Buckets are cut into blocks, so no task holds more than two blocks of one.
+4. The rest: in the buckets left, sets in different components are compared by
+   the joint likelihood of their registers.  First the most similar pairs of a
+   set and another component are verified, as one link merges them; then, in
+   what is still apart, every plausible pair is.  Buckets are cut into blocks,
+   so no task holds more than two blocks of one.
 
 Groups are never expanded into pairs beyond that, and no link between different
 components is left unexamined.
@@ -38,12 +40,15 @@ from .textnum import fingerprint, mix, shingle_sets
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-#: Pairs are verified unless their estimate lies this far below the threshold (5 standard errors).
-SLACK = 0.14
-STAR_ROUNDS = 3
+#: Pairs are verified unless their estimate lies this far below the threshold (more than 4 standard errors).
+SLACK = 0.12
+#: Hubs for each set.
+STARS = 3
 BLOCK = 256
 #: Sets compared with one hub in one run of rows.
 CHUNK = 64
+#: Pairs of a set and another component that each block verifies first.
+FIRST = 3
 
 _U = np.uint64
 
@@ -130,7 +135,7 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """(key, rep) of every band of (rep, regs)."""
+    """(key, band, rep) of every band of (rep, regs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +147,10 @@ def buckets(reps: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     key = mix(key * _U(0x9DDFEA08EB382D69) + regs[:, :, r])
             rep = np.repeat(batch.column("rep").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(rep)], ["key", "rep"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep)], ["key", "band", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "key bigint, rep bigint")
+    return reps.select("rep", "regs").mapInArrow(run, "key bigint, band int, rep bigint")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
@@ -196,18 +202,34 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each set with the STARS hubs that it shares most bands with.
+
+    Every bucket names its least sets by STARS hash orders as hubs.  A set meets
+    at most BANDS * STARS of them; sharing many bands is being similar, so the
+    few that are verified are near ones.
+    """
+    order = lambda i: F.xxhash64("rep", F.lit(i))
+    hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("rep", order(i)) for i in range(STARS)))).alias("hubs"))
+    met = shared.join(hubs, "key").select(F.col("rep").alias("b"), F.explode("hubs").alias("a")).where("a != b")
+    bands = met.groupBy("b", "a").agg(F.count("*").alias("n"))
+    best = bands.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, STARS).alias("best"))
+    return best.select(F.explode("best.a").alias("a"), "b")
+
+
 def left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, comp) of the buckets that hold more than one component."""
+    """(key, band, rep, comp) of the buckets that hold more than one component."""
     labelled = shared.join(comps, "rep")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     return labelled.join(mixed, "key", "left_semi")
 
 
-def cross_pairs(rest: DataFrame, reps: DataFrame, share: float) -> DataFrame:
-    """Plausible pairs of different components in the buckets of ``rest``.
+def cross_pairs(rest: DataFrame, reps: DataFrame, share: float, first: int | None = None) -> DataFrame:
+    """Plausible pairs of different components in the buckets of ``rest``, or the ``first`` most similar of each set and component in a block.
 
     Sets outside their bucket's largest component meet all sets of the bucket;
-    both sides are cut into blocks of about BLOCK sets.
+    both sides are cut into blocks of about BLOCK sets.  A pair is given by the
+    first band that it shares only; that bucket too holds both components.
     """
     spark = rest.sparkSession
     counts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -216,19 +238,28 @@ def cross_pairs(rest: DataFrame, reps: DataFrame, share: float) -> DataFrame:
     all_ = rest.join(main, "key").join(reps.select("rep", F.col("n").alias("size"), "regs"), "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n))
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    cols = ["rep", "comp", "size", "regs"]
+    cols = ["band", "rep", "comp", "size", "regs"]
     left = all_.where("comp != main").select("key", deal("rows").alias("i"), others("cols").alias("j"), F.lit(0).alias("side"), *cols)
     right = all_.select("key", deal("cols").alias("j"), others("rows").alias("i"), F.lit(1).alias("side"), *cols).select("key", "i", "j", "side", *cols)
     rows = left.union(right).repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
-    def block_pairs(side: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block_pairs(side: np.ndarray, band: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = int(np.searchsorted(side, 1))
         out = []
+        banded = regs.reshape(len(regs), BANDS, ROWS)
         for x in range(cut):
-            y = cut + np.flatnonzero((comp[cut:] != comp[x]))
+            y = cut + np.flatnonzero(comp[cut:] != comp[x])
+            if len(y) and band[x]:
+                y = y[~(banded[y, : band[x]] == banded[x, : band[x]]).all(axis=2).any(axis=1)]
             if len(y):
                 ok = plausible(np.broadcast_to(regs[x], (len(y), regs.shape[1])), regs[y], np.full(len(y), size[x]), size[y], share)
-                out.append(np.stack([np.full(ok.sum(), rep[x]), rep[y[ok]]]))
+                y = y[ok]
+                if first and len(y):
+                    alike = (regs[y] == regs[x]).sum(axis=1)
+                    y = y[np.lexsort((-alike, comp[y]))]
+                    starts = np.flatnonzero(np.append(True, comp[y][1:] != comp[y][:-1]))
+                    y = y[np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y)))) < first]
+                out.append(np.stack([np.full(len(y), rep[x]), rep[y]]))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         return both.min(axis=0), both.max(axis=0)
 
@@ -237,7 +268,7 @@ def cross_pairs(rest: DataFrame, reps: DataFrame, share: float) -> DataFrame:
 
         def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(parts).combine_chunks()
-            a, b = block_pairs(*(t.column(c).to_numpy() for c in ("side", "rep", "comp", "size")), _registers(t.column("regs").combine_chunks()))
+            a, b = block_pairs(*(t.column(c).to_numpy() for c in ("side", "band", "rep", "comp", "size")), _registers(t.column("regs").combine_chunks()))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         last = None
@@ -277,19 +308,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_rows = buckets(reps)
     several = band_rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     shared = checkpoint(band_rows.join(several, "key", "left_semi"))
-    comps = shared.select("rep").distinct().withColumn("comp", F.col("rep"))
-    comps, links = checkpoint(comps), None
-    for step in range(STAR_ROUNDS + 1):
-        rest = checkpoint(left_over(shared, comps))
-        if rest.isEmpty():
-            break
-        if step < STAR_ROUNDS:
-            hub = rest.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(step))).alias("hub"))
-            met = rest.join(hub, "key").where(F.col("hub.comp") != F.col("comp"))
-            pairs = met.groupBy(F.col("rep").alias("b")).agg(F.min_by("hub.rep", F.xxhash64("hub.rep", F.lit(step))).alias("a")).select("a", "b")
-            pairs = likely(pairs, reps, share)
+    comps, links = shared.select("rep").distinct().withColumn("comp", F.col("rep")), None
+    for step in ("stars", "first", "rest"):
+        if step == "stars":
+            pairs = likely(star_pairs(shared), reps, share)
         else:
-            pairs = cross_pairs(rest, reps, share)
+            rest = checkpoint(left_over(shared, comps))
+            pairs = cross_pairs(rest, reps, share, FIRST if step == "first" else None)
         new = verified(checkpoint(pairs), texts, k, num, den)
         links = checkpoint(new if links is None else links.union(new))
         merged = connected_components(links)
