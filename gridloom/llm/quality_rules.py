@@ -85,8 +85,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ).select("doc_id", "c.*", "n_symbols", "n_dup_lines", "n_shouted", "n_runs", "n_numbers", "n_lines")
 
 
-def _ratio(part: str, whole: str = "n_words") -> Column:
-    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
+def _ratio(part: str, whole: str = "n_words"):
+    """A share of two counts, made when it is asked for."""
+    return lambda: F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
 #: (name, the measure, good at or below, bad above): between the two it abstains.
@@ -97,14 +98,14 @@ RULES = [
     ("repeats", _ratio("n_repeat_words"), 0.1, 0.3),
     ("lines", _ratio("n_dup_lines", "n_lines"), 0.1, 0.4),
     ("numbers", _ratio("n_numbers"), 0.1, 0.4),
-    ("length", F.abs(_ratio("word_chars") - 6.0), 2.5, 6.0),
+    ("length", lambda: F.abs(_ratio("word_chars")() - 6.0), 2.5, 6.0),
 ]
 
 
 def votes(measured: DataFrame) -> DataFrame:
     """Adds the array ``votes``; a document without words gets only abstentions."""
     vote = lambda x, good, bad: F.when(F.col("n_words") == 0, 0).when(x <= good, 1).when(x > bad, -1).otherwise(0)
-    return measured.withColumn("votes", F.array(*(vote(x, good, bad) for _, x, good, bad in RULES)))
+    return measured.withColumn("votes", F.array(*(vote(x(), good, bad) for _, x, good, bad in RULES)))
 
 
 #: The bad thresholds of RULES are set so wide that on good documents a rule votes bad at most this often.
