@@ -2,9 +2,9 @@
 
 A revisit record says that a page had not changed; its body is that of the
 latest earlier full response for the same canonical URL.  The as-of join runs
-in two levels so that a URL with a third of all records is no single task: time
-is cut into slots, each (URL, slot) is searched by itself, and the last
-responses of the slots, one row for each, are carried forward.
+in levels so that a URL with a third of all records is no single task: time is
+cut into slots, each (URL, slot) is searched by itself, and the last responses
+of the slots, one row for each, are carried forward in the same way.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import checkpoint
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=|$)"
 #: Headers of a not-modified answer that never replace those of the stored response.
 NOT_MERGED = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade", "content-length", "content-encoding", "content-type", "content-range", "content-md5"]
-#: Records in one slot of time, on average.
-SLOT_ROWS = 500
+#: Records in one slot of time, on average; slots that are put in order together.
+SLOT_ROWS, FAN = 500, 1000
 
 RECORD = "record_id string, url string, ts timestamp, type string, headers map<string,string>, body binary"
 
@@ -43,20 +43,38 @@ def latest_earlier(records: DataFrame) -> DataFrame:
     """(record_id, url_key, response_id) for the revisits of (record_id, url_key, ts long, full boolean).
 
     The response is the one with the greatest (ts, record_id) among those with
-    a strictly smaller ts.  Rows with a null URL or time find none.
+    a strictly smaller ts.  Rows with a null URL or time find none.  Records of
+    one URL and time count as one before anything is put in order.
     """
     spread = records.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
     slots = max(1, spread[0] // SLOT_ROWS)
     width = max(1, ((spread[2] or 0) - (spread[1] or 0)) // slots + 1)
-    rows = records.withColumn("slot", F.expr(f"(ts - {spread[1] or 0}L) div {width}L"))
     response = F.when(F.col("full"), F.struct("ts", F.col("record_id").alias("id")))
-    near = Window.partitionBy("url_key", "slot").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    inside = rows.withColumn("near", F.max(response).over(near)).where("not full")
-    before = Window.partitionBy("url_key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = rows.groupBy("url_key", "slot").agg(F.max(response).alias("last"), F.bool_or(~F.col("full")).alias("asks"))
-    carried = carried.withColumn("far", F.max("last").over(before)).where("asks").select("url_key", "slot", "far")
-    both = inside.join(carried, ["url_key", "slot"], "left")
-    return both.select("record_id", "url_key", F.coalesce("near.id", "far.id").alias("response_id"))
+    times = records.where("url_key is not null and ts is not null").groupBy("url_key", "ts").agg(F.max(response).alias("last"), F.bool_or(~F.col("full")).alias("asks"))
+    times = checkpoint(times.withColumn("slot", F.expr(f"(ts - {spread[1] or 0}L) div {width}L")))
+    inside = times.withColumn("near", F.max("last").over(_before(["url_key", "slot"], "ts"))).where("asks")
+    carried = carry(times.groupBy("url_key", F.col("slot").alias("place")).agg(F.max("last").alias("last")), slots)
+    found = inside.join(carried.select("url_key", F.col("place").alias("slot"), "far"), ["url_key", "slot"]).select("url_key", "ts", F.coalesce("near.id", "far.id").alias("response_id"))
+    return records.where("not full").join(found, ["url_key", "ts"], "left").select("record_id", "url_key", "response_id")
+
+
+def _before(by: list[str], order: str):
+    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carry(rows: DataFrame, places: int) -> DataFrame:
+    """Adds ``far``, the greatest ``last`` of the URL's smaller places, to (url_key, place, last).
+
+    Places go together by FAN, level upon level, so that a URL that has all of
+    them is never ordered in one task.
+    """
+    if places <= FAN:
+        return rows.withColumn("far", F.max("last").over(_before(["url_key"], "place")))
+    rows = checkpoint(rows.withColumn("above", F.expr(f"place div {FAN}")))
+    upper = carry(rows.groupBy("url_key", F.col("above").alias("place")).agg(F.max("last").alias("last")), -(-places // FAN))
+    upper = upper.select("url_key", F.col("place").alias("above"), F.col("far").alias("farther"))
+    near = rows.withColumn("far", F.max("last").over(_before(["url_key", "above"], "place")))
+    return near.join(upper, ["url_key", "above"]).select("url_key", "place", "last", F.coalesce("far", "farther").alias("far"))
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
