@@ -28,8 +28,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 256
 #: Shards whose slots one task draws together.
 GROUP_SHARDS = 64
-#: Documents whose offsets are summed in one go.
-RUN = 200
+#: Documents whose offsets are summed in one go, and runs of them.
+RUN, RUNS = 200, 1000
 MAX_SOURCES = 100_000
 
 
@@ -93,8 +93,10 @@ def plan(rows: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     sources = spark.createDataFrame(table, "name string, source_no int, source_size long, target double, runs long")
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(F.col("name"))).drop("name")
     placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), "runs"))
-    before = placed.groupBy("source_no", "run").agg(F.sum("size").alias("words"))
-    before = before.select("source_no", "run", (F.sum("words").over(Window.partitionBy("source_no").orderBy("run")) - F.col("words")).alias("base"))
+    before = placed.groupBy("source_no", "run").agg(F.sum("size").alias("words")).withColumn("part", F.expr(f"run div {RUNS}"))
+    earlier = lambda by, order: F.sum("words").over(Window.partitionBy(*by).orderBy(order)) - F.col("words")
+    parts = before.groupBy("source_no", "part").agg(F.sum("words").alias("words")).select("source_no", "part", earlier(["source_no"], "part").alias("base"))
+    before = before.withColumn("within", earlier(["source_no", "part"], "run")).join(parts, ["source_no", "part"]).select("source_no", "run", (F.col("base") + F.col("within")).alias("base"))
     inner = F.sum("size").over(Window.partitionBy("source_no", "run").orderBy("doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, ["source_no", "run"])
     documents = placed.select("doc_id", "key", "source", "size", "source_no", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
@@ -184,9 +186,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col)
     twin = lambda *order: F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    key = lambda i, h: F.struct(F.col(i).alias("id"), h.alias("hash")).alias("__key")
     taken = taken_words(docs, id_col, text_col, source_col, seed).where("taken > 0")
-    taken = taken.select(F.col("key").alias("__key"), F.col("start").alias("__start"), F.col("counts").alias("__counts")).withColumn("__twin", twin("__start"))
-    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), text)).withColumn("__twin", twin(F.lit(0)))
+    taken = taken.select(key("doc_id", F.col("key")), F.col("start").alias("__start"), F.col("counts").alias("__counts")).withColumn("__twin", twin("__start"))
+    rows = docs.withColumn("__key", key(id_col, F.xxhash64(F.col(id_col), text))).withColumn("__twin", twin(F.lit(0)))
     both = rows.join(taken, ["__key", "__twin"]).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("__counts"))))
     place = lambda i: F.floor((F.col("__start") + i) / BLOCK_WORDS) - F.floor(F.col("__start") / BLOCK_WORDS)
     chosen = F.filter(F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), lambda w, i: F.get(F.col("__counts"), place(i).cast("int")) >= F.col("__copy"))
