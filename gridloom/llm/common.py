@@ -34,5 +34,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """What tells rows apart: the id, null among them, and a hash of the text."""
+    return F.struct(id_.alias("id"), F.xxhash64(text).alias("hash"))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

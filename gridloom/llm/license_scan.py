@@ -16,7 +16,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint
+from .common import ascii_lower, row_key
 from .quality_rules import _let
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,7 +114,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so repeated rows repeat their result and null ids are carried through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(F.col(id_col), text)
+    key = row_key(F.col(id_col), text)
     matches = template_matches(docs, key, text_col).groupBy("row_key").agg(F.collect_set("label").alias("added"), F.max("containment").alias("containment"))
     places = F.when(text.rlike("(?i)license"), _let(words_of(ascii_lower(text)), phrase_places)).otherwise(F.array().cast("array<struct<start:bigint,label:string>>"))
     base = docs.select(F.col(id_col).alias("doc_id"), key.alias("row_key"), n_words_of(text).alias("n_words"), places.alias("places"))

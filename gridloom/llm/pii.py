@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, row_key
 from .quality_rules import _let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -196,7 +196,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     table gives an empty result.
     """
     text = F.col(text_col)
-    row = F.xxhash64(F.col(id_col), text)
+    row = row_key(F.col(id_col), text)
     has = text.rlike(HINT) & text.rlike(PATTERN)
     found = docs.where(has).select(row.alias("__row"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("place", "value"))
     mentions = found.withColumn("kind", kind_of(F.col("value"))).withColumn("canonical", canonical_of(F.col("kind"), F.col("value")))
