@@ -80,7 +80,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--forward-band-tags", action="store_true")
     c.add_argument("--forward-ns-tags", action="store_true")
     c.add_argument("--threads", default="ALL_CPUS", help="threads of a local session")
-    c.add_argument("--use-cog-driver", action="store_true", help="accepted; there is one writer")
+    c.add_argument("--use-cog-driver", action="store_true", help="spell the options as that driver does; the layout is the same")
     c.add_argument("--tms", help="a tile matrix set's JSON file")
     c.add_argument("--co", action="append", default=[], metavar="NAME=VALUE")
     c.add_argument("--config", action="append", default=[], metavar="NAME=VALUE")
@@ -118,12 +118,16 @@ def create_arguments(args: argparse.Namespace) -> dict:
     block = args.blocksize or (min(tms.tile_width, tms.tile_height) if tms else None)
     if block:
         profile |= {"blockxsize": block, "blockysize": block}
+    config = key_values(args.config)
+    if small := args.overview_blocksize or (block if tms else None):
+        config["GDAL_TIFF_OVR_BLOCKSIZE"] = small
     kind = {"ubyte": "uint8"}.get(args.dtype, args.dtype)
     return {
         "dst_kwargs": profile, "indexes": band_list(args.bidx) if args.bidx else None, "nodata": nodata_value(args.nodata) if args.nodata else None,
         "dtype": kind, "add_mask": args.add_mask, "overview_level": args.overview_level, "overview_resampling": args.overview_resampling, "tms": tms,
         "zoom_level_strategy": args.zoom_level_strategy, "zoom_level": args.zoom_level, "aligned_levels": args.aligned_levels, "resampling": args.resampling,
         "forward_band_tags": args.forward_band_tags, "forward_ns_tags": args.forward_ns_tags, "decimation_base": args.decimation_base,
+        "in_memory": args.in_memory, "config": config, "allow_intermediate_compression": args.allow_intermediate_compression, "use_cog_driver": args.use_cog_driver, "quiet": args.quiet,
     }
 
 
@@ -161,16 +165,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = session(threads, config)
     if args.command == "create":
         translate.cog_translate(spark, args.input, args.output, **wanted)
-        if not args.quiet:
-            print(f"{args.output} is written", file=sys.stderr)
     elif args.command == "validate":
-        valid, errors, warnings = translate.cog_validate(spark, args.input, args.strict)
+        valid, errors, warnings = translate.cog_validate(spark, args.input, args.strict, config, quiet=True)
         print(f"{args.input} is {'a valid' if valid else 'NOT a valid'} cloud-optimized file")
         for title, found in (("Errors", errors), ("Warnings", warnings)):
             if found:
                 print("\n".join([f"{title}:", *(f"- {x}" for x in found)]))
     else:
-        row = translate.cog_info(spark, args.input).asDict(recursive=True)
+        row = translate.cog_info(spark, args.input, config=config).asDict(recursive=True)
         if args.json:
             drop = lambda x: {k: drop(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else x
             print(json.dumps(drop(row)))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 HEADER = """path string, driver string, width int, height int, count int, dtype string, nodata double, interleave string,
 compression string, photometric int, epsg int, transform array<double>, n_gcps int, ghost map<string,string>, internal_mask boolean,
@@ -56,11 +58,9 @@ def _columns() -> list[str]:
 def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One header row for each file; pixels are never decoded."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
+    schema = to_arrow_schema(StructType.fromDDL(HEADER))
 
-        schema = to_arrow_schema(_parse_datatype_string(HEADER))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data = content.as_buffer()

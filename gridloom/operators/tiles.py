@@ -143,6 +143,39 @@ def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int,
     return blocks.mapInArrow(shrink, PIECE).groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
 
 
+def reblocked(blocks: DataFrame, block: int, new: int, bands: int, dtype: str) -> DataFrame:
+    """Blocks of another size, cut from the old ones and put together where they span several."""
+    if new == block:
+        return blocks
+    kind = np.dtype(dtype)
+
+    def split(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["data"], dtype=kind).reshape(bands, block, block)
+                ok = np.frombuffer(r["valid"], dtype=np.uint8).reshape(block, block)
+                top, left = r["block_row"] * block, r["block_col"] * block
+                for i in range(top // new, (top + block - 1) // new + 1):
+                    for j in range(left // new, (left + block - 1) // new + 1):
+                        y, z = max(top, i * new), max(left, j * new)
+                        at = slice(y - top, (i + 1) * new - top), slice(z - left, (j + 1) * new - left)
+                        part, valid = x[(slice(None), *at)], ok[at]
+                        out.append((r["level"], i, j, y - i * new, z - j * new, 0, *valid.shape, dtype, part.tobytes() + valid.tobytes()))
+            yield _batch(out, PIECE)
+
+    def join(table: pa.Table) -> pa.Table:
+        x, ok = np.zeros((bands, new, new), dtype=kind), np.zeros((new, new), dtype=np.uint8)
+        for r in table.to_pylist():
+            h, w = r["h"], r["w"]
+            at, cutoff = (slice(r["at_row"], r["at_row"] + h), slice(r["at_col"], r["at_col"] + w)), bands * h * w * kind.itemsize
+            x[(slice(None), *at)] = np.frombuffer(r["data"][:cutoff], dtype=kind).reshape(bands, h, w)
+            ok[at] = np.frombuffer(r["data"][cutoff:], dtype=np.uint8).reshape(h, w)
+        return pa.Table.from_batches([_batch([(r["level"], r["block_row"], r["block_col"], x.tobytes(), ok.tobytes())], BLOCK)])
+
+    return blocks.mapInArrow(split, PIECE).groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
+
+
 def to_pixels(blocks: DataFrame, block: int, bands: int, dtype: str, width: int, height: int) -> DataFrame:
     """(band, row, col, value) of blocks, within the raster; invalid pixels are null."""
     kind, schema = np.dtype(dtype), "band int, row long, col long, value double"

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RADIUS = 6378137.0
+#: Where Web Mercator's square ends.
+MAX_LATITUDE = 85.05112877980659
 
 
 def output_grid(spark: SparkSession, width: int, height: int) -> DataFrame:
@@ -34,6 +36,7 @@ def moved(x: Column, y: Column, source: int | None, target: int | None) -> tuple
     if source == target or None in (source, target):
         return x, y
     if (source, target) == (4326, 3857):
+        y = F.least(F.greatest(y, F.lit(-MAX_LATITUDE)), F.lit(MAX_LATITUDE))
         return F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS
     if (source, target) == (3857, 4326):
         return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
@@ -44,6 +47,7 @@ def moved_point(x: float, y: float, source: int | None, target: int | None) -> t
     if source == target or None in (source, target):
         return x, y
     if (source, target) == (4326, 3857):
+        y = min(max(y, -MAX_LATITUDE), MAX_LATITUDE)
         return math.radians(x) * RADIUS, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * RADIUS
     if (source, target) == (3857, 4326):
         return math.degrees(x / RADIUS), math.degrees(2 * math.atan(math.exp(y / RADIUS)) - math.pi / 2)
@@ -59,28 +63,88 @@ def moved_bounds(bounds: tuple[float, float, float, float], source: int | None,
     return min(xs), min(ys), max(xs), max(ys)
 
 
+def suggested_resolution(transform: tuple[float, ...], width: int, height: int, source: int | None, target: int | None) -> float:
+    """The pixel size in another system that keeps the number of pixels along the raster's diagonal."""
+    a, b, c, d, e, f = transform
+    x0, y0 = moved_point(c, f, source, target)
+    x1, y1 = moved_point(a * width + b * height + c, d * width + e * height + f, source, target)
+    return math.hypot(x1 - x0, y1 - y0) / math.hypot(width, height)
+
+
 def source_place(grid: DataFrame, transform: tuple[float, ...], source_transform: tuple[float, ...], epsg: int | None = None, source_epsg: int | None = None) -> DataFrame:
-    """Adds y and x, the place of each output pixel's centre in source pixels."""
+    """Adds y and x, the place of each output pixel's centre in source pixels, and the places of its corners (y0, x0, y1, x1)."""
     a, b, c, d, e, f = transform
-    px, py = F.col("col") + 0.5, F.col("row") + 0.5
-    gx, gy = moved(a * px + b * py + c, d * px + e * py + f, epsg, source_epsg)
     i = inverse(source_transform)
-    return grid.withColumns({"x": i[0] * gx + i[1] * gy + i[2], "y": i[3] * gx + i[4] * gy + i[5]})
-
 
-def warp(pixels: DataFrame, places: DataFrame, method: str = "nearest", keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, row, col, value): nearest, or bilinear over the valid pixels around the place."""
-    at = places.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"), "x", "y")
+    def place(px: Column, py: Column) -> tuple[Column, Column]:
+        gx, gy = moved(a * px + b * py + c, d * px + e * py + f, epsg, source_epsg)
+        return i[0] * gx + i[1] * gy + i[2], i[3] * gx + i[4] * gy + i[5]
+
+    out = {}
+    for suffix, shift in (("", 0.5), ("0", 0.0), ("1", 1.0)):
+        out[f"x{suffix}"], out[f"y{suffix}"] = place(F.col("col") + shift, F.col("row") + shift)
+    return grid.withColumns(out)
+
+
+def kernel(d: Column, method: str) -> Column:
+    """The published kernels as expressions of a distance in pixels."""
+    x = F.abs(d)
+    match method:
+        case "bilinear":
+            return F.greatest(F.lit(0.0), 1 - x)
+        case "cubic":
+            return F.when(x < 1, (1.5 * x - 2.5) * x * x + 1).when(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2).otherwise(0.0)
+        case "cubic_spline":
+            return F.when(x < 1, (4 + (3 * x - 6) * x * x) / 6).when(x < 2, (2 - x) * (2 - x) * (2 - x) / 6).otherwise(0.0)
+        case "lanczos":
+            turn = x * math.pi
+            return F.when(x < 1e-12, 1.0).when(x < 3, 3 * F.sin(turn) * F.sin(turn / 3) / (turn * turn)).otherwise(0.0)
+    raise ValueError(f"pixels are not warped by {method}")
+
+
+_REACH = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
+_AREA = ("average", "rms", "sum", "mode")
+
+
+def warp(pixels: DataFrame, places: DataFrame, method: str = "nearest", keys: tuple[str, ...] = (), scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """(keys, row, col, value) of the output pixels at ``places``.
+
+    ``nearest`` takes the pixel under the centre.  Kernels weigh the valid
+    pixels around the place and are widened by ``scale``, source pixels (down,
+    across) for an output pixel, where the output is coarser.  ``average``,
+    ``rms``, ``sum`` and ``mode`` weigh the pixels under the output pixel by the
+    area that they share with it.  Without a valid pixel there is no row, or a
+    null value.
+    """
+    at = places.withColumnsRenamed({"row": "to_row", "col": "to_col"})
     if method == "nearest":
-        at = at.withColumns({"row": F.floor("y").cast("long"), "col": F.floor("x").cast("long")}).drop("x", "y")
+        at = at.select("to_row", "to_col", F.floor("y").cast("long").alias("row"), F.floor("x").cast("long").alias("col"))
         return at.join(pixels, ["row", "col"]).select(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value")
-    if method != "bilinear":
+    if method in _AREA:
+        low = {c: F.least(f"{c}0", f"{c}1") for c in "yx"}
+        high = {c: F.greatest(f"{c}0", f"{c}1") for c in "yx"}
+        span = {c: F.sequence(F.floor(low[c]).cast("long"), F.greatest(F.floor(low[c]), F.ceil(high[c]) - 1).cast("long")) for c in "yx"}
+        share = {c: (lambda n, c=c: F.least(n + 1, high[c]) - F.greatest(n.cast("double"), low[c])) for c in "yx"}
+    elif method in _REACH:
+        wide = {c: max(1.0, s) for c, s in zip("yx", scale)}
+        reach = {c: _REACH[method] * w for c, w in wide.items()}
+        span = {c: F.sequence(F.ceil(F.col(c) - 0.5 - reach[c]).cast("long"), F.floor(F.col(c) - 0.5 + reach[c]).cast("long")) for c in "yx"}
+        share = {c: (lambda n, c=c: kernel((n + 0.5 - F.col(c)) / wide[c], method)) for c in "yx"}
+    else:
         raise ValueError(f"pixels are not warped by {method}")
-    fx, fy = F.col("x") - 0.5 - F.floor(F.col("x") - 0.5), F.col("y") - 0.5 - F.floor(F.col("y") - 0.5)
-    near = F.array(*(F.struct((F.floor(F.col("y") - 0.5) + dy).cast("long").alias("row"), (F.floor(F.col("x") - 0.5) + dx).cast("long").alias("col"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w")) for dy in (0, 1) for dx in (0, 1)))
-    spread = at.select("to_row", "to_col", F.inline(near)).where("w > 0")
-    total = spread.join(pixels, ["row", "col"]).where("value is not null").groupBy(*keys, "to_row", "to_col").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-    return total.select(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value")
+    spread = at.withColumn("row", F.explode(span["y"])).withColumn("wy", share["y"](F.col("row"))).where("wy != 0")
+    spread = spread.withColumn("col", F.explode(span["x"])).withColumn("w", F.col("wy") * share["x"](F.col("col"))).where("w != 0")
+    met = spread.select("to_row", "to_col", "row", "col", "w").join(pixels.where("value is not null"), ["row", "col"])
+    by = [*keys, "to_row", "to_col"]
+    w, v = F.col("w"), F.col("value")
+    if method == "mode":
+        kinds = met.groupBy(*by, "value").agg(F.sum("w").alias("w"))
+        found = kinds.groupBy(*by).agg(F.min_by("value", F.struct(-F.col("w"), v)).alias("value"))
+    else:
+        mass = F.sum("w")
+        value = {"sum": F.sum(w * v), "rms": F.sqrt(F.sum(w * v * v) / mass)}.get(method, F.when(F.abs(mass) > 1e-9, F.sum(w * v) / mass))
+        found = met.groupBy(*by).agg(value.alias("value"))
+    return found.select(*keys, F.col("to_row").alias("row"), F.col("to_col").alias("col"), "value")
 
 
 def affine_from_gcps(points: list[tuple[float, float, float, float, float]]) -> tuple[float, ...]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid, profiles
-from gridloom.operators import info, pixels, validate
+from gridloom.operators import info, pixels, validate, warp
 from gridloom.plans import policy
 
 QUERIES: dict = {}
@@ -440,3 +440,36 @@ SELECT path, round(radians(lon) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + ra
 def mercator_points(spark, sf_dir):
     x, y = grid.mercator(F.col("path") % 360 - 180.0, F.col("path") % 160 - 80.0)
     return catalog(spark, sf_dir).select("path", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+# Warping: the vectors' raster on a grid of cells of two and a half pixels ---------
+
+_STEP = 2.5
+_OUT = f"(SELECT CAST(floor((max(vec_id) + 1) / {_STEP}) AS BIGINT) AS n FROM embeddings)"
+_AREAS = f"""SELECT r AS row, c AS col, value, (least(p.row + 1, (r + 1) * {_STEP}) - greatest(p.row, r * {_STEP})) * (least(p.col + 1, (c + 1) * {_STEP}) - greatest(p.col, c * {_STEP})) AS w
+FROM ({VEC}) p, LATERAL (SELECT unnest([CAST(floor(p.row / {_STEP}) AS BIGINT), CAST(floor(p.row / {_STEP}) AS BIGINT) + 1]) AS r), LATERAL (SELECT unnest([CAST(floor(p.col / {_STEP}) AS BIGINT), CAST(floor(p.col / {_STEP}) AS BIGINT) + 1]) AS c)
+WHERE r * {_STEP} < p.row + 1 AND c * {_STEP} < p.col + 1 AND r < {_OUT} AND c < 25"""
+_TENT = f"""SELECT o.row, o.col, value, greatest(0, 1 - abs(p.row + 0.5 - (o.row + 0.5) * {_STEP}) / {_STEP}) * greatest(0, 1 - abs(p.col + 0.5 - (o.col + 0.5) * {_STEP}) / {_STEP}) AS w
+FROM ({VEC}) p, LATERAL (SELECT unnest(range(-2, 3)) + CAST(floor(p.row / {_STEP}) AS BIGINT) AS row) r, LATERAL (SELECT unnest(range(-2, 3)) + CAST(floor(p.col / {_STEP}) AS BIGINT) AS col) c,
+LATERAL (SELECT r.row AS row, c.col AS col) o WHERE o.row BETWEEN 0 AND {_OUT} - 1 AND o.col BETWEEN 0 AND 24"""
+_WARP_SQL = {
+    "nearest": f"SELECT r AS row, c AS col, round(value, 6) AS value FROM range(0, {_OUT}) a(r), range(0, 25) b(c), ({VEC}) p WHERE p.row = floor((r + 0.5) * {_STEP}) AND p.col = floor((c + 0.5) * {_STEP})",
+    "average": f"SELECT row, col, round(sum(w * value) / sum(w), 6) AS value FROM ({_AREAS}) GROUP BY 1, 2",
+    "rms": f"SELECT row, col, round(sqrt(sum(w * value * value) / sum(w)), 6) AS value FROM ({_AREAS}) GROUP BY 1, 2",
+    "sum": f"SELECT row, col, round(sum(w * value), 6) AS value FROM ({_AREAS}) GROUP BY 1, 2",
+    "bilinear": f"SELECT row, col, round(sum(w * value) / sum(w), 6) AS value FROM ({_TENT}) WHERE w > 0 GROUP BY 1, 2",
+}
+
+
+def _warp_query(method: str, sql: str):
+    def run(spark, sf_dir):
+        height = _read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+        cells = warp.output_grid(spark, 25, int(height / _STEP))
+        places = warp.source_place(cells, (_STEP, 0.0, 0.0, 0.0, _STEP, 0.0), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+        return _rounded(warp.warp(vector_pixels(spark, sf_dir), places, method, scale=(_STEP, _STEP)), 6)
+
+    query(sql, f"warp_{method}")(run)
+
+
+for _m, _sql in _WARP_SQL.items():
+    _warp_query(_m, _sql)

@@ -90,6 +90,32 @@ def plan(
     return Plan(bands, dtype or source.dtype, None if add_mask else nodata, add_mask, add_mask or (mask and nodata is None), append, validity, [decimation_base**j for j in range(1, n + 1)], options)
 
 
+#: Options of tiled TIFF output that a driver made for cloud-optimized files does not know.
+_TILE_OPTIONS = ("blockxsize", "blockysize", "tiled", "photometric")
+
+
+def cog_driver_options(made: Plan, overview_resampling: str, resampling: str, overview_level: int | None = None) -> dict:
+    """A plan's options as a driver for cloud-optimized files spells them.
+
+    Block sides become one, resampling methods are options, and no overviews
+    are made where level 0 is asked for.
+    """
+    block = min(int(made.options.get("blockxsize", 512)), int(made.options.get("blockysize", 512)))
+    out = {k: v for k, v in made.options.items() if k not in _TILE_OPTIONS}
+    out |= {"driver": "COG", "blocksize": block, "overview_resampling": overview_resampling, "warp_resampling": resampling}
+    if overview_level == 0:
+        out["overviews"] = "NONE"
+    if made.add_mask and out.get("compress") != "JPEG":
+        warnings.warn("This driver keeps a mask beside JPEG only; the mask is written all the same.", stacklevel=3)
+    return out
+
+
+def is_off(config: dict | None, name: str) -> bool:
+    """Whether a setting is given and switched off."""
+    value = {str(k).upper(): v for k, v in (config or {}).items()}.get(name)
+    return value is not None and str(value).lower() in ("false", "no", "off", "0")
+
+
 def merged_tags(source: dict[str, str], resampling: str, tms: grid.TileMatrixSet | None = None, zoom: int | None = None, aligned_levels: int | None = None, extra: dict | None = None) -> dict[str, str]:
     """Dataset tags, later ones winning: the source's, resampling, tiling scheme, the caller's."""
     out = dict(source) | {"OVERVIEW_RESAMPLING": resampling.upper()}

@@ -44,6 +44,15 @@ def opened(path: str):
     return read
 
 
+def parsed(path: str) -> tiff.TiffFile:
+    """The headers of a file, and of the mask file beside it as ``external``."""
+    out = tiff.parse(opened(path))
+    if not out.masks and os.path.exists(f"{path}.msk"):
+        beside = tiff.parse(opened(f"{path}.msk"))
+        out.external = beside.masks or beside.directories
+    return out
+
+
 def decode_bands(d: tiff.Directory, band: int, row: int, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
     """(band, values) of a block, cut to the raster's edge by the caller."""
     block = tiff.decode_block(d, row, data)
@@ -78,7 +87,7 @@ class TiffReader(DataSourceReader):
     def partitions(self) -> list[Blocks]:
         out = []
         for path in self.paths:
-            t = tiff.parse(opened(path))
+            t = parsed(path)
             part, held = [], 0
             for level, d in enumerate(t.directories):
                 for block in d.blocks():
@@ -89,21 +98,22 @@ class TiffReader(DataSourceReader):
                         if held >= self.size:
                             out.append(Blocks(path, part))
                             part, held = [], 0
-            for level, d in enumerate(t.masks):
+            for level, d in enumerate(t.masks or t.external):
                 part += [(level, -1, *block[1:]) for block in d.blocks() if all(test((level, 0, *block[1:3])[i]) for i, test in self.tests)]
             if part:
                 out.append(Blocks(path, part))
         return out
 
     def read(self, partition: Blocks) -> Iterator[tuple]:
+        head = parsed(partition.path)
         read = opened(partition.path)
-        parsed = tiff.parse(read)
+        read_mask = opened(f"{partition.path}.msk") if head.external else read
         for level, band, row, col, offset, count in partition.wanted:
-            d = (parsed.masks if band < 0 else parsed.directories)[level]
+            d = ((head.masks or head.external) if band < 0 else head.directories)[level]
             bh, bw = d.block
             high, wide = min(bh, d.height - row * bh), min(bw, d.width - col * bw)
             if count:
-                parts = decode_bands(d, band, row, read(offset, count))
+                parts = decode_bands(d, band, row, (read_mask if band < 0 else read)(offset, count))
             else:  # a sparse block
                 fill = np.full((bh, bw), 0 if d.nodata is None else d.nodata).astype(d.dtype.newbyteorder("<"))
                 parts = ((b, fill) for b in ([band] if band else range(1, d.samples + 1)))
@@ -115,7 +125,7 @@ class TiffReader(DataSourceReader):
 
 
 class GeoTiffSource(DataSource):
-    """``spark.read.format("geotiff").load(path)``: a row for each block and band; band 0 is an internal mask."""
+    """``spark.read.format("geotiff").load(path)``: a row for each block and band; band 0 is a mask, internal or in a .msk file beside."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,7 +156,9 @@ class CogWriter(DataSourceWriter):
     overviews, comma-separated), and as JSON in ``meta``: compress, interleave,
     nodata, transform, epsg, colorinterp, colormap, xml.  With pixel
     interleaving ``data`` holds all bands of a block, band 0.  With the option
-    ``mask`` band -1 holds the blocks of an internal mask.
+    ``mask`` band -1 holds the blocks of a mask, which goes to a file of its own
+    (.msk) with ``internal_mask`` false.  ``overview_block`` is the block size of
+    overviews.
     """
 
     def __init__(self, options: dict, overwrite: bool):
@@ -173,25 +185,33 @@ class CogWriter(DataSourceWriter):
         factors = [1, *(int(x) for x in self.o.get("factors", "").split(",") if x)]
         bands = int(self.o["bands"])
         separate = self.meta.get("interleave", "pixel").lower() == "band"
-        levels, order = [], []
+        files: dict[str, tuple[list, list]] = {self.path: ([], [])}
         for i, f in enumerate(factors):
             w, h = -(-width // f), -(-height // f)
-            keys = [(i, r, c, b) for b in (range(1, bands + 1) if separate else [0]) for r in range(-(-h // block)) for c in range(-(-w // block))]
-            for own, masks in ((keys, False), ([(i, r, c, -1) for r in range(-(-h // block)) for c in range(-(-w // block))], True)):
+            side = int(self.o.get("overview_block", block)) if i else block
+            at = [(r, c) for r in range(-(-h // side)) for c in range(-(-w // side))]
+            for name, masks, keys in (
+                (self.path, False, [(i, *x, b) for b in (range(1, bands + 1) if separate else [0]) for x in at]),
+                (self.path if self.o.get("internal_mask", "true") == "true" else f"{self.path}.msk", True, [(i, *x, -1) for x in at]),
+            ):
                 if not masks or self.o.get("mask") == "true":
-                    order.append(own)
-                    levels.append({"entries": self.entries(w, h, block, bands, i, separate, masks), "counts": [where.get(k, ("", 0, 0))[2] for k in own]})
-        head, _ = tiff.layout(levels, self.tags())
-        with open(f"{self.work}.tif", "wb") as out:
-            out.write(head)
-            for keys in reversed(order):
-                for k in keys:
-                    file, at, size = where.get(k, ("", 0, 0))
-                    if size:
-                        with open(file, "rb") as f:
-                            f.seek(at)
-                            out.write(f.read(size))
-        os.replace(f"{self.work}.tif", self.path)
+                    levels, order = files.setdefault(name, ([], []))
+                    order.append(keys)
+                    levels.append({"entries": self.entries(w, h, side, bands, i, separate, masks), "counts": [where.get(k, ("", 0, 0))[2] for k in keys]})
+        for name, (levels, order) in files.items():
+            head, _ = tiff.layout(levels, self.tags() if name == self.path else [])
+            with open(f"{self.work}.tif", "wb") as out:
+                out.write(head)
+                for keys in reversed(order):
+                    for k in keys:
+                        file, at, size = where.get(k, ("", 0, 0))
+                        if size:
+                            with open(file, "rb") as f:
+                                f.seek(at)
+                                out.write(f.read(size))
+            os.replace(f"{self.work}.tif", name)
+        if len(files) == 1 and os.path.exists(f"{self.path}.msk"):
+            os.remove(f"{self.path}.msk")  # of the file that was there before
         shutil.rmtree(self.work, ignore_errors=True)
 
     def abort(self, messages) -> None:

@@ -179,6 +179,7 @@ class TiffFile:
     big: bool
     directories: list[Directory] = field(default_factory=list)
     masks: list[Directory] = field(default_factory=list)
+    external: list[Directory] = field(default_factory=list)
     ghost: dict[str, str] = field(default_factory=dict)
 
     @property
@@ -258,6 +259,32 @@ def decode_block(d: Directory, row: int, data: bytes) -> np.ndarray:
     return codecs.undo_predictor(block.astype(d.dtype.newbyteorder("=")) if predictor != 3 else block, predictor)
 
 
+#: Names in a satellite product's file of rational polynomials, and those of the RPC tags. Fixed values.
+_RPC = {
+    "ERRBIAS": "ERR_BIAS", "ERRRAND": "ERR_RAND", "LINEOFFSET": "LINE_OFF", "SAMPOFFSET": "SAMP_OFF", "LATOFFSET": "LAT_OFF", "LONGOFFSET": "LONG_OFF", "HEIGHTOFFSET": "HEIGHT_OFF",
+    "LINESCALE": "LINE_SCALE", "SAMPSCALE": "SAMP_SCALE", "LATSCALE": "LAT_SCALE", "LONGSCALE": "LONG_SCALE", "HEIGHTSCALE": "HEIGHT_SCALE",
+    "LINENUMCOEF": "LINE_NUM_COEFF", "LINEDENCOEF": "LINE_DEN_COEFF", "SAMPNUMCOEF": "SAMP_NUM_COEFF", "SAMPDENCOEF": "SAMP_DEN_COEFF",
+}
+
+
+def product_tags(text: str) -> dict[str, dict[str, str]]:
+    """The namespaces IMD and RPC of a satellite product's XML file; nested names are joined by dots in IMD."""
+    out: dict[str, dict[str, str]] = {}
+    root = ElementTree.fromstring(text)
+
+    def leaves(node, name: str) -> list[tuple[str, str]]:
+        if not len(node):
+            return [(name, (node.text or "").strip())]
+        return [x for child in node for x in leaves(child, f"{name}.{child.tag}" if name else child.tag)]
+
+    if (node := root.find("IMD")) is not None:
+        out["IMD"] = dict(leaves(node, ""))
+    if (node := root.find("RPB")) is not None:
+        found = {k.rsplit(".", 1)[-1]: v for k, v in leaves(node, "")}
+        out["RPC"] = {tag: found[name] for name, tag in _RPC.items() if name in found}
+    return out
+
+
 # Writing --------------------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+import io
 import json
 
 import numpy as np
@@ -131,6 +132,64 @@ def test_rules_on_hand_made_headers(spark):
     assert not validate.validate(spark.createDataFrame(rows, schema), strict=True).where("path = 'flat'").first()["valid"]
 
 
+def test_mask_file_and_small_overview_blocks(spark, tmp_path):
+    x = IMAGE.copy()
+    x[:, :40, :50] = 0
+    out, again = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    config = {"GDAL_TIFF_INTERNAL_MASK": False, "GDAL_TIFF_OVR_BLOCKSIZE": 48}
+    translate.cog_translate(spark, x, out, profile(), nodata=0, add_mask=True, config=config, quiet=True, overview_resampling="average")
+    row = translate.cog_info(spark, out)
+    assert not row["Profile"]["InternalMask"] and [i["Blocksize"] for i in row["IFD"]] == [[64, 64], [48, 48], [48, 48]] and row["COG"]
+    translate.cog_translate(spark, out, again, profile(), quiet=True, overview_resampling="average")
+    y, mask = pixels_of(again)
+    assert (y == x).all() and (mask == np.where(x[0] == 0, 0, 255)).all()
+    small, large = pixels_of(out, 1)[0], pixels_of(again, 1)[0]
+    assert small.shape == (3, 75, 101) and abs(small.astype(int) - large).max() <= 1
+
+
+def test_options_of_the_cog_driver(spark, tmp_path, capsys):
+    out = str(tmp_path / "a.tif")
+    with pytest.warns(UserWarning):
+        plan = translate.cog_translate(spark, IMAGE, out, profile(), nodata=0, add_mask=True, use_cog_driver=True, overview_level=0)
+    assert plan.options["driver"] == "COG" and plan.options["overviews"] == "NONE" and plan.options["blocksize"] == 64
+    assert "is written" in capsys.readouterr().err
+    log = io.StringIO()
+    with pytest.warns(DeprecationWarning):
+        translate.cog_translate(spark, IMAGE, out, profile(), web_optimized=True, progress_out=log, transform=(10.0, 0.0, 0.0, 0.0, -10.0, 0.0), epsg=3857, overview_level=0)
+    assert "writing" in log.getvalue() and capsys.readouterr().err == ""
+
+
+def test_tile_rows_as_source(spark, tmp_path):
+    out, again = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    translate.cog_translate(spark, IMAGE, out, profile(), quiet=True)
+    source, _, _ = translate.describe_source(out)
+    rows = spark.read.format("geotiff").load(out).where("level = 0")
+    translate.cog_translate(spark, (rows, source), again, profile(), quiet=True)
+    assert (pixels_of(again)[0] == IMAGE).all()
+
+
+def test_product_file(spark, tmp_path):
+    a, b = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    translate.cog_translate(spark, IMAGE, a, profile(), quiet=True)
+    (tmp_path / "a.XML").write_text("<isd><IMD><VERSION>1</VERSION><IMAGE><SATID>X</SATID></IMAGE></IMD><RPB><IMAGE><LINEOFFSET>8</LINEOFFSET><LINENUMCOEFList><LINENUMCOEF>1 2</LINENUMCOEF></LINENUMCOEFList></IMAGE></RPB></isd>")
+    config = {"GDAL_DISABLE_READDIR_ON_OPEN": "FALSE"}
+    for forward in (False, True):
+        translate.cog_translate(spark, a, b, profile(), forward_ns_tags=forward, config=config, quiet=True)
+        tags = translate.cog_info(spark, b)["Tags"]
+        assert ("Imd" in tags) == ("Rpc" in tags) == forward
+    assert tags["Imd"] == {"VERSION": "1", "IMAGE.SATID": "X"} and tags["Rpc"] == {"LINE_OFF": "8", "LINE_NUM_COEFF": "1 2"}
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "cubic_spline", "lanczos", "average", "mode", "sum", "rms"])
+def test_warp_methods(spark, tmp_path, method):
+    flat = np.full((1, 90, 90), 9, dtype=np.uint16)
+    cell = grid.WEB_MERCATOR.cell(10)
+    out = str(tmp_path / "a.tif")
+    translate.cog_translate(spark, flat, out, profile(block=256), tms=grid.WEB_MERCATOR, zoom_level=9, resampling=method, transform=(cell, 0.0, 0.0, 0.0, -cell, 0.0), epsg=3857, overview_level=0, quiet=True)
+    got = pixels_of(out)[0][0, 5:35, 5:35]
+    assert (got == (36 if method == "sum" else 9)).all()
+
+
 def test_files_that_are_no_rasters_and_sidecars(spark, tmp_path):
     (tmp_path / "x.jpg").write_bytes(b"\xff\xd8 no raster")
     assert translate.cog_validate(spark, str(tmp_path / "x.jpg"))[:2] == (False, ["the file is not a GeoTIFF"])
