@@ -14,30 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, minhash, mixing, pii, queries
+from gridloom.llm.common import joinable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose probability of being toxic reaches this go.
 TOXIC_AT = 0.7
 
 
-def _once(docs: DataFrame, column: str) -> DataFrame:
-    """One row for each id, so that a join by id multiplies nothing."""
-    return docs.groupBy("doc_id").agg(F.max(column).alias(column))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below TOXIC_AT.  Where rows share an id, the highest score decides for all; rows with a null id stay."""
     scores = queries.toxicity_scores(spark, docs, sf_dir)
-    rejected = _once(scores.where(F.col("score") >= TOXIC_AT), "score").select("doc_id")
+    rejected = joinable(scores.where((F.col("score") >= TOXIC_AT) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingles of similarity 0.8 or more; of rows that share an id one stays, all with a null id stay."""
     found = minhash.near_duplicates(docs, k=5, num=80, den=100)
-    dropped = found.where("not kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(COLUMNS).union(docs.where("doc_id is null").select(COLUMNS))
+    kept = docs.join(joinable(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
+    again = joinable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    single, repeated = kept.join(again, "doc_id", "left_anti"), kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.select(COLUMNS).union(repeated.select(COLUMNS))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

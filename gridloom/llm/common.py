@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Up to so many ids (8 bytes each) are broadcast to a join; more are joined by a shuffle, with equal results.
+BROADCAST_IDS = 1_000_000
+
+
+def joinable(ids: DataFrame) -> DataFrame:
+    """A checkpointed table of ids, marked for broadcast if it is counted to be small."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only (``lower`` would also fold other alphabets)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little
+    to do puts off; operators of many rounds call this between them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(id_: Column, text: Column) -> Column:
     """What tells rows apart: the id, null among them, and a hash of the text."""
     return F.struct(id_.alias("id"), F.xxhash64(text).alias("hash"))
