@@ -4,6 +4,7 @@ import json
 import numpy as np
 import pytest
 
+import gridloom
 from gridloom import cli
 from gridloom.functions import grid
 from gridloom.functions.profiles import options_of
@@ -168,6 +169,23 @@ def test_tile_rows_as_source(spark, tmp_path):
     assert (pixels_of(again)[0] == IMAGE).all()
 
 
+def test_questions_about_a_file(spark, tmp_path):
+    out = str(tmp_path / "a.tif")
+    cell = grid.WEB_MERCATOR.cell(10)
+    x = np.concatenate([IMAGE, np.where(IMAGE[:1] > 100, 255, 0).astype(np.uint8)])
+    translate.cog_translate(spark, x, out, profile(), transform=(cell, 0.0, 1000.0, 0.0, -cell, 5000.0), epsg=3857, quiet=True)
+    assert gridloom.has_alpha_band(out) and not gridloom.has_mask_band(out) and gridloom.non_alpha_indexes(out) == (1, 2, 3)
+    assert gridloom.get_zooms(out) == (10, 10) and gridloom.get_zooms(out, tilesize=64) == (8, 10)
+    web = gridloom.get_web_optimized_params(out)
+    assert web["width"] % 256 == 0 and web["transform"][0] == cell and web["crs"] == "EPSG:3857"
+    row = headers.blocks(headers.read_headers(spark, out)).where("level = 0 and block_y = 1 and block_x = 2").first()
+    assert gridloom.get_data_offset(out, 2, 1) == row["offset"] > 0 and gridloom.get_data_offset(out, 99, 99) == 0
+    degrees = str(tmp_path / "b.tif")
+    translate.cog_translate(spark, IMAGE, degrees, profile(), transform=(0.01, 0.0, 10.0, 0.0, -0.01, 50.0), epsg=4326, quiet=True)
+    info = translate.cog_info(spark, degrees)
+    assert (info["GEO"]["MinZoom"], info["GEO"]["MaxZoom"]) == gridloom.get_zooms(degrees)
+
+
 def test_product_file(spark, tmp_path):
     a, b = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
     translate.cog_translate(spark, IMAGE, a, profile(), quiet=True)
