@@ -1,7 +1,10 @@
 """Archive records, vectors, components and the pipeline."""
 
+import collections
 import gzip
+import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -10,6 +13,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import components, nn_descent, queries, warc
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
 @pytest.mark.parametrize("n", [0, 1, 40])
 def test_components(spark, n):
     rng = random.Random(n)
@@ -112,8 +118,25 @@ def test_descent_mends_poor_seeds(spark, monkeypatch):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def one_of_each_group(rows):
+    """Brute force: the least id of each group of texts linked by five-word shingles of similarity 0.8 or more."""
+    sets = {}
+    for r in rows:
+        w = WORD.findall("".join(c.lower() if c.isascii() else c for c in r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0]
+    while True:
+        before = dict(least)
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            return set(least.values())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "minhash_near_dedup", "pii", "mixing", "bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -121,13 +144,22 @@ def test_pipeline(spark, sf_dir):
     one = p.drop_toxic(spark, docs, sf_dir)
     assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == {i for i, s in scores.items() if s < p.TOXIC_AT}
     two = p.drop_near_duplicates(spark, one, sf_dir)
-    assert two.columns == docs.columns and 0.5 * one.count() < two.count() <= one.count()
+    assert two.columns == docs.columns and {r["doc_id"] for r in two.collect()} == one_of_each_group(one.collect())
     three = p.replace_private(spark, two, sf_dir)
     assert three.columns == docs.columns and three.count() == two.count() and three.where("text rlike '@mail[0-9].example.com'").count() == 0
     four = p.mix_sources(spark, three, sf_dir)
     assert four.columns == docs.columns and four.where("n_chars != length(text)").count() == 0
-    out = p.run(spark, sf_dir)
-    assert out.count() == four.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    texts = {r["doc_id"]: r["text"] for r in three.collect()}
+    mixed = four.collect()
+    assert {r["doc_id"] for r in mixed} <= set(texts) and max(collections.Counter(r["doc_id"] for r in mixed).values()) <= 2
+    assert all(set(WORD.findall(r["text"])) <= set(WORD.findall(texts[r["doc_id"]])) for r in mixed)
+    library = Tokenizer.from_file(queries.vocabulary_path())
+    want = []
+    for r in mixed:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        want.append((r["doc_id"], len(ids), *digests))
+    assert sorted(tuple(r) for r in p.run(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
 
 
 def test_pipeline_edges(spark, sf_dir):
