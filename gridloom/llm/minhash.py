@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_partitions
+from .common import checkpoint, n_partitions, release
 from .components import connected_components
 from .textnum import fingerprint, mix, shingle_sets
 
@@ -49,33 +49,51 @@ BLOCK = 256
 CHUNK = 64
 #: Pairs of a set and another component that each block verifies first.
 FIRST = 3
+#: Pairs of sketches that are compared in one go.
+PAIRS = 20_000
+#: Up to so many ids of texts to verify (8 bytes each) are broadcast; more are joined by a shuffle, with equal results.
+BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 
 
 def sketch(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """SetSketch registers (uint16) of shingle sets; the empty set has zeros."""
+    """SetSketch registers (uint16) of shingle sets; the empty set has zeros.
+
+    Each element's points come one after the other, ever later; of one hash the
+    high 40 bits give the distance to the next point and the low 24 its
+    register.  Elements stop at a time by which nearly all registers of their
+    set are filled; sets with gaps start again with a later one.
+    """
     out = np.zeros((len(sets), m), dtype=np.uint16)
     todo = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
     reach = 2.0
     while len(todo):
         sizes = np.array([len(sets[i]) for i in todo])
-        least = np.full(len(todo) * m, np.inf)
-        ends = (log(m) + reach) / (sizes * RATE)
+        least = np.full(len(todo) * m, np.inf, dtype=np.float32)
         element = np.concatenate([sets[i] for i in todo])
-        owner = np.repeat(np.arange(len(todo)), sizes)
-        at, step = np.zeros(len(element)), 0
+        row = np.repeat(np.arange(len(todo)) * m, sizes)
+        end = np.repeat((-(log(m) + reach) / (sizes * RATE)).astype(np.float32), sizes)
+        at, step = np.zeros(len(element), dtype=np.float32), 0  # times are below 0: logarithms are added up as they are
         while len(element):
+            turns = 1 if len(element) > 8192 else 32  # few elements take many points at once
             with np.errstate(over="ignore"):
-                h = mix(element + _U(step) * _U(0xA24BAED4963EE407))
-            at = at - np.log(((h >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53) / (m * RATE)
-            live = at <= ends[owner]
-            element, owner, at, h = element[live], owner[live], at[live], h[live]
-            np.minimum.at(least, owner * m + (mix(h) % _U(m)).astype(np.int64), at)
-            step += 1
+                h = mix(element[:, None] + np.arange(step, step + turns, dtype=_U) * _U(0xA24BAED4963EE407))
+            part = ((h >> _U(24)) + _U(1)).astype(np.float32)
+            part *= np.float32(2.0**-40)
+            np.log(part, out=part)
+            part *= np.float32(1 / (m * RATE))
+            part[:, 0] += at
+            np.cumsum(part, axis=1, out=part)
+            which, turn = np.nonzero(part >= end[:, None])
+            h, found = h[which, turn], part[which, turn]
+            np.minimum.at(least, row[which] + ((h & _U(0xFFFFFF)).astype(np.int64) * m >> 24), -found)
+            live = which[turn == turns - 1]
+            element, row, end, at = element[live], row[live], end[live], part[live, turns - 1]
+            step += turns
         least = least.reshape(len(todo), m)
         full = np.isfinite(least).all(axis=1)
-        values = np.floor(1.0 - np.log(least[full]) / log(BASE))
+        values = np.floor(1.0 - np.log(np.maximum(least[full], np.float32(1e-30)).astype(np.float64)) / log(BASE))
         out[todo[full]] = np.clip(values, 0, 65535).astype(np.uint16)
         todo, reach = todo[~full], reach + 4.0
     return out
@@ -99,14 +117,15 @@ def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return (low + high) / 2
 
 
-def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: float) -> np.ndarray:
-    """Which pairs of sketches (rows of a and b) may reach the threshold."""
+def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, share: float, alike: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of sketches (rows of a and b) may reach the threshold; ``alike`` are their equal registers, if known."""
     ok = np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b)
-    at = np.flatnonzero(ok & ((a == b).sum(axis=1) >= (share - 2 * SLACK) * a.shape[1]))
+    alike = (a == b).sum(axis=1) if alike is None else alike
+    at = np.flatnonzero(ok & (alike >= (share - 2 * SLACK) * a.shape[1]))
     found = np.zeros(len(a), dtype=bool)
     if len(at):
-        x, y = a[at], b[at]
-        found[at] = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), n_a[at], n_b[at], a.shape[1]) >= share - SLACK
+        more = (a[at] > b[at]).sum(axis=1)
+        found[at] = estimate(more, a.shape[1] - alike[at] - more, n_a[at], n_b[at], a.shape[1]) >= share - SLACK
     return found
 
 
@@ -179,7 +198,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     runs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / CHUNK)).alias("run"))
     runs = checkpoint(runs)
     wanted = runs.select(F.col("a").alias("doc_id")).union(runs.select(F.col("b").alias("doc_id"))).distinct()
-    full = checkpoint(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    full = checkpoint(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     heads = runs.select("a", "run").distinct().join(full, F.col("a") == F.col("doc_id")).select("a", "run", F.lit(None).cast("bigint").alias("b"), "text")
     members = runs.join(full, F.col("b") == F.col("doc_id")).select("a", "run", "b", "text")
     rows = heads.union(members).repartition(n_partitions(spark), "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
@@ -243,51 +263,72 @@ def cross_pairs(rest: DataFrame, reps: DataFrame, share: float, first: int | Non
     right = all_.select("key", deal("cols").alias("j"), others("rows").alias("i"), F.lit(1).alias("side"), *cols).select("key", "i", "j", "side", *cols)
     rows = left.union(right).repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
-    def block_pairs(side: np.ndarray, band: np.ndarray, rep: np.ndarray, comp: np.ndarray, size: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = int(np.searchsorted(side, 1))
-        out = []
-        banded = regs.reshape(len(regs), BANDS, ROWS)
-        for x in range(cut):
-            y = cut + np.flatnonzero(comp[cut:] != comp[x])
-            if len(y) and band[x]:
-                y = y[~(banded[y, : band[x]] == banded[x, : band[x]]).all(axis=2).any(axis=1)]
-            if len(y):
-                ok = plausible(np.broadcast_to(regs[x], (len(y), regs.shape[1])), regs[y], np.full(len(y), size[x]), size[y], share)
-                y = y[ok]
-                if first and len(y):
-                    alike = (regs[y] == regs[x]).sum(axis=1)
-                    y = y[np.lexsort((-alike, comp[y]))]
-                    starts = np.flatnonzero(np.append(True, comp[y][1:] != comp[y][:-1]))
-                    y = y[np.arange(len(y)) - np.repeat(starts, np.diff(np.append(starts, len(y)))) < first]
-                out.append(np.stack([np.full(len(y), rep[x]), rep[y]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
-        return both.min(axis=0), both.max(axis=0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+        for t in whole_groups(batches, ["key", "i", "j"]):
+            group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+            side, band, rep, comp, size = (t.column(c).to_numpy() for c in ("side", "band", "rep", "comp", "size"))
+            regs = _registers(t.column("regs"))
+            found = [(rep[x], rep[y]) for x, y in block_pairs(group, side, band, comp, size, regs, share, first)]
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else np.zeros((2, 0), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            a, b = block_pairs(*(t.column(c).to_numpy() for c in ("side", "band", "rep", "comp", "size")), _registers(t.column("regs").combine_chunks()))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for s, e in zip(cuts, cuts[1:]):
-                here = tuple(ids[:, s])
-                if here != last and kept:
-                    yield flush(kept)
-                    kept = []
-                last = here
-                kept.append(batch.slice(s, e - s))
-        if kept:
-            yield flush(kept)
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
+    """Whole groups of sorted batches, together at least so many rows; the last may be fewer."""
+    kept, n, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.stack([batch.column(c).to_numpy() for c in keys])
+        turn = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0))
+        cut = int(turn[-1]) + 1 if len(turn) else 0
+        if n >= rows and last is not None and tuple(ids[:, 0]) != last:
+            yield pa.Table.from_batches(kept).combine_chunks()
+            kept, n = [], 0
+        if cut and n + cut >= rows:
+            yield pa.Table.from_batches([*kept, batch.slice(0, cut)]).combine_chunks()
+            kept, n, batch = [], 0, batch.slice(cut)
+        kept.append(batch)
+        n += batch.num_rows
+        last = tuple(ids[:, -1])
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def block_pairs(group: np.ndarray, side: np.ndarray, band: np.ndarray, comp: np.ndarray, size: np.ndarray, regs: np.ndarray, share: float, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the plausible pairs of the two sides within each group of sorted rows."""
+    starts = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1)
+    of = np.zeros(len(side), dtype=np.int64)
+    of[starts[1:]] = 1
+    of = np.cumsum(of)
+    left = np.bincount(of, weights=side == 0).astype(np.int64)
+    right = np.bincount(of).astype(np.int64) - left
+    lefts = np.flatnonzero(side == 0)
+    pairs = np.cumsum(right[of[lefts]])
+    i = 0
+    while i < len(lefts):
+        j = max(i + 1, int(np.searchsorted(pairs, (pairs[i - 1] if i else 0) + PAIRS, side="right")))
+        some, i = lefts[i:j], j
+        each = right[of[some]]
+        x = np.repeat(some, each)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[of[some]] + left[of[some]], each)
+        ok = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= share * np.maximum(size[x], size[y]))
+        x, y = x[ok], y[ok]
+        if not len(x):
+            continue
+        a, b = regs[x], regs[y]
+        same = a == b
+        ok = (same.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[x]) & plausible(a, b, size[x], size[y], share, alike := same.sum(axis=1))
+        x, y, alike = x[ok], y[ok], alike[ok]
+        if first and len(x):
+            order = np.lexsort((-alike, comp[y], x))
+            x, y = x[order], y[order]
+            begin = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (comp[y][1:] != comp[y][:-1])))
+            ok = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) < first
+            x, y = x[ok], y[ok]
+        yield x, y
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -318,6 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = verified(checkpoint(pairs), texts, k, num, den)
         links = checkpoint(new if links is None else links.union(new))
         merged = connected_components(links)
+        release(docs.sparkSession)
         comps = checkpoint(comps.select("rep").join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")))
     classes = reps.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("class"))
     out = known.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")

@@ -22,9 +22,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection that scatters 64-bit values."""
     with np.errstate(over="ignore"):
         x = x + _U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+        part = x >> _U(30)
+        x ^= part
+        x *= _U(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, _U(27), out=part)
+        x *= _U(0x94D049BB133111EB)
+        x ^= np.right_shift(x, _U(31), out=part)
+        return x
 
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -56,26 +60,48 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
+def word_starts(off: np.ndarray, data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words before each document, first byte of each word, byte after each word) of one slice."""
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = member[data]
+    turn = inside[1:] != inside[:-1]
+    edges = off[1:-1]
+    turn[edges[inside[edges] & inside[edges + 1]]] = True  # a word on either side of a document's end
+    at = np.flatnonzero(turn)
+    begins = inside[at + 1]
+    ends = inside[at]
+    start, stop = at[begins], at[ends]
+    return np.searchsorted(start, off), start, stop
+
+
+_tables: dict[str, np.ndarray] = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the odd factor _P, and of its inverse."""
+    if len(_tables["up"]) < n:
+        n = max(n, SLICE_BYTES + 4096)
+        for name, base in (("up", int(_P)), ("down", pow(int(_P), -1, 1 << 64))):
+            x = np.full(n, base, dtype=_U)
+            x[0] = 1
+            with np.errstate(over="ignore"):
+                _tables[name] = np.cumprod(x)
+    return _tables["up"], _tables["down"]
+
+
 def word_hashes(off: np.ndarray, data: np.ndarray, member: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:
-    """(words before each document, word hashes) of one slice; A-Z count as a-z."""
-    n = len(off) - 1
-    inside = member[data]
-    before = np.zeros(len(data) + 1, dtype=bool)
-    before[1:] = inside
-    before[off] = False
-    is_start = inside & ~before[:-1]
-    if not is_start.any():
-        return np.zeros(n + 1, dtype=np.int64), np.zeros(0, dtype=_U)
-    begun = np.cumsum(is_start)
-    bounds = np.concatenate([[0], begun])[off]
-    letters = np.flatnonzero(inside)
-    first = np.flatnonzero(is_start[letters])
-    lengths = np.diff(np.append(first, len(letters)))
-    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    """(words before each document, word hashes) of one slice; A-Z count as a-z.
+
+    A word's hash comes from its letters' polynomial, which is the difference
+    of two running sums, shifted to the word's start.
+    """
+    bounds, start, stop = word_starts(off, data, member)
+    up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int(lengths.max()), _P, dtype=_U))
-        sums = np.add.reduceat(_VALUES[data[letters]] * powers[place], first)
-        return bounds, mix(sums + lengths.astype(_U) * _U(0xD6E8FEB86659FD93))
+        sums = np.zeros(len(data) + 1, dtype=_U)
+        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+        words = (sums[stop] - sums[start]) * down[start] * _P
+        return bounds, mix(words + (stop - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -91,7 +117,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray
         for d in range(n):
             a, b = int(bounds[d]), int(bounds[d + 1])
             if b - a >= k:
-                out.append(np.unique(runs[a : b - k + 1]))
+                out.append(distinct(runs[a : b - k + 1]))
             elif b > a:
                 out.append(chained(words[a:b], b - a)[:1])
             else:
@@ -99,6 +125,14 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray
         yield row, out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of a non-empty array."""
+    x = np.sort(x)
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def chained(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of every run of k words; runs near the end are left out."""
     m = max(0, len(words) - k + 1)
@@ -118,24 +152,15 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 def prefix_hashes(off: np.ndarray, data: np.ndarray, lengths: tuple[int, ...], member: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """``word_hashes`` and, for each length, the hashes of the words' first bytes (a shorter word is its own prefix)."""
-    bounds, words = word_hashes(off, data, member)
-    out = {}
-    if len(words):
-        inside = member[data]
-        before = np.zeros(len(data) + 1, dtype=bool)
-        before[1:] = inside
-        before[off] = False
-        start = np.flatnonzero(inside & ~before[:-1])
-        letters = np.cumsum(np.append(0, inside))
-        stop = np.append(letters[start[1:]], letters[-1])
-        size = stop - letters[start]
-        total = np.zeros(len(words), dtype=_U)
-        power = _U(1)
-        with np.errstate(over="ignore"):
-            for i in range(max(lengths)):
-                live = size > i
-                total[live] += _VALUES[data[start[live] + i]] * power
-                power = power * _P
-                if i + 1 in lengths:
-                    out[i + 1] = mix(total + np.minimum(size, i + 1).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return bounds, words, {n: out.get(n, words) for n in lengths}
+    bounds, start, stop = word_starts(off, data, member)
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, dtype=_U)
+        np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+        before, shift = sums[start], down[start]
+
+        def ending(at: np.ndarray) -> np.ndarray:
+            return mix((sums[at] - before) * shift + (at - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+        words = mix((sums[stop] - before) * shift * _P + (stop - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+        return bounds, words, {n: ending(np.minimum(stop, start + n)) for n in lengths}
