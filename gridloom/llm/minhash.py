@@ -13,10 +13,11 @@ likely as the Jaccard similarity.
    estimated similarity is plausible are verified on the full sets, and verified
    links merge components.  Only buckets with several components go on.
 4. The rest: in the buckets left, sets in different components are compared by
-   the joint likelihood of their registers.  First the most similar pairs of a
-   set and another component are verified, as one link merges them; then, in
-   what is still apart, every plausible pair is.  Buckets are cut into blocks,
-   so no task holds more than two blocks of one.
+   the joint likelihood of their registers.  First the likeliest pairs of a set
+   and another component are verified, as one link merges them; then, in what is
+   still apart, all plausible pairs are, block by block on the full sets, and of
+   the links between a set and a component one is kept.  Buckets are cut into
+   blocks, so no task holds more than two blocks of one.
 
 Groups are never expanded into pairs beyond that, and no link between different
 components is left unexamined.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_partitions, release
+from .common import checkpoint, joinable, n_partitions, release
 from .components import connected_components
 from .textnum import fingerprint, mix, shingle_sets
 
@@ -44,15 +45,14 @@ BASE, RATE = 1.001, 20.0
 SLACK = 0.12
 #: Hubs for each set.
 STARS = 3
-BLOCK = 256
+#: Weight of a block: each set counts 1 and its shingles 1 / SHINGLES.
+BLOCK, SHINGLES = 256, 1000
 #: Sets compared with one hub in one run of rows.
 CHUNK = 64
 #: Pairs of a set and another component that each block verifies first.
 FIRST = 3
 #: Pairs of sketches that are compared in one go.
 PAIRS = 20_000
-#: Up to so many ids of texts to verify (8 bytes each) are broadcast; more are joined by a shuffle, with equal results.
-BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 
@@ -187,6 +187,11 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def chosen_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text (doc_id, text) of each id of ``wanted``."""
+    return checkpoint(texts.join(joinable(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * |A & B| >= num * |A | B| on their full shingle sets.
 
@@ -197,9 +202,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
     runs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("d") / CHUNK)).alias("run"))
     runs = checkpoint(runs)
-    wanted = runs.select(F.col("a").alias("doc_id")).union(runs.select(F.col("b").alias("doc_id"))).distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    full = checkpoint(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    full = chosen_texts(texts, runs.select(F.col("a").alias("doc_id")).union(runs.select(F.col("b").alias("doc_id"))).distinct())
     heads = runs.select("a", "run").distinct().join(full, F.col("a") == F.col("doc_id")).select("a", "run", F.lit(None).cast("bigint").alias("b"), "text")
     members = runs.join(full, F.col("b") == F.col("doc_id")).select("a", "run", "b", "text")
     rows = heads.union(members).repartition(n_partitions(spark), "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
@@ -244,37 +247,106 @@ def left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key", "left_semi")
 
 
-def cross_pairs(rest: DataFrame, reps: DataFrame, share: float, first: int | None = None) -> DataFrame:
-    """Plausible pairs of different components in the buckets of ``rest``, or the ``first`` most similar of each set and component in a block.
+SIDES = "key long, i long, j long, side int, band int, rep long, comp long, size long, regs binary"
+
+
+def dealt(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """SIDES: the sets of the buckets of ``rest``, dealt to pairs of blocks, each pair in one run of rows.
 
-    Sets outside their bucket's largest component meet all sets of the bucket;
-    both sides are cut into blocks of about BLOCK sets.  A pair is given by the
-    first band that it shares only; that bucket too holds both components.
+    Sets outside their bucket's largest component (side 0) meet all sets of the
+    bucket (side 1); both sides are cut into blocks of about BLOCK sets, fewer
+    where sets are large, so a pair of blocks has a bounded number of shingles
+    beside its largest set.
     """
-    spark = rest.sparkSession
-    counts = rest.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    all_ = rest.join(reps.select("rep", F.col("n").alias("size"), "regs"), "rep")
+    counts = all_.groupBy("key", "comp").agg(F.sum(SHINGLES + F.col("size")).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("top"))
-    main = main.withColumns({"rows": F.ceil((F.col("n") - F.col("top")) / BLOCK), "cols": F.ceil(F.col("n") / BLOCK)})
-    all_ = rest.join(main, "key").join(reps.select("rep", F.col("n").alias("size"), "regs"), "rep")
+    main = main.select("key", "main", F.ceil((F.col("n") - F.col("top")) / (BLOCK * SHINGLES)).alias("rows"), F.ceil(F.col("n") / (BLOCK * SHINGLES)).alias("cols"))
+    all_ = all_.join(main, "key")
     deal = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n))
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     cols = ["band", "rep", "comp", "size", "regs"]
     left = all_.where("comp != main").select("key", deal("rows").alias("i"), others("cols").alias("j"), F.lit(0).alias("side"), *cols)
     right = all_.select("key", deal("cols").alias("j"), others("rows").alias("i"), F.lit(1).alias("side"), *cols).select("key", "i", "j", "side", *cols)
-    rows = left.union(right).repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return in_runs(left.union(right))
+
+
+def in_runs(rows: DataFrame) -> DataFrame:
+    return rows.repartition(n_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+
+def _sides(t: pa.Table) -> list[np.ndarray]:
+    """What ``block_pairs`` takes first."""
+    group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+    return [group, *(t.column(c).to_numpy() for c in ("side", "band", "comp", "size")), _registers(t.column("regs"))]
+
+
+def likeliest_pairs(rows: DataFrame, share: float) -> DataFrame:
+    """(a, b) of the FIRST likeliest partners of each set in every other component of a pair of blocks.
+
+    A pair is given by the first band that it shares only; that bucket too holds
+    both components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
-            group = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            side, band, rep, comp, size = (t.column(c).to_numpy() for c in ("side", "band", "rep", "comp", "size"))
-            regs = _registers(t.column("regs"))
-            found = [(rep[x], rep[y]) for x, y in block_pairs(group, side, band, comp, size, regs, share, first)]
+            rep = t.column("rep").to_numpy()
+            found = [(rep[x], rep[y]) for x, y in block_pairs(*_sides(t), share, FIRST)]
             a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else np.zeros((2, 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def undecided(rows: DataFrame, share: float) -> DataFrame:
+    """The rows of ``dealt`` that are in a plausible pair of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key", "i", "j"]):
+            hit = np.zeros(len(t), dtype=bool)
+            for x, y in block_pairs(*_sides(t), share, None):
+                hit[x] = hit[y] = True
+            yield from t.filter(pa.array(hit)).to_batches()
+
+    return rows.mapInArrow(run, SIDES)
+
+
+def links_in_blocks(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) by comparing the full sets of all plausible pairs in each pair of blocks.
+
+    Of a set's links to one component within a pair of blocks one is given, as
+    it merges the two; so no pairs of a group are ever listed.
+    """
+    wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
+    full = chosen_texts(texts, wanted)
+    rows = in_runs(rows.join(full.select(F.col("doc_id").alias("rep"), "text"), "rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key", "i", "j"], 512):
+            rep, comp = t.column("rep").to_numpy(), t.column("comp").to_numpy()
+            sets = [s for _, some in shingle_sets(t.column("text"), k) for s in some]
+            found = []
+            for x, y in block_pairs(*_sides(t), num / den, None):
+                for one in np.unique(x):
+                    found += [(rep[one], rep[other]) for other in linked(sets, one, y[x == one], comp, num, den)]
+            a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    columns = ["key", "i", "j", "side", "band", "rep", "comp", "size", "regs", "text"]
+    return rows.select(columns).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def linked(sets: list[np.ndarray], x: int, others: np.ndarray, comp: np.ndarray, num: int, den: int) -> list[int]:
+    """Of the others that are linked with x the first of each component."""
+    own = sets[x]
+    flat = np.concatenate([sets[y] for y in others])
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    sizes = np.array([len(sets[y]) for y in others])
+    common = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    hits = others[den * common >= num * (len(own) + sizes - common)]
+    return hits[np.unique(comp[hits], return_index=True)[1]].tolist()
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
     """Whole groups of sorted batches, together at least so many rows; the last may be fewer."""
     kept, n, last = [], 0, None
@@ -298,7 +370,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
 
 
 def block_pairs(group: np.ndarray, side: np.ndarray, band: np.ndarray, comp: np.ndarray, size: np.ndarray, regs: np.ndarray, share: float, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (x, y) of the plausible pairs of the two sides within each group of sorted rows."""
+    """Places (x, y) of the plausible pairs of the two sides within each group of sorted rows.
+
+    With ``first`` only so many for each x and component, the likeliest.
+    """
     starts = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1)
     of = np.zeros(len(side), dtype=np.int64)
     of[starts[1:]] = 1
@@ -349,17 +424,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_rows = buckets(reps)
     several = band_rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     shared = checkpoint(band_rows.join(several, "key", "left_semi"))
+    release(docs.sparkSession)
     comps, links = shared.select("rep").distinct().withColumn("comp", F.col("rep")), None
     for step in ("stars", "first", "rest"):
         if step == "stars":
-            pairs = likely(star_pairs(shared), reps, share)
+            new = verified(checkpoint(likely(star_pairs(shared), reps, share)), texts, k, num, den)
         else:
-            rest = checkpoint(left_over(shared, comps))
-            pairs = cross_pairs(rest, reps, share, FIRST if step == "first" else None)
-        new = verified(checkpoint(pairs), texts, k, num, den)
+            rows = dealt(checkpoint(left_over(shared, comps)), reps)
+            release(docs.sparkSession)
+            if step == "first":
+                new = verified(checkpoint(likeliest_pairs(rows, share)), texts, k, num, den)
+            else:
+                new = links_in_blocks(checkpoint(undecided(rows, share)), texts, k, num, den)
         links = checkpoint(new if links is None else links.union(new))
-        merged = connected_components(links)
+        del new
         release(docs.sparkSession)
+        merged = connected_components(links)
         comps = checkpoint(comps.select("rep").join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")))
     classes = reps.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("class"))
     out = known.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
