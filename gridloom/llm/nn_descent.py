@@ -3,17 +3,19 @@
 1. Equal vectors fall together and count as one with a multiplicity.
 2. Seeds: random hyperplanes deal the vectors into buckets of a few dozen, in
    several tables; a bucket is compared exactly, cut into pairs of blocks where
-   it is large.  That gives each vector its first neighbours, and the links at
-   or above the threshold among them.
+   it is large.  That gives each vector its first neighbours, and links that
+   connect what is linked within a block.
 3. NN-descent: at every vector its neighbours and some of those that have it as
-   neighbour meet; pairs that improve a list enter it.  A list is saturated when
-   all its places are taken by links; links are therefore kept beside the list,
-   as many as there are, so a saturated list grows without bound.
-4. An audit compares a fixed number of vectors with all others exactly; rounds
-   go on until the links found reach ``RECALL`` of the true ones or ROUNDS end.
-
-The links of a group of near copies are all its pairs, which ``n_links`` asks
-for; they are found within blocks and never gathered in one task.
+   neighbour meet; pairs that improve a list enter it.  Links merge vectors into
+   components.  A list saturated by links grows to the vector's whole component,
+   whose members take no places in it; its places are for other components.
+4. After each round an audit compares a fixed number of vectors with all others
+   exactly; rounds go on until RECALL of their true links are within components or ROUNDS end.
+5. Within each component all pairs are compared, cut into pairs of blocks, and
+   only the number of each vector's links leaves a block.
+
+So no pairs of a group of near copies are ever listed; comparing the members of
+a component is quadratic by definition of ``n_links``, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import checkpoint, n_partitions
 from .components import connected_components
 
 TABLES, BUCKET, BLOCK = 8, 48, 256
-#: Places in a neighbour list; new places that a block of a bucket may fill.
+#: Places in a neighbour list for other components; places that a block of a bucket may fill.
 NEIGHBOURS, SEEDS = 10, 4
 ROUNDS, RECALL, AUDITED = 4, 0.995, 400
 NEAR = 1e-5
@@ -103,103 +105,153 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "sim"])
 
 
-def seeds(reps: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b, sim) from the buckets: each link once, and each vector's best few in a block."""
-    spark = reps.sparkSession
-    places = coded.select("rep", F.explode("codes").alias("key"))
-    sizes = places.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).alias("n"))
-    dealt = places.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), "n"))
+def in_block_pairs(placed: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+    """(key, i, j, side, *rows): the members of each key in pairs of blocks i <= j, sorted by pair and side.
+
+    ``placed`` is (rep, key); keys with one member are left out.
+    """
+    sizes = placed.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key, F.ceil(F.col("c") / BLOCK).alias("n"))
+    dealt = placed.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), "n"))
     up = F.transform(F.sequence(F.col("own"), F.col("n") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     down = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("own"), F.lit(1))), lambda i: F.struct((i - 1).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
-    dealt = dealt.select("rep", "key", F.explode(F.when(F.col("own") > 0, F.concat(up, down)).otherwise(up)).alias("p")).select("rep", "key", "p.i", "p.j", "p.side")
-    rows = dealt.join(reps.select("rep", "vec").join(coded, "rep"), "rep").repartition(n_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = dealt.select("rep", key, F.explode(F.when(F.col("own") > 0, F.concat(up, down)).otherwise(up)).alias("p")).select("rep", F.col(key).alias("key"), "p.i", "p.j", "p.side")
+    return dealt.join(rows, "rep").repartition(n_partitions(placed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of a symmetric matrix's links that connect all that it connects, by spreading the least place."""
+    label, a, b = np.arange(len(linked)), [], []
+    while True:
+        seen = np.where(linked, label, len(label))
+        at = seen.argmin(axis=1)
+        better = np.flatnonzero(seen[np.arange(len(label)), at] < label)
+        if not len(better):
+            return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        a += better.tolist()
+        b += at[better].tolist()
+        label = label.copy()
+        label[better] = seen[better, at[better]]
+
+
+def seeds(reps: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b, sim) from the buckets: links that connect what is linked in a block, and each vector's best few."""
+    rows = in_block_pairs(coded.select("rep", F.explode("codes").alias("bucket")), "bucket", reps.select("rep", "vec"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
-        for (key, i, j), t in _runs(batches, ["key", "i", "j"]):
+        for (_, i, j), t in _runs(batches, ["key", "i", "j"]):
             t = t.combine_chunks()
             rep, x = t.column("rep").to_numpy(), _matrix(t.column("vec"))
-            buckets = np.array(t.column("codes").to_pylist())[:, : key % TABLES]
             cut = int((t.column("side").to_numpy() == 0).sum())
-            left, right = slice(0, cut), slice(0, cut) if i == j else slice(cut, None)
-            sim = x[left] @ x[right].T
-            if not sim.size:
+            if len(rep) < 2 or cut == 0 or (i != j and cut == len(rep)):
                 continue
-            linked = sim >= threshold
-            if i == j:
-                linked &= np.tri(cut, k=-1, dtype=bool).T
-                np.fill_diagonal(sim, -2.0)
-            a, b = np.nonzero(linked)
-            new = ~(buckets[left][a] == buckets[right][b]).any(axis=1)
-            parts.append((rep[left][a[new]], rep[right][b[new]], sim[a[new], b[new]]))
+            sim = x @ x.T
+            np.fill_diagonal(sim, -2.0)
+            a, b = spanning(sim >= threshold)
+            parts.append((rep[a], rep[b], sim[a, b]))
+            sim = sim[:cut] if i == j else sim[:cut, cut:]
             k = min(SEEDS, sim.shape[1])
             near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
             a = np.repeat(np.arange(cut), k)
-            parts.append((rep[left][a], rep[right][near.ravel()], sim[a, near.ravel()]))
+            parts.append((rep[a], rep[near.ravel() + (0 if i == j else cut)], sim[a, near.ravel()]))
             if len(parts) > 500:
                 yield _edges(parts)
                 parts = []
         yield _edges(parts)
 
-    return rows.mapInArrow(run, EDGES).where("sim > -1.5")
+    return ordered(rows.mapInArrow(run, EDGES).where("sim > -1.5"))
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Each edge once, a < b."""
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def lists(edges: DataFrame) -> DataFrame:
-    """(c, m, sim, place): each vector's best neighbours from undirected edges."""
-    both = edges.select(F.col("a").alias("c"), F.col("b").alias("m"), "sim").union(edges.select(F.col("b").alias("c"), F.col("a").alias("m"), "sim")).where("c != m")
-    best = both.groupBy("c", "m").agg(F.max("sim").alias("sim"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("sim"), "m"))).where(F.col("place") <= NEIGHBOURS)
+def lists(edges: DataFrame, located: DataFrame) -> DataFrame:
+    """(c, m, sim): each vector's best neighbours in other components, from edges (a, b, sim)."""
+    comp = lambda x: located.select(F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}"))
+    apart = edges.join(comp("a"), "a").join(comp("b"), "b").where("comp_a != comp_b")
+    both = apart.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("m")), F.struct(F.col("b").alias("c"), F.col("a").alias("m")))).alias("e"), "sim").select("e.*", "sim")
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("sim"), "m"))).where(F.col("place") <= NEIGHBOURS).drop("place")
 
 
-def local_joins(graph: DataFrame, reps: DataFrame, threshold: float, step: int) -> DataFrame:
-    """Edges (a, b, sim) between the neighbours of each vector that improve a list or are about a link."""
-    spark = graph.sparkSession
+def local_joins(graph: DataFrame, located: DataFrame, threshold: float, step: int) -> DataFrame:
+    """Edges (a, b, sim) between the neighbours of each vector that are in different components and improve a list or are links."""
     reverse = graph.select(F.col("m").alias("c"), F.col("c").alias("m")).withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("m", F.lit(step))))).where(F.col("place") <= NEIGHBOURS)
     members = graph.select("c", "m").union(reverse.select("c", "m")).distinct()
     worst = graph.groupBy(F.col("c").alias("m")).agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
-    light = reps.select(F.col("rep").alias("m"), "vec").join(worst, "m")
-    rows = members.join(light, "m").repartition(n_partitions(spark), "c").sortWithinPartitions("c")
+    light = located.select(F.col("rep").alias("m"), "comp", "vec").join(worst, "m", "left").select("m", "comp", "vec", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
+    rows = members.join(light, "m").repartition(n_partitions(graph.sparkSession), "c").sortWithinPartitions("c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for _, t in _runs(batches, ["c"]):
+            if len(t) < 2:
+                continue
             t = t.combine_chunks()
-            rep, x, worst = t.column("m").to_numpy(), _matrix(t.column("vec")), t.column("worst").to_numpy()
+            rep, comp, x, worst = t.column("m").to_numpy(), t.column("comp").to_numpy(), _matrix(t.column("vec")), t.column("worst").to_numpy()
             sim = x @ x.T
             good = (sim > np.minimum(worst[:, None], worst[None, :])) | (sim >= threshold)
-            a, b = np.nonzero(good & np.tri(len(rep), k=-1, dtype=bool))
-            parts.append((np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b]), sim[a, b]))
+            a, b = np.nonzero(good & (comp[:, None] != comp) & np.tri(len(rep), k=-1, dtype=bool))
+            parts.append((rep[a], rep[b], sim[a, b]))
             if len(parts) > 500:
                 yield _edges(parts)
                 parts = []
         yield _edges(parts)
 
-    return rows.mapInArrow(run, EDGES).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return ordered(rows.mapInArrow(run, EDGES))
 
 
-def audit(reps: DataFrame, links: DataFrame, threshold: float) -> float:
-    """The share of true links that were found, for AUDITED vectors against all."""
-    chosen = reps.orderBy(F.xxhash64("rep", F.lit(7))).limit(AUDITED).select("rep", "vec").collect()
+def audit(located: DataFrame, threshold: float) -> float:
+    """The share of true links that are within components, for AUDITED vectors against all."""
+    chosen = located.orderBy(F.xxhash64("rep", F.lit(7))).limit(AUDITED).select("rep", "vec", "comp").collect()
     queries: dict[int, list] = {}
     for r in chosen:
-        queries.setdefault(len(r["vec"]), []).append((r["rep"], np.frombuffer(r["vec"])))
-    packed = {n: (np.array([i for i, _ in q]), np.stack([v for _, v in q])) for n, q in queries.items()}
+        queries.setdefault(len(r["vec"]), []).append((r["rep"], r["comp"], np.frombuffer(r["vec"])))
+    packed = {n: (np.array([q[0] for q in some]), np.array([q[1] for q in some]), np.stack([q[2] for q in some])) for n, some in queries.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true = found = 0
         for batch in batches:
-            parts = []
             size = np.array([len(v) for v in batch.column("vec").to_pylist()])
-            for n, (ids, q) in packed.items():
+            for n, (ids, comps, q) in packed.items():
                 some = batch.filter(pa.array(size == n))
                 if some.num_rows:
-                    sim = q @ _matrix(some.column("vec")).T
-                    a, b = np.nonzero(sim >= threshold)
-                    parts.append((ids[a], some.column("rep").to_numpy()[b], sim[a, b]))
-            yield _edges(parts)
+                    a, b = np.nonzero(q @ _matrix(some.column("vec")).T >= threshold)
+                    other = ids[a] != some.column("rep").to_numpy()[b]
+                    true += int(other.sum())
+                    found += int((other & (comps[a] == some.column("comp").to_numpy()[b])).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
+
+    sums = located.select("rep", "vec", "comp").mapInArrow(run, "true bigint, found bigint").agg(F.sum("true"), F.sum("found")).first()
+    return sums[1] / sums[0] if sums[0] else 1.0
+
+
+def link_counts(located: DataFrame, threshold: float) -> DataFrame:
+    """(rep, others): with how many vectors, copies counted, each is linked within its component."""
+    rows = in_block_pairs(located.select("rep", "comp"), "comp", located.select("rep", "n", "vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), t in _runs(batches, ["key", "i", "j"]):
+            t = t.combine_chunks()
+            rep, n, x = t.column("rep").to_numpy(), t.column("n").to_numpy(), _matrix(t.column("vec"))
+            cut = int((t.column("side").to_numpy() == 0).sum())
+            if i == j:
+                linked = x @ x.T >= threshold
+                np.fill_diagonal(linked, False)
+                counts = linked @ n
+            else:
+                linked = x[:cut] @ x[cut:].T >= threshold
+                counts = np.concatenate([linked @ n[cut:], linked.T @ n[:cut]])
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(counts.astype(np.int64))], ["rep", "others"])
 
-    true = reps.select("rep", "vec").mapInArrow(run, EDGES).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = true.join(links.select("a", "b").withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("k")).first()
-    return (found["k"] or 0) / found["n"] if found["n"] else 1.0
+    return rows.mapInArrow(run, "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def with_components(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """``reps`` with the column comp, the least rep reachable by links."""
+    merged = connected_components(links).select(F.col("node").alias("rep"), "component")
+    return reps.select("rep", "n", "vec").join(merged, "rep", "left").select("rep", "n", "vec", F.coalesce("component", "rep").alias("comp"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -218,20 +270,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     total = reps.count()
     bits = max(1, ceil(log2(max(2, total / BUCKET))))
     edges = checkpoint(seeds(reps, codes(reps, bits), threshold))
-    ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    links = checkpoint(ordered.where(F.col("sim") >= threshold))
-    graph = checkpoint(lists(edges))
+    links = edges.where(F.col("sim") >= threshold)
+    located = checkpoint(with_components(reps, links))
     for step in range(ROUNDS):
-        if audit(reps, links, threshold) >= RECALL:
+        if step and audit(located, threshold) >= RECALL:
+            break
+        graph = checkpoint(lists(edges, located))
+        met = checkpoint(local_joins(graph, located, threshold, step))
+        if met.where(F.col("sim") >= threshold).isEmpty() and step:
             break
-        met = checkpoint(local_joins(graph, reps, threshold, step))
-        links = checkpoint(links.union(met.where(F.col("sim") >= threshold)).groupBy("a", "b").agg(F.max("sim").alias("sim")))
-        graph = checkpoint(lists(met.union(graph.select(F.col("c").alias("a"), F.col("m").alias("b"), "sim"))))
-    comps = connected_components(links).select(F.col("node").alias("rep"), "component")
-    size = reps.select(F.col("rep").alias("b"), "n")
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(size, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    classes = reps.join(degree, "rep", "left").join(comps, "rep", "left").select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("comp"))
+        links = checkpoint(links.union(met.where(F.col("sim") >= threshold)))
+        edges = checkpoint(ordered(met.union(graph.select(F.col("c").alias("a"), F.col("m").alias("b"), "sim"))))
+        located = checkpoint(with_components(reps, links))
+    classes = located.join(link_counts(located, threshold), "rep", "left").select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "comp")
     out = units.withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(classes, "vec", "left")
     component = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
