@@ -121,13 +121,13 @@ def lzw(data: bytes) -> bytes:
         if following == 4094:
             put(256, width)
             table, width, following = {bytes((i,)): i for i in range(256)}, 9, 258
-        elif following in (511, 1023, 2047):
+        elif following in (512, 1024, 2048):
             width += 1
         w = bytes((byte,))
     if w:
         put(table[w], width)
         following += 1
-        if following in (511, 1023, 2047):
+        if following in (512, 1024, 2048):
             width += 1
     put(257, width)
     if held:
