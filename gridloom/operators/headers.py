@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,7 @@ def bands(headers: DataFrame) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of the rasters that have an overview file beside them; file contents are not read."""
-    names = spark.read.format("binaryFile").load(folder).select("path")
-    over = names.where(F.lower("path").endswith(".ovr")).select(F.expr("substring(path, 1, length(path) - 4)").alias("path"))
-    return names.join(over, "path", "left_semi")
+    """(path) of the rasters that have an overview file beside them, an empty one too; file contents are not read."""
+    files = spark.read.format("binaryFile").load(folder)
+    over = [(unquote(p)[:-4].replace(":///", ":/", 1),) for p in files.inputFiles() if p.lower().endswith(".ovr")]
+    return files.select("path").join(spark.createDataFrame(over, "path string"), "path", "left_semi")
