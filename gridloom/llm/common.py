@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _released[0] > RELEASE_S:
+        release(df.sparkSession)
+    return out
 
 
 #: Up to so many ids (8 bytes each) are broadcast to a join; more are joined by a shuffle, with equal results.
@@ -45,14 +49,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Seconds between releases, and when the last one was.
+RELEASE_S = 2.0
+_released = [0.0]
+
+
 def release(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files and checkpoints that nothing refers to any more.
 
     It does so when the driver collects its garbage, which a driver with little
-    to do puts off; operators of many rounds call this between them.
+    to do puts off; checkpoints call this between the rounds of an operator.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _released[0] = time.monotonic()
 
 
 def row_key(id_: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, release
+from .common import checkpoint
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -40,8 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if state == seen:
             break
         seen = state
-        del both, least, large, small
-        release(edges.sparkSession)
+        del both, least, large, small  # so that what they shuffled can be deleted
     else:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

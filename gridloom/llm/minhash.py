@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, joinable, n_partitions, release
+from .common import checkpoint, joinable, n_partitions
 from .components import connected_components
 from .textnum import fingerprint, mix, shingle_sets
 
@@ -424,21 +424,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_rows = buckets(reps)
     several = band_rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     shared = checkpoint(band_rows.join(several, "key", "left_semi"))
-    release(docs.sparkSession)
     comps, links = shared.select("rep").distinct().withColumn("comp", F.col("rep")), None
     for step in ("stars", "first", "rest"):
         if step == "stars":
             new = verified(checkpoint(likely(star_pairs(shared), reps, share)), texts, k, num, den)
         else:
             rows = dealt(checkpoint(left_over(shared, comps)), reps)
-            release(docs.sparkSession)
             if step == "first":
                 new = verified(checkpoint(likeliest_pairs(rows, share)), texts, k, num, den)
             else:
                 new = links_in_blocks(checkpoint(undecided(rows, share)), texts, k, num, den)
         links = checkpoint(new if links is None else links.union(new))
-        del new
-        release(docs.sparkSession)
         merged = connected_components(links)
         comps = checkpoint(comps.select("rep").join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")))
     classes = reps.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("class"))
