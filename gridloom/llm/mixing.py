@@ -155,7 +155,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents, taken = plan(checkpoint(sized(docs, id_col, text_col, source_col)), seed)
     part = F.struct("start", "doc_id", F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0)).alias("first_word"), "words")
     parts = pieces(documents).groupBy("source_no", "block").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return taken.join(parts.withColumn("source_no", F.col("source_no").cast("long")), ["source_no", "block"])
+    return taken.hint("merge").join(parts.withColumn("source_no", F.col("source_no").cast("long")), ["source_no", "block"])
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -170,7 +170,8 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents, taken = plan(checkpoint(sized(docs, id_col, text_col, source_col)), seed)
     used = taken.groupBy(F.col("source_no").cast("int").alias("source_no"), "block").agg(F.count("*").alias("times"))
     columns = ["doc_id", "key", "source_no", "source_size", "target", "start", "size"]
-    cut = pieces(documents).join(used, ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # Slots grow with the data though they come from a short range, so Spark must not take them for small.
+    cut = pieces(documents).join(used.hint("merge"), ["source_no", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
     some = cut.groupBy(columns).agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("block", "times"))), lambda x: x["times"]).alias("counts"))
     none = documents.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("array<bigint>").alias("counts"))
     return some.union(none)
