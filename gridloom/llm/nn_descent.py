@@ -2,15 +2,18 @@
 
 1. Equal vectors fall together and count as one with a multiplicity.
 2. Seeds: random hyperplanes deal the vectors into buckets of a few dozen, in
-   several tables; a bucket is compared exactly, cut into pairs of blocks where
-   it is large.  That gives each vector its first neighbours, and links that
-   connect what is linked within a block.
+   so many tables that a pair at the threshold shares a bucket of one with
+   probability RECALL, however many vectors there are; a bucket is compared
+   exactly, cut into pairs of blocks where it is large.  That gives each vector
+   its first neighbours, and links that connect what is linked within a block.
 3. NN-descent: at every vector its neighbours and some of those that have it as
    neighbour meet; pairs that improve a list enter it.  Links merge vectors into
    components.  A list saturated by links grows to the vector's whole component,
    whose members take no places in it; its places are for other components.
 4. After each round an audit compares a fixed number of vectors with all others
-   exactly; rounds go on until RECALL of their true links are within components or ROUNDS end.
+   exactly; rounds, with fresh seeds, go on until RECALL of their true links are
+   within components.  Where the audit after the last of ROUNDS finds less, all
+   vectors are compared with all, slice by slice.
 5. Within each component all pairs are compared, cut into pairs of blocks, and
    only the number of each vector's links leaves a block.
 
@@ -21,7 +24,7 @@ a component is quadratic by definition of ``n_links``, in bounded blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,14 @@ from pyspark.sql import functions as F
 from .common import checkpoint, n_partitions
 from .components import connected_components
 
-TABLES, BUCKET, BLOCK = 8, 48, 256
+#: Tables that are dealt at once; vectors in a bucket, about, and in a block; vectors in a slice that is compared with all.
+TABLES, BUCKET, BLOCK, SLICE = 8, 48, 256, 8192
 #: Places in a neighbour list for other components; places that a block of a bucket may fill.
 NEIGHBOURS, SEEDS = 10, 4
 ROUNDS, RECALL, AUDITED = 4, 0.995, 400
 NEAR = 1e-5
+#: More tables are not dealt before the first audit.
+MOST_TABLES = 128
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -97,6 +103,12 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
         yield last, pa.Table.from_batches(kept)
 
 
+def tables_for(bits: int, threshold: float) -> int:
+    """How many tables make a pair at the threshold share a bucket of one with probability RECALL."""
+    same = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** bits
+    return 1 if same == 1 else min(MOST_TABLES, ceil(log(1 - RECALL) / log(1 - same))) if same > 1e-3 else MOST_TABLES
+
+
 EDGES = "a bigint, b bigint, sim double"
 
 
@@ -202,6 +214,51 @@ def local_joins(graph: DataFrame, located: DataFrame, threshold: float, step: in
     return ordered(rows.mapInArrow(run, EDGES))
 
 
+def all_links(located: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, sim) that connect all linked vectors of different components, from slices compared with all."""
+    context, n, out = located.sparkSession.sparkContext, ceil(located.count() / SLICE), None
+
+    def against(packed) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts, size = [], np.array([len(v) for v in batch.column("vec").to_pylist()])
+                for length, (ids, comps, q) in packed.value.items():
+                    some = batch.filter(pa.array(size == length))
+                    if not some.num_rows:
+                        continue
+                    rep, comp, x = some.column("rep").to_numpy(), some.column("comp").to_numpy(), _matrix(some.column("vec"))
+                    for at in range(0, len(ids), 512):
+                        here = slice(at, at + 512)
+                        sim = q[here] @ x.T
+                        linked = (sim >= threshold) & (comps[here, None] != comp)
+                        i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+                        for k in range(0, len(j), 1024):
+                            few = j[k : k + 1024]
+                            square = np.zeros((len(i) + len(few),) * 2, dtype=bool)
+                            square[: len(i), len(i) :] = linked[np.ix_(i, few)]
+                            a, b = spanning(square | square.T)
+                            a, b = np.minimum(a, b), np.maximum(a, b) - len(i)
+                            parts.append((ids[here][i[a]], rep[few[b]], sim[i[a], few[b]]))
+                yield _edges(parts)
+
+        return checkpoint(ordered(located.select("rep", "vec", "comp").mapInArrow(run, EDGES)))
+
+    for k in range(n):
+        packed = context.broadcast(_packed(located.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(n)) == k)))
+        found = against(packed)
+        packed.destroy()
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _packed(located: DataFrame) -> dict:
+    """By vector length: ids, components and a matrix of the vectors."""
+    by: dict[int, list] = {}
+    for r in located.select("rep", "vec", "comp").collect():
+        by.setdefault(len(r["vec"]), []).append((r["rep"], r["comp"], np.frombuffer(r["vec"])))
+    return {n: (np.array([q[0] for q in some]), np.array([q[1] for q in some]), np.stack([q[2] for q in some])) for n, some in by.items()}
+
+
 def audit(located: DataFrame, threshold: float) -> float:
     """The share of true links that are within components, for AUDITED vectors against all."""
     chosen = located.orderBy(F.xxhash64("rep", F.lit(7))).limit(AUDITED).select("rep", "vec", "comp").collect()
@@ -269,19 +326,28 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     reps = checkpoint(usable.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     total = reps.count()
     bits = max(1, ceil(log2(max(2, total / BUCKET))))
-    edges = checkpoint(seeds(reps, codes(reps, bits), threshold))
+    batches = ceil(tables_for(bits, threshold) / TABLES)
+    edges = None
+    for batch in range(batches):
+        more = seeds(reps, codes(reps, bits, batch), threshold)
+        edges = checkpoint(more if edges is None else ordered(edges.union(more)))
     links = edges.where(F.col("sim") >= threshold)
     located = checkpoint(with_components(reps, links))
     for step in range(ROUNDS):
-        if step and audit(located, threshold) >= RECALL:
-            break
+        if step:
+            if audit(located, threshold) >= RECALL:
+                break
+            fresh = checkpoint(seeds(reps, codes(reps, bits, batches + step), threshold))
+            edges, links = ordered(edges.union(fresh)), links.union(fresh.where(F.col("sim") >= threshold))
+            located = checkpoint(with_components(reps, links))
         graph = checkpoint(lists(edges, located))
         met = checkpoint(local_joins(graph, located, threshold, step))
-        if met.where(F.col("sim") >= threshold).isEmpty() and step:
-            break
         links = checkpoint(links.union(met.where(F.col("sim") >= threshold)))
         edges = checkpoint(ordered(met.union(graph.select(F.col("c").alias("a"), F.col("m").alias("b"), "sim"))))
         located = checkpoint(with_components(reps, links))
+    else:
+        if audit(located, threshold) < RECALL:
+            located = checkpoint(with_components(reps, links.union(all_links(located, threshold))))
     classes = located.join(link_counts(located, threshold), "rep", "left").select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "comp")
     out = units.withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(classes, "vec", "left")
     component = F.coalesce("comp", "vec_id")
