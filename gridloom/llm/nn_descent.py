@@ -10,9 +10,9 @@
    neighbour meet; pairs that improve a list enter it.  Links merge vectors into
    components.  A list saturated by links grows to the vector's whole component,
    whose members take no places in it; its places are for other components.
-4. After each round an audit compares a fixed number of vectors with all others
-   exactly; rounds, with fresh seeds, go on until RECALL of their true links are
-   within components.  Where the audit after the last of ROUNDS finds less, all
+4. After each round an audit compares vectors of small and of large components
+   with all others exactly; rounds, with fresh seeds, go on until the mean of
+   their own recall reaches RECALL in both.  Where the audit after the last of ROUNDS finds less, all
    vectors are compared with all, slice by slice.
 5. Within each component all pairs are compared, cut into pairs of blocks, and
    only the number of each vector's links leaves a block.
@@ -40,6 +40,8 @@ TABLES, BUCKET, BLOCK, SLICE = 8, 48, 256, 8192
 NEIGHBOURS, SEEDS = 10, 4
 ROUNDS, RECALL, AUDITED = 4, 0.995, 400
 NEAR = 1e-5
+#: A small component has at most so many vectors; at most so many vectors of small components are audited.
+SMALL, AUDIT_MOST = 8, 16384
 #: More tables are not dealt before the first audit.
 MOST_TABLES = 128
 
@@ -259,29 +261,55 @@ def _packed(located: DataFrame) -> dict:
     return {n: (np.array([q[0] for q in some]), np.array([q[1] for q in some]), np.stack([q[2] for q in some])) for n, some in by.items()}
 
 
+def sample(located: DataFrame) -> DataFrame:
+    """(rep, vec, comp, small): vectors to audit, from components of at most SMALL and from larger ones.
+
+    Of large components about AUDITED vectors are drawn.  Of small ones, single
+    vectors among them, so many that about AUDITED have a link, as far as found
+    components tell, and AUDIT_MOST at most.
+    """
+    sized = located.join(located.groupBy("comp").agg(F.count("*").alias("size")), "comp").withColumn("small", F.col("size") <= SMALL)
+    n = sized.agg(F.count_if("small").alias("small"), F.count_if(F.col("small") & (F.col("size") > 1)).alias("linked"), F.count_if(~F.col("small")).alias("large")).first()
+    draw = min(AUDIT_MOST, ceil(AUDITED * n["small"] / max(1, n["linked"])))
+    share = F.when(F.col("small"), F.lit(draw / max(1, n["small"]))).otherwise(F.lit(AUDITED / max(1, n["large"])))
+    turn = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
+    return sized.where(turn < share).select("rep", "vec", "comp", "small")
+
+
 def audit(located: DataFrame, threshold: float) -> float:
-    """The share of true links that are within components, for AUDITED vectors against all."""
-    chosen = located.orderBy(F.xxhash64("rep", F.lit(7))).limit(AUDITED).select("rep", "vec", "comp").collect()
-    queries: dict[int, list] = {}
-    for r in chosen:
-        queries.setdefault(len(r["vec"]), []).append((r["rep"], r["comp"], np.frombuffer(r["vec"])))
-    packed = {n: (np.array([q[0] for q in some]), np.array([q[1] for q in some]), np.stack([q[2] for q in some])) for n, some in queries.items()}
+    """The mean share of its own true links that an audited vector has within its component.
+
+    Each vector that has a link counts once, however many it has; the mean is
+    taken apart for small and large components, and the lesser one counts.
+    """
+    chosen = checkpoint(sample(located))
+    small = {r["rep"]: r["small"] for r in chosen.select("rep", "small").collect()}
+    packed = located.sparkSession.sparkContext.broadcast(_packed(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = found = 0
+        sums = {n: np.zeros((2, len(ids)), dtype=np.int64) for n, (ids, _, _) in packed.value.items()}
         for batch in batches:
             size = np.array([len(v) for v in batch.column("vec").to_pylist()])
-            for n, (ids, comps, q) in packed.items():
+            for n, (ids, comps, q) in packed.value.items():
                 some = batch.filter(pa.array(size == n))
-                if some.num_rows:
-                    a, b = np.nonzero(q @ _matrix(some.column("vec")).T >= threshold)
-                    other = ids[a] != some.column("rep").to_numpy()[b]
-                    true += int(other.sum())
-                    found += int((other & (comps[a] == some.column("comp").to_numpy()[b])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["true", "found"])
-
-    sums = located.select("rep", "vec", "comp").mapInArrow(run, "true bigint, found bigint").agg(F.sum("true"), F.sum("found")).first()
-    return sums[1] / sums[0] if sums[0] else 1.0
+                if not some.num_rows:
+                    continue
+                rep, comp, x = some.column("rep").to_numpy(), some.column("comp").to_numpy(), _matrix(some.column("vec"))
+                for at in range(0, len(ids), 512):
+                    a, b = np.nonzero(q[at : at + 512] @ x.T >= threshold)
+                    a, b = a[ids[a + at] != rep[b]] + at, b[ids[a + at] != rep[b]]
+                    sums[n][0] += np.bincount(a, minlength=len(ids))
+                    sums[n][1] += np.bincount(a[comps[a] == comp[b]], minlength=len(ids))
+        for n, (ids, _, _) in packed.value.items():
+            has = sums[n][0] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(sums[n][0][has]), pa.array(sums[n][1][has])], ["rep", "true", "found"])
+
+    rows = located.select("rep", "vec", "comp").mapInArrow(run, "rep bigint, true bigint, found bigint").groupBy("rep").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).collect()
+    packed.destroy()
+    shares: dict[bool, list[float]] = {}
+    for r in rows:
+        shares.setdefault(small[r["rep"]], []).append(r["found"] / r["true"])
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
 
 
 def link_counts(located: DataFrame, threshold: float) -> DataFrame:

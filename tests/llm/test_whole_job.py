@@ -36,3 +36,16 @@ def test_tables_grow_with_the_buckets():
     near = 1 - np.arccos(0.95) / np.pi
     for bits in (1, 8, 11, 20):
         assert (1 - near**bits) ** nn_descent.tables_for(bits, 0.95) <= 1 - nn_descent.RECALL
+
+
+def test_hot_group_does_not_hide_missed_pairs(spark):
+    rng = np.random.default_rng(1)
+    hot = rng.standard_normal(32) + rng.standard_normal((300, 32)) * 0.02
+    x = np.vstack([pairs(20, 20), hot])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, bytearray(v.tobytes()), 1, i if i < 60 else 60) for i, v in enumerate(u)]  # no pair is found, the hot group is
+    located = spark.createDataFrame(rows, "rep long, vec binary, n long, comp long")
+    assert nn_descent.audit(located, 0.95) < 0.1
+    mended = located.selectExpr("rep", "vec", "n", "if(rep >= 20 and rep < 40, rep - 20, comp) as comp")
+    assert nn_descent.audit(mended, 0.9) > 0.99
+    assert nn_descent.audit(located.limit(0), 0.95) == 1.0
