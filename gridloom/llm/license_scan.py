@@ -1,7 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
-Only DataFrame functions are used.  A block is a line of text.  A block and a
-template match if the block holds at least ``THRESHOLD`` of the template's
+Only DataFrame functions are used.  A block is a line of text, or a run of
+words across line ends, a quarter longer than the template, so that a passage
+is found however it is wrapped.  A block and a template match if the block holds at least ``THRESHOLD`` of the template's
 distinct words.  Words are put in one global order, rarest in the corpus first;
 a matching block must hold a word of the template's prefix in that order, so
 the join is an equi-join on prefix words, followed by the length filter, the
@@ -68,8 +69,8 @@ def _all(first: Column, *rest: Column) -> Column:
 
 def template_table(spark: SparkSession, docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: int) -> tuple[DataFrame, list[str], list[str]]:
     """(one row for each template and prefix word, all template words in global order, all prefix words)."""
-    sets = [(label, sorted(set(t.lower().split()))) for label, t in templates]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    sets = [(label, sorted(set(t.lower().split())), len(t.split()) * 5 // 4) for label, t in templates]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = F.array(*map(F.lit, vocabulary))
     rows = docs.select(F.explode(F.array_intersect(F.split(F.lower(text), BREAK), known)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -77,17 +78,17 @@ def template_table(spark: SparkSession, docs: DataFrame, text_col: str, template
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     out, prefixes = [], set()
-    for label, s in sets:
+    for label, s, span in sets:
         s = sorted(s, key=rank.get)
         need = ceil(len(s) * threshold / 100)
         for i, w in enumerate(s[: len(s) - need + 1]):
-            out.append((w, label, s, need, i))
+            out.append((w, label, s, need, i, span))
             prefixes.add(w)
-    return spark.createDataFrame(out, "prefix_word string, label string, template array<string>, need int, t_place int"), order, sorted(prefixes)
+    return spark.createDataFrame(out, "prefix_word string, label string, template array<string>, need int, t_place int, span int"), order, sorted(prefixes)
 
 
 def template_matches(docs: DataFrame, row_key: Column, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: int = THRESHOLD) -> DataFrame:
-    """(row_key, line, label, containment) of every block and template that match.
+    """(row_key, line, label, containment) of every block and template that match; line is null for runs of words.
 
     Null and empty texts have no blocks.  A block that matches several
     templates of one label gives its greatest containment.
@@ -102,7 +103,32 @@ def template_matches(docs: DataFrame, row_key: Column, text_col: str = "text", t
     left = F.least(F.size("template") - F.col("t_place"), F.size("block") - F.col("b_place"))
     pairs = probes.join(F.broadcast(table), "prefix_word").where((F.size("block") >= F.col("need")) & (left + F.least("t_place", "b_place") >= F.col("need")))
     same = F.size(F.array_intersect("template", "block"))
-    return pairs.where(same >= F.col("need")).groupBy("row_key", "line", "label").agg(F.max(same / F.size("template")).alias("containment"))
+    by_line = pairs.where(same >= F.col("need")).groupBy("row_key", "line", "label").agg(F.max(same / F.size("template")).alias("containment"))
+    several = docs.where(F.col(text_col).rlike(any_prefix) & F.col(text_col).contains("\n")).select(row_key.alias("row_key"), words_of(ascii_lower(F.col(text_col))).alias("words"))
+    return by_line.unionByName(run_matches(several, table, prefixes, max(len(t.split()) * 5 // 4 for _, t in templates)))
+
+
+def run_matches(docs: DataFrame, table: DataFrame, prefixes: list[str], widest: int) -> DataFrame:
+    """(row_key, line, label, containment) of templates and runs of ``span`` words, from (row_key, words).
+
+    A run that matches holds a prefix word, so only the surroundings of prefix
+    words are looked at; runs within a line give no more than their line does.
+    """
+    prefix = F.array(*map(F.lit, prefixes))
+
+    def around(words: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(prefix, F.get(words, i)))
+        first = lambda i: F.greatest(i - (widest - 1), F.lit(0))
+        return F.transform(at, lambda i: F.struct(F.get(words, i).alias("prefix_word"), (i - first(i)).alias("at"), F.slice(words, first(i) + 1, i - first(i) + widest).alias("near")))
+
+    probes = docs.where(F.size("words") > 0).select("row_key", F.explode(_let(F.col("words"), around)).alias("p")).select("row_key", "p.*")
+    first = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
+    pairs = probes.join(F.broadcast(table), "prefix_word").withColumn("near", F.slice("near", first + 1, F.col("at") - first + F.col("span")))
+    pairs = pairs.where(F.size(F.array_intersect("template", "near")) >= F.col("need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("span") + 1, F.lit(1)))
+    pairs = pairs.withColumn("same", F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.col("template"), F.slice(F.col("near"), i, F.col("span")))))))
+    found = pairs.where(F.col("same") >= F.col("need")).groupBy("row_key", "label").agg(F.max(F.col("same") / F.size("template")).alias("containment"))
+    return found.select("row_key", F.lit(None).cast("int").alias("line"), "label", "containment")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """Cases beyond the given tables in which an operator must still do its whole job."""
 
+import textwrap
+
 import numpy as np
 import pytest
 
-from gridloom.llm import nn_descent
+from gridloom.llm import license_scan, nn_descent
 
 
 def pairs(n, others, dim=32, seed=5):
@@ -49,3 +51,20 @@ def test_hot_group_does_not_hide_missed_pairs(spark):
     mended = located.selectExpr("rep", "vec", "n", "if(rep >= 20 and rep < 40, rep - 20, comp) as comp")
     assert nn_descent.audit(mended, 0.9) > 0.99
     assert nn_descent.audit(located.limit(0), 0.95) == 1.0
+
+
+def test_wrapped_licenses_are_found(spark):
+    """Each template, wrapped at several widths and behind comment signs, gets the label that it gets on one line."""
+    rows, want = [], {}
+    for label, t in license_scan.TEMPLATES:
+        for width in (0, 20, 35, 72):
+            wrapped = "\n# ".join(textwrap.wrap(t, width)) if width else t
+            want[len(rows)] = label
+            rows.append((len(rows), f"some words here\n# {wrapped}\nand other words"))
+    n = len(rows)
+    rows.append((n, "redistribution of food\nand use of water in\n" + "plain words\n" * 40 + "source of the\nriver without modification"))
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for i in range(0, n, 4):
+        assert want[i] in got[i]["labels"].split(",")
+        assert {(got[i + k]["labels"], got[i + k]["score"]) for k in range(4)} == {(got[i]["labels"], 1.0)}, rows[i + 1]
+    assert got[n]["labels"] == "" and got[n]["score"] == 0.0
