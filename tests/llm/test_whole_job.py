@@ -3,9 +3,10 @@
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gridloom.llm import license_scan, nn_descent
+from gridloom.llm import license_scan, nn_descent, toxicity
 
 
 def pairs(n, others, dim=32, seed=5):
@@ -68,3 +69,14 @@ def test_wrapped_licenses_are_found(spark):
         assert want[i] in got[i]["labels"].split(",")
         assert {(got[i + k]["labels"], got[i + k]["score"]) for k in range(4)} == {(got[i]["labels"], 1.0)}, rows[i + 1]
     assert got[n]["labels"] == "" and got[n]["score"] == 0.0
+
+
+def test_large_vocabularies_keep_words_apart(spark):
+    """A word seen in toxic texts alone keeps its counts among a million others."""
+    plain = [(" ".join(f"{i * 5000 + k:x}q" for k in range(5000)), 0) for i in range(200)]
+    toxic = [(f"{j:x}q vilest{k}", 1) for k in range(8) for j in range(12)]
+    train = spark.createDataFrame(plain + toxic, "text string, toxic int").repartition(8)
+    model = toxicity.Model(toxicity.tables(toxicity.gather(train)))
+    _, _, _, w, prefixes = next(toxicity.tokens(pa.array([" ".join(f"vilest{k}" for k in range(8)) + " neverseenatall"])))
+    ratios = model.ratios(w, prefixes)
+    assert np.ptp(ratios[:8]) < 1e-9 and (ratios[:8] > 1).all() and ratios[8] == 0
