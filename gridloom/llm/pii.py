@@ -8,7 +8,9 @@ digits, letters keep script and case, cards keep their first digit and whether
 their check digit holds, addresses stay addresses in reserved domains, names
 keep number of words, gender and script.  Surrogates that meet each other or a
 real entity are drawn anew until all are distinct, and every mention of an
-entity, in whatever document, gets the same one in its own format.
+entity, in whatever document, gets the same one in its own format.  A name
+found behind a form of address is replaced without one too in its document, and
+a surname alone stands for the full name that has it there.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .quality_rules import _let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
-_WORD = r"\p{Lu}[\p{Ll}’'-]*\p{Ll}"
+_WORD = r"\p{Lu}(?:[\p{Ll}-]|[’'](?!s(?!\p{L})))*\p{Ll}"
 
 #: In the order in which they are tried at one place.
 PATTERNS = {
@@ -70,6 +72,35 @@ def canonical_of(kind: Column, value: Column) -> Column:
     )
 
 
+def _full(name: Column) -> Column:
+    return name.contains(" ")
+
+
+def people_of(text: Column) -> Column:
+    """The canonical names found in a text, full ones first, else in their order."""
+    name = rf"^(?:{PATTERNS['name']})$"
+    found = F.filter(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda x: x.rlike(name))
+    people = F.array_distinct(F.transform(found, lambda x: canonical_of(F.lit("name"), x)))
+    return _let(people, lambda p: F.concat(F.filter(p, lambda x: _full(F.substring(x, F.lit(3), F.length(x)))), F.filter(p, lambda x: ~_full(F.substring(x, F.lit(3), F.length(x))))))
+
+
+def pattern_with(people: Column) -> Column:
+    """PATTERN, and the names and surnames of ``people`` without a form of address, the longest first."""
+    names = F.transform(people, lambda p: F.substring(p, F.lit(3), F.length(p)))
+    forms = F.array_distinct(F.concat(names, F.transform(names, lambda n: F.substring_index(n, " ", -1))))
+    longest = F.array_sort(forms, lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(people) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))).otherwise(PATTERN)
+
+
+def person_of(people: Column, value: Column) -> Column:
+    """Whom of ``people`` a mention names, by full name or surname and, behind a form of address, gender; else null."""
+    title = rf"^(?:{MALE}|{FEMALE})\.? "
+    name = F.regexp_replace(value, title, "")
+    gender = F.when(value.rlike(title), F.substring(canonical_of(F.lit("name"), value), 1, 1))
+    fits = lambda p: F.coalesce(F.substring(p, 1, 1) == gender, F.lit(True)) & ((F.substring(p, F.lit(3), F.length(p)) == name) | (F.substring_index(F.substring(p, F.lit(3), F.length(p)), " ", -1) == name))
+    return F.get(F.filter(people, fits), F.lit(0))
+
+
 def _number(h: Column, place: Column, below: int) -> Column:
     """A pseudorandom number below 256 at one place of a hex digest."""
     return F.conv(F.substring(h, F.pmod(place * 2, F.lit(128)).cast("int") + 1, F.lit(2)), 16, 10).cast("int") % below
@@ -152,10 +183,12 @@ def written(kind: Column, value: Column, surrogate: Column) -> Column:
     digits = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(surrogate, before(i), F.lit(1))).otherwise(c)), "")
     letters = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(surrogate, F.length(F.replace(F.substring(value, F.lit(1), i + 1), F.lit(" "), F.lit(""))), F.lit(1)))), "")
     honorific = F.regexp_extract(value, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
+    name = F.substring(surrogate, F.lit(3), F.length(surrogate))
+    name = F.when(_full(F.regexp_replace(value, rf"^(?:{MALE}|{FEMALE})\.? ", "")), name).otherwise(F.substring_index(name, " ", -1))
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", letters)
-        .when(kind == "name", F.concat(honorific, F.substring(surrogate, F.lit(3), F.length(surrogate))))
+        .when(kind == "name", F.concat(honorific, name))
         .otherwise(surrogate)
     )
 
@@ -198,14 +231,16 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     text = F.col(text_col)
     row = row_key(F.col(id_col), text)
     has = text.rlike(HINT) & text.rlike(PATTERN)
-    found = docs.where(has).select(row.alias("__row"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("place", "value"))
-    mentions = found.withColumn("kind", kind_of(F.col("value"))).withColumn("canonical", canonical_of(F.col("kind"), F.col("value")))
+    named = docs.where(has).select(row.alias("__row"), text.alias("text"), F.when(text.rlike(PATTERNS["name"]), people_of(text)).otherwise(F.array().cast("array<string>")).alias("people"))
+    found = named.select("__row", "people", F.posexplode(F.regexp_extract_all("text", pattern_with(F.col("people")), F.lit(0))).alias("place", "value"))
+    found = found.withColumn("person", F.when(F.size("people") > 0, person_of(F.col("people"), F.col("value"))))
+    mentions = found.withColumn("kind", F.when(F.col("person").isNotNull(), "name").otherwise(kind_of(F.col("value")))).withColumn("canonical", F.coalesce("person", canonical_of(F.col("kind"), F.col("value"))))
     mentions = checkpoint(mentions.dropDuplicates(["__row", "place"]))
     surrogates = checkpoint(assign(mentions.select("kind", "canonical").distinct(), key))
-    filled = mentions.join(surrogates, ["kind", "canonical"]).select("__row", "place", written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
-    filled = filled.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"))
+    filled = mentions.join(surrogates, ["kind", "canonical"]).select("__row", "people", "place", written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
+    filled = filled.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"), F.first("people").alias("__people"))
     touched = docs.where(has).withColumn("__row", row).join(filled, "__row")
-    whole = F.array_join(F.transform(F.split(text, PATTERN, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
-    touched = touched.withColumn("n_entities", F.size("__new").cast("long")).withColumn(text_col, whole).drop("__row", "__new")
+    whole = F.array_join(F.transform(F.split(text, pattern_with(F.col("__people")), -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
+    touched = touched.withColumn("n_entities", F.size("__new").cast("long")).withColumn(text_col, whole).drop("__row", "__new", "__people")
     rest = docs.where(~F.coalesce(has, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
     return touched.select(rest.columns).union(rest)

@@ -1,12 +1,13 @@
 """Cases beyond the given tables in which an operator must still do its whole job."""
 
+import re
 import textwrap
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import license_scan, nn_descent, toxicity
+from gridloom.llm import license_scan, nn_descent, pii, toxicity
 
 
 def pairs(n, others, dim=32, seed=5):
@@ -80,3 +81,15 @@ def test_large_vocabularies_keep_words_apart(spark):
     _, _, _, w, prefixes = next(toxicity.tokens(pa.array([" ".join(f"vilest{k}" for k in range(8)) + " neverseenatall"])))
     ratios = model.ratios(w, prefixes)
     assert np.ptp(ratios[:8]) < 1e-9 and (ratios[:8] > 1).all() and ratios[8] == 0
+
+
+def test_names_stay_one_person_in_a_document(spark):
+    text = "Mr John Smith came. John Smith sat, Smith spoke, Mr. Smith left; Smith's hat. Mrs Smith and Smithson stayed."
+    rows = [(1, text), (2, "Smith and John Smith, untitled"), (3, "Frau Müller sah Müller."), (4, None)]
+    got = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
+    new = got[1]["text"]
+    first, last = re.match(r"Mr (\w+) (\w+) came", new).groups()
+    other = re.search(r"Mrs (\w+) and", new)[1]
+    assert new == f"Mr {first} {last} came. {first} {last} sat, {last} spoke, Mr. {last} left; {last}'s hat. Mrs {other} and Smithson stayed."
+    assert got[1]["n_entities"] == 6 and other not in (last, "Smith") and "Smith" != last
+    assert got[2]["text"] == rows[1][1] and "Müller" not in got[3]["text"] and got[3]["n_entities"] == 2 and got[4]["text"] is None
