@@ -22,6 +22,7 @@ from .common import checkpoint, row_key
 from .quality_rules import _let
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 MALE, FEMALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
 _WORD = r"\p{Lu}(?:[\p{Ll}-]|[’'](?!s(?!\p{L})))*\p{Ll}"
 
@@ -29,11 +30,14 @@ _WORD = r"\p{Lu}(?:[\p{Ll}-]|[’'](?!s(?!\p{L})))*\p{Ll}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9_-])"
-    r"|(?<=[=:\"']|[=:] |[=:]  )(?=[A-Za-z0-9+/_.=-]{8})(?<=(?:token|secret|passwd|password|apikey|api_key|api-key|access_key)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_.=-]{8,}",
+    r"|(?<=[=:\"']|[=:] |[=:]  )(?=[A-Za-z0-9+/_.=-]{8})(?<=(?i:token|secret|passwd|password|apikey|api_key|api-key|access_key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_.=-]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "ipv6": rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}(?:{_OCTET}\.){{3}}{_OCTET}|(?=[0-9A-Fa-f:]*(?:\d|[A-Fa-f]{{4}}))(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,6}}(?:(?:{_OCTET}\.){{3}}{_OCTET}|{_HEX}))?)(?!\w|:[0-9A-Fa-f:]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"
+    r"|(?<![\w+.-])(?<!\d )\d{3} \d{3}[ .-]\d{4}(?!\w|[ .,-]\d)"
+    r"|(?<![\w+./:-])(?<!\d )(?=\(?0(?:[ /)-]{0,2}\d){7,13}(?!\w))(?:\(0\d{1,4}\)|0\d{2,4})(?:[ /] ?\d{2,8}(?:[ -]\d{2,5}){0,4}|-\d{5,8})(?!\w|[./:-]\d)",
     "card": r"(?<![\w-])(?:\d{4}[ -]?){3}\d{1,7}(?![\w-])|(?<![\w-])\d{4}[ -]?\d{6}[ -]?\d{5}(?![\w-])",
     "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_WORD}(?: {_WORD})?",
 }
@@ -65,7 +69,7 @@ def canonical_of(kind: Column, value: Column) -> Column:
     gender = F.when(value.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("m")
     return (
         F.when(kind.isin("phone", "card", "ssn"), digits)
-        .when(kind == "email", F.lower(value))
+        .when(kind.isin("email", "ipv6"), F.lower(value))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
         .when(kind == "name", F.concat(gender, F.lit(" "), name))
         .otherwise(value)
@@ -165,10 +169,12 @@ def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Colu
     def made(h: Column) -> Column:
         mail = F.concat(_alike(F.substring_index(value, "@", 1), h), more, F.lit("@"), F.element_at(F.array(*map(F.lit, DOMAINS)), _number(h, F.lit(63), len(DOMAINS)) + 1))
         octet = lambda i: (_number(h, F.lit(i), 254) + 1).cast("string")
-        keep = F.when(kind == "phone", F.greatest(F.length(value) - 10, F.lit(0))).when(kind == "iban", 2).otherwise(0)
+        groups = [F.substring(h, 4 * i + 1, 4) for i in range(6)]
+        keep = F.when(kind == "phone", F.greatest(F.length(value) - 10, F.when(value.startswith("0"), 1).otherwise(0))).when(kind == "iban", 2).otherwise(0)
         return (
             F.when(kind == "email", mail)
             .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
+            .when(kind == "ipv6", F.concat_ws(":", F.lit("2001:db8"), *groups))
             .when(kind == "card", _card(value, h))
             .when(kind == "name", _name(value, h, attempt))
             .otherwise(F.concat(F.substring(value, F.lit(1), keep), _alike(F.substring(value, keep + 1, F.length(value)), h)))

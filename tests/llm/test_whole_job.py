@@ -93,3 +93,20 @@ def test_names_stay_one_person_in_a_document(spark):
     assert new == f"Mr {first} {last} came. {first} {last} sat, {last} spoke, Mr. {last} left; {last}'s hat. Mrs {other} and Smithson stayed."
     assert got[1]["n_entities"] == 6 and other not in (last, "Smith") and "Smith" != last
     assert got[2]["text"] == rows[1][1] and "Müller" not in got[3]["text"] and got[3]["n_entities"] == 2 and got[4]["text"] is None
+
+
+@pytest.mark.parametrize("value", ["2001:db8:85a3::8a2e:370:7334", "fe80::1", "::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:192.0.2.7", "555 123 4567", "089 1234567", "030/12345678", "(089) 123 45 67", "0171-1234567", "020 7946 0958"])
+def test_addresses_and_phones_of_other_forms(spark, value):
+    rows = [(1, f"see {value}, or {value}. End"), (2, "from 01/02/2003 12:30:45 to 01-02-2003, std::vector a::b 00:1a:2b:3c:4d:5e")]
+    got = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
+    one, two = re.fullmatch(r"see (.+), or (.+)\. End", got[1]["text"]).groups()
+    assert one == two != value and got[1]["n_entities"] == 2
+    if "::" not in value and value.count(":") != 7:
+        assert re.sub(r"\d", "0", one) == re.sub(r"\d", "0", value)
+    assert got[2]["text"] == rows[1][1]
+
+
+def test_assigned_secrets_in_any_case(spark):
+    rows = [(i, x) for i, x in enumerate(["API_KEY=Zx81kkQ9pLm2", "AWS_SECRET_ACCESS_KEY=Zx81kkQ9pLm2", "Password: Zx81kkQ9pLm2", "TOKEN = Zx81kkQ9pLm2", '{"apiKey": "Zx81kkQ9pLm2"}'])]
+    for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect():
+        assert "Zx81kkQ9pLm2" not in r["text"] and r["n_entities"] == 1
