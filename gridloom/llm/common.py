@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import time
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,3 +74,18 @@ def row_key(id_: Column, text: Column) -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def worker_cache(owner: str, version: object, make):
+    """``make()``, kept by a Python worker for the tasks to come until another operator or version asks.
+
+    Workers outlive tasks and stages, so what an operator keeps would otherwise
+    lie beside what all later ones need.
+    """
+    kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # stays where this module is sent by value and forgotten
+    if getattr(kept, "of", None) != (owner, version):
+        kept.of = kept.value = None
+        gc.collect()
+        kept.value = make()
+        kept.of = (owner, version)
+    return kept.value
