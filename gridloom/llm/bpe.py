@@ -17,8 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
-import types
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -27,13 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A character that is no byte letter, for the word end.
 END = "\ue000"
 BATCH_BYTES = 4 << 20
 NEVER = 1 << 40
-#: Pieces of text in one generation of the cache; two generations are kept.
-CACHE = 350_000
+#: Bytes, about, of one generation of the cache; two generations are kept.
+CACHE = 56 << 20
+#: Bytes, about, that a cached piece takes beside its letters and 8 for each token.
+ENTRY = 200
 #: Words of more bytes are merged one by one.
 LONG = 40
 
@@ -86,7 +88,7 @@ class WordBPE:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.new: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
-        self.exact = self.seen = 0
+        self.held = self.exact = self.seen = 0
 
     # Words -----------------------------------------------------------------
 
@@ -203,7 +205,12 @@ class WordBPE:
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
             exact.update(zip(part, self.merge_many([raw[i] for i in part])))
-        self.new.update((w, exact[i] if i in exact else tuple(p)) for i, (w, p) in enumerate(zip(words, proposals)))
+        for i, (w, p) in enumerate(zip(words, proposals)):
+            self.keep(w, exact[i] if i in exact else tuple(p))
+
+    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
+        self.new[piece] = ids
+        self.held += ENTRY + len(piece) + 8 * len(ids)
 
     # Texts -----------------------------------------------------------------
 
@@ -218,14 +225,14 @@ class WordBPE:
 
     def prepare(self, chunks: set[str]) -> None:
         """Have every chunk's token ids in the newer generation of the cache."""
-        if len(self.new) > CACHE:
-            self.old, self.new = self.new, {}
+        if self.held > CACHE:
+            self.old, self.new, self.held = self.new, {}, 0
         new, old = self.new, self.old
         unknown = []
         for c in chunks:
             if c not in new:
                 if (ids := old.get(c)) is not None:
-                    new[c] = ids
+                    self.keep(c, ids)
                 else:
                     unknown.append(c)
         split = self.split.findall
@@ -235,7 +242,7 @@ class WordBPE:
         self.learn([w for w in words if w not in new])
         for c, ws in cut.items():
             if len(ws) != 1:
-                new[c] = tuple(chain.from_iterable(new[w] for w in ws))
+                self.keep(c, tuple(chain.from_iterable(new[w] for w in ws)))
 
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Token ids and decoded text of each text."""
@@ -276,10 +283,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ids = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # lives as long as the worker
-        if getattr(kept, "bpe", (None,))[0] != stamp:
-            kept.bpe = (stamp, WordBPE(content.value))
-        bpe = kept.bpe[1]
+        bpe = worker_cache("bpe", stamp, lambda: WordBPE(content.value))
         for whole in batches:
             for batch in _pieces(whole):
                 found, decoded = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])

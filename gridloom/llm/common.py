@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
@@ -85,7 +86,16 @@ def worker_cache(owner: str, version: object, make):
     kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # stays where this module is sent by value and forgotten
     if getattr(kept, "of", None) != (owner, version):
         kept.of = kept.value = None
-        gc.collect()
+        give_back()
         kept.value = make()
         kept.of = (owner, version)
     return kept.value
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
