@@ -233,7 +233,8 @@ def star_pairs(shared: DataFrame) -> DataFrame:
     few that are verified are near ones.
     """
     order = lambda i: F.xxhash64("rep", F.lit(i))
-    hubs = shared.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("rep", order(i)) for i in range(STARS)))).alias("hubs"))
+    # Written, so that the join's other side can be split where a bucket is large.
+    hubs = checkpoint(shared.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("rep", order(i)) for i in range(STARS)))).alias("hubs")))
     met = shared.join(hubs, "key").select(F.col("rep").alias("b"), F.explode("hubs").alias("a")).where("a != b")
     bands = met.groupBy("b", "a").agg(F.count("*").alias("n"))
     best = bands.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "a")), asc=False), 1, STARS).alias("best"))
@@ -241,10 +242,10 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 
 def left_over(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, band, rep, comp) of the buckets that hold more than one component."""
-    labelled = shared.join(comps, "rep")
+    """(key, band, rep, comp) of the buckets that hold more than one component; ``comps`` (rep, comp) may leave out sets by themselves."""
+    labelled = shared.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    return labelled.join(mixed, "key", "left_semi")
+    return labelled.join(joinable(mixed), "key", "left_semi")
 
 
 SIDES = "key long, i long, j long, side int, band int, rep long, comp long, size long, regs binary"
@@ -424,7 +425,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band_rows = buckets(reps)
     several = band_rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     shared = checkpoint(band_rows.join(several, "key", "left_semi"))
-    comps, links = shared.select("rep").distinct().withColumn("comp", F.col("rep")), None
+    comps, forest = None, None
     for step in ("stars", "first", "rest"):
         if step == "stars":
             new = verified(checkpoint(likely(star_pairs(shared), reps, share)), texts, k, num, den)
@@ -434,13 +435,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 new = verified(checkpoint(likeliest_pairs(rows, share)), texts, k, num, den)
             else:
                 new = links_in_blocks(checkpoint(undecided(rows, share)), texts, k, num, den)
-        links = checkpoint(new if links is None else links.union(new))
-        merged = connected_components(links)
-        comps = checkpoint(comps.select("rep").join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp")))
+        # The components so far are a forest; new links go on from there.
+        forest = connected_components(new if forest is None else new.union(forest.selectExpr("node as a", "component as b")))
+        comps = joinable(forest.select(F.col("node").alias("rep"), F.col("component").alias("comp")))
     classes = reps.select("fp", "rep").join(comps, "rep", "left").select("fp", F.coalesce("comp", "rep").alias("class"))
-    out = known.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(classes, "fp", "left")
-    component = F.coalesce("class", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    linkable = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
+    out = known.where(linkable).select("doc_id", "n", "fp").join(classes, "fp").select("doc_id", "n", "class")
+    out = out.union(known.where(~linkable).select("doc_id", "n", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("class"), F.lit(True)).alias("kept"))
 
 
 def oracle_sql(k: int, num: int, den: int) -> str:

@@ -78,15 +78,18 @@ _tables: dict[str, np.ndarray] = {"up": np.ones(1, dtype=_U), "down": np.ones(1,
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least n powers of the odd factor _P, and of its inverse."""
-    if len(_tables["up"]) < n:
-        n = max(n, SLICE_BYTES + 4096)
-        for name, base in (("up", int(_P)), ("down", pow(int(_P), -1, 1 << 64))):
-            x = np.full(n, base, dtype=_U)
-            x[0] = 1
-            with np.errstate(over="ignore"):
-                _tables[name] = np.cumprod(x)
-    return _tables["up"], _tables["down"]
+    """At least n powers of the odd factor _P, and of its inverse; those for a slice are kept, a longer text has its own."""
+    if len(_tables["up"]) >= n:
+        return _tables["up"], _tables["down"]
+    out = []
+    for base in (int(_P), pow(int(_P), -1, 1 << 64)):
+        x = np.full(max(n, SLICE_BYTES + 4096), base, dtype=_U)
+        x[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.cumprod(x))
+    if len(out[0]) == SLICE_BYTES + 4096:
+        _tables["up"], _tables["down"] = out
+    return out[0], out[1]
 
 
 def word_hashes(off: np.ndarray, data: np.ndarray, member: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray]:

@@ -16,10 +16,14 @@ from gridloom.llm import components, nn_descent, queries, warc
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+@pytest.mark.parametrize("part", [500_000, 7])
 @pytest.mark.parametrize("n", [0, 1, 40])
-def test_components(spark, n):
+def test_components(spark, monkeypatch, n, part):
+    monkeypatch.setattr(components, "PART", part)
     rng = random.Random(n)
+    least, most = -(1 << 63), (1 << 63) - 1
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(n)] + [(i, i + 1) for i in range(100, 100 + n)]
+    edges += [(least, most), (most - 1, most - 2), (least + 1, least + 2), (most - 2, least + 2)] * n
     parent = {}
 
     def root(x):
