@@ -21,16 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where that is unset, as in tests on one machine.
+    Where it is unset, as in tests, a temporary one is made, on one machine only:
+    elsewhere executors would not see it, so an error is raised.
     """
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or _temporary.get(context.applicationId)
+    if not shared:
+        if not (context.master or "").startswith("local") or "cluster" in context.master:
+            raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a shared folder")
+        shared = _temporary[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
+    return shared
+
+
+_temporary: dict[str, str] = {}
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     if time.monotonic() - _released[0] > RELEASE_S:
         release(df.sparkSession)

@@ -263,7 +263,7 @@ def dealt(rest: DataFrame, reps: DataFrame) -> DataFrame:
     counts = all_.groupBy("key", "comp").agg(F.sum(SHINGLES + F.col("size")).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("top"))
     main = main.select("key", "main", F.ceil((F.col("n") - F.col("top")) / (BLOCK * SHINGLES)).alias("rows"), F.ceil(F.col("n") / (BLOCK * SHINGLES)).alias("cols"))
-    all_ = all_.join(main, "key")
+    all_ = all_.join(joinable(main), "key")  # written first, so that rows of a large bucket can be split in the join
     deal = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n))
     others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     cols = ["band", "rep", "comp", "size", "regs"]

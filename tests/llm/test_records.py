@@ -169,11 +169,24 @@ def test_pipeline(spark, sf_dir):
 def test_pipeline_edges(spark, sf_dir):
     import corpus_pipeline as p
 
-    rows = [(1, None, "en", None, 0), (2, "", "en", "a", 0), (None, "some words without an id", None, "a", 3), (4, "same words here " * 20, "en", "b", 1), (4, "same words here " * 20, "en", "b", 1), (5, "same words here " * 20, "en", "b", 1)]
+    same, other = " ".join(f"word{i}" for i in range(40)) + " ", "another text under an id that is taken " * 9
+    rows = [(1, None, "en", None, 0), (2, "", "en", "a", 0), (None, "some words without an id", None, "a", 3), (None, same + "and", "en", "b", 1)]
+    rows += [(4, same, "en", "b", 1), (4, same, "en", "b", 1), (5, same, "en", "b", 1), (5, other, "en", "b", 1), ((1 << 63) - 1, "mail me at jane@corp.example.net", "en", "b", 1), (-(1 << 63), "mail me at jane@corp.example.net now", "en", "b", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for table in (docs, docs.limit(0)):
-        x = table
-        for _, stage in p.STAGES:
-            x = stage(spark, x, sf_dir)
-        assert x.count() >= 0
-    assert sorted(str(r["doc_id"]) for r in p.drop_near_duplicates(spark, docs, sf_dir).collect()) == ["1", "2", "4", "None"]
+    got = lambda x: sorted(map(str, ((r["doc_id"], r["text"]) for r in x.collect())))
+    one = p.drop_toxic(spark, docs, sf_dir)
+    assert got(one) == got(docs)
+    two = p.drop_near_duplicates(spark, one, sf_dir)
+    want = [r[:2] for i, r in enumerate(rows) if i not in (3, 5, 6)]
+    assert got(two) == sorted(map(str, want))
+    three = p.replace_private(spark, two, sf_dir)
+    clean = [r for r in want if "@" not in (r[1] or "")]
+    assert set(map(str, clean)) < set(got(three)) and three.count() == len(want) and three.where("text like '%jane@%'").count() == 0
+    four = p.mix_sources(spark, three, sf_dir)
+    assert all(r["text"] for r in four.collect()) and {r["text"] for r in four.collect()} <= {r["text"] for r in three.collect()}
+    five = p.encode(spark, four, sf_dir)
+    assert sorted(str(r["doc_id"]) for r in five.collect()) == sorted(str(r["doc_id"]) for r in four.collect())
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0

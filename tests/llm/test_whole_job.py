@@ -1,5 +1,7 @@
 """Cases beyond the given tables in which an operator must still do its whole job."""
 
+import collections
+import math
 import re
 import textwrap
 
@@ -77,12 +79,70 @@ def test_large_vocabularies_keep_words_apart(spark):
     plain = [(" ".join(f"{i * 5000 + k:x}q" for k in range(5000)), 0) for i in range(200)]
     toxic = [(f"{j:x}q vilest{k}", 1) for k in range(8) for j in range(12)]
     train = spark.createDataFrame(plain + toxic, "text string, toxic int").repartition(8)
-    model = toxicity.Model(toxicity.tables(toxicity.gather(train)))
-    _, _, _, w, prefixes = next(toxicity.tokens(pa.array([" ".join(f"vilest{k}" for k in range(8)) + " neverseenatall"])))
-    ratios = model.ratios(w, prefixes)
+    gathered = toxicity.gather(train)
+    entries = toxicity.with_prefixes(gathered)
+    model = toxicity.Model(toxicity.Entries(toxicity.telling(entries).toArrow()), toxicity.totals(gathered, entries))
+    _, _, before, w = next(toxicity.tokens(pa.array([" ".join(f"vilest{k}" for k in range(8)) + " neverseenatall"])))
+    ratios = model.ratios(before, w)
     assert np.ptp(ratios[:8]) < 1e-9 and (ratios[:8] > 1).all() and ratios[8] == 0
 
 
+TOXIC_TRAIN = [("you utter fool " * 3, 1), ("what a fool", 1), ("an utter fool and a liar", 1), ("The fool, utter fool", 1), ("a day at sea", 0), ("what a day", 0), ("a day, an utter joy", 0), ("the sea and a day " * 5, 0), ("", 0), ("a day at home", 0), ("foolish fools fooling", 1)]
+
+
+def ratios_by_brute_force(rows, text):
+    """Each word's log ratio from dictionaries of strings."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    pairs, before, begin = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    seen = [collections.defaultdict(set), collections.defaultdict(set)]
+    for t, label in rows:
+        w = words(t)
+        held = set(zip(["<start>", *w], w))
+        pairs[label].update(held)
+        for h, x in held:
+            seen[label][x].add(h)
+    for c in (0, 1):
+        before[c] = {x: len(hs) for x, hs in seen[c].items()}
+        for x in seen[c]:
+            for n, _ in toxicity.PREFIXES:
+                begin[c][n, x.encode()[:n]] += 1
+
+    def level(p, counts, key, total):
+        scale = (max(total[1], 1) / max(total[0], 1), 1.0)
+        left = [max(counts[c].get(key, 0) - toxicity.DISCOUNT, 0) * scale[c] for c in (0, 1)]
+        below = toxicity.STRENGTH + sum(toxicity.DISCOUNT * scale[c] * (left[c] > 0) for c in (0, 1)) / 2
+        return [(left[c] + below * p[c]) / (sum(left) / 2 + below) for c in (0, 1)]
+
+    out, w = [], words(text)
+    for h, x in zip(["<start>", *w], w):
+        p = [1.0, 1.0]
+        for n, _ in toxicity.PREFIXES:
+            p = level(p, begin, (n, x.encode()[:n]), [sum(v for (m, _), v in begin[c].items() if m == n) for c in (0, 1)])
+        p = level(p, before, x, [sum(before[c].values()) for c in (0, 1)])
+        p = level(p, pairs, (h, x), [sum(pairs[c].values()) for c in (0, 1)])
+        out.append(math.log(p[1]) - math.log(p[0]))
+    return out
+
+
+def test_likelihood_ratios_by_brute_force(spark):
+    train = spark.createDataFrame(TOXIC_TRAIN * 2 + [("", 1)], "text string, toxic int").repartition(3)
+    gathered = toxicity.gather(train)
+    entries = toxicity.with_prefixes(gathered)
+    model = toxicity.Model(toxicity.Entries(toxicity.telling(entries).toArrow()), toxicity.totals(gathered, entries))
+    text = "What an UTTER fool, fools at sea a day a fool neverseen"
+    _, _, before, w = next(toxicity.tokens(pa.array([text])))
+    want = ratios_by_brute_force(TOXIC_TRAIN * 2 + [("", 1)], text)
+    assert np.allclose(model.ratios(before, w), want, atol=1e-6) and max(want) > 0.5 and min(want) < -0.3
+
+
+@pytest.mark.parametrize("most", [0, 5])
+def test_joined_entries_give_the_same_scores(spark, most):
+    train = spark.createDataFrame(TOXIC_TRAIN * 2, "text string, toxic int")
+    docs = spark.createDataFrame([(i % 9, t) for i, (t, _) in enumerate(TOXIC_TRAIN)] + [(1, None), (None, "utter fool"), (None, "utter fool")], "doc_id int, text string")
+    scores = [sorted(map(str, toxicity.score_toxicity(docs, train, train, broadcast_entries=n).selectExpr("doc_id", "round(score, 9)").collect())) for n in (10**6, most)]
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count()
+
+
 def test_names_stay_one_person_in_a_document(spark):
     text = "Mr John Smith came. John Smith sat, Smith spoke, Mr. Smith left; Smith's hat. Mrs Smith and Smithson stayed."
     rows = [(1, text), (2, "Smith and John Smith, untitled"), (3, "Frau Müller sah Müller."), (4, None)]
