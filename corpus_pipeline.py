@@ -14,27 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, minhash, mixing, pii, queries
-from gridloom.llm.common import joinable
+from gridloom.llm.common import checkpoint, delete_folder, joinable, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose probability of being toxic reaches this go.
 TOXIC_AT = 0.7
 
 
+#: What tells rows apart: ids may repeat or be null.
+KEY = F.xxhash64("doc_id", "text")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below TOXIC_AT.  Where rows share an id, the highest score decides for all; rows with a null id stay."""
-    scores = queries.toxicity_scores(spark, docs, sf_dir)
-    rejected = joinable(scores.where((F.col("score") >= TOXIC_AT) & F.col("doc_id").isNotNull()).select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Documents below TOXIC_AT; each row is judged by its own text, whatever its id."""
+    scores = queries.toxicity_scores(spark, docs.select(KEY.alias("doc_id"), "text"), sf_dir)
+    rejected = joinable(scores.where(F.col("score") >= TOXIC_AT).select(F.col("doc_id").alias("__key")).distinct())
+    return docs.withColumn("__key", KEY).join(rejected, "__key", "left_anti").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word shingles of similarity 0.8 or more; of rows that share an id one stays, all with a null id stay."""
-    found = minhash.near_duplicates(docs, k=5, num=80, den=100)
-    kept = docs.join(joinable(found.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
-    again = joinable(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    single, repeated = kept.join(again, "doc_id", "left_anti"), kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(COLUMNS).union(repeated.select(COLUMNS))
+    """One document of each group with five-word shingles of similarity 0.8 or more, that of the least id; rows of one id and text are one document.
+
+    Rows that share an id but not the text are judged each by its own text.
+    Texts without words are in no group.
+    """
+    keyed = docs.select(*COLUMNS, KEY.alias("__key"))
+    found = minhash.near_duplicates(keyed, "__key", k=5, num=80, den=100)
+    classes = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("class"))
+    ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    known = checkpoint(classes.join(ids, "__key"))
+    groups = known.groupBy("class").agg(F.count("*").alias("keys"), F.min_by("__key", F.struct(F.col("id").isNull(), "id", "__key")).alias("best")).where("keys > 1")
+    dropped = joinable(known.join(joinable(groups.select("class", "best")), "class").where("__key != best").select("__key"))
+    again = joinable(known.where("n > 1").select("__key"))
+    kept = keyed.join(dropped, "__key", "left_anti")
+    repeated = kept.join(again, "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")
+    return kept.join(again, "__key", "left_anti").select(COLUMNS).union(repeated)
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,18 +83,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents table; what a stage gives is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        import tempfile
+    """Apply all stages to the documents table; what a stage gives is written to the shared folder and read again.
 
-        shared = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    Null and empty texts, null and repeated ids go through all stages as these
+    say; the mix takes no documents without words.  An empty table gives an
+    empty result.  The result reads what the last stage but one has written, so
+    that folder stays; those before it are deleted.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
