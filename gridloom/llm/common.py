@@ -8,6 +8,7 @@ import sys
 import tempfile
 import time
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """(a table that is written to the shared folder as compressed Parquet and read again, its folder for ``delete_folder``)."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
 #: Up to so many ids (8 bytes each) are broadcast to a join; more are joined by a shuffle, with equal results.
 BROADCAST_IDS = 1_000_000
 
