@@ -3,15 +3,14 @@
 Only DataFrame functions touch rows.  Each text is read once into a row of
 counts; the rules turn these into votes (1 good, -1 bad, 0 abstain); the
 distinct vote patterns - at most 3 ** len(RULES), whatever the corpus - are
-counted and expectation-maximisation on them estimates how often each rule is
-right and what share of documents is good.  A document is kept if its posterior
+counted and expectation-maximisation on them estimates what share of documents
+is good or has a kind of defect, and how often each rule is right.  A document is kept if its posterior
 probability of being good reaches ``keep_at`` and no base rule fails.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,57 +107,58 @@ def votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("votes", F.array(*(vote(x(), good, bad) for _, x, good, bad in RULES)))
 
 
-#: The bad thresholds of RULES are set so wide that on good documents a rule votes bad at most this often.
-RARE = 0.002
-
-Table = list[tuple[list[float], list[float]]]
+#: What is believed before votes are seen: a kind of defect is in this share of documents, and a rule votes bad on this share of good ones.
+DEFECT, ERROR = 0.02, 0.002
+#: How many documents, for each document there is, these two beliefs count as.
+DEFECT_WEIGHT, ERROR_WEIGHT = 0.15, 0.07
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, Table]:
-    """EM over counted vote patterns.
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """EM over counted vote patterns: (shares of kinds of documents, how often each rule votes bad on each kind).
 
-    Returns the share of good documents and, for each rule, how often it votes
-    bad, abstains and votes good on bad documents and on good ones.  Pseudo
-    counts keep every frequency positive; bounds keep a rule's bad vote rarer on
-    good documents than on bad ones, so the two classes can't swap.  Without
-    any pattern the start stands.
+    Kind 0 is good; kind r + 1 has the defect that rule r looks for, as most bad
+    documents have one defect and other rules say nothing about it.  Votes are
+    independent within a kind; abstentions tell nothing.  Votes alone cannot say
+    whether a rule that fires alone finds a defect or errs, so the beliefs above
+    weigh in: a rule that fires alone on a few percent is taken to be right, one
+    that does on a fifth of all documents to be noise, and agreement with other
+    rules counts for both.  Without any pattern the start stands.
     """
     n = len(patterns[0][0]) if patterns else len(RULES)
-    prior, how = 0.9, [([0.3, 0.05, 0.65], [0.001, 0.05, 0.949])] * n
+    believed = np.array([1 - DEFECT * n, *[DEFECT] * n])
+    start = np.full((n + 1, n), 0.01)
+    start[np.arange(1, n + 1), np.arange(n)] = 0.9
+    share, bad = believed, start
+    if not patterns:
+        return share, bad
+    votes, count = np.array([v for v, _ in patterns]), np.array([float(c) for _, c in patterns])
+    total = count.sum()
     for _ in range(rounds):
-        total = good = 0.0
-        seen = [([0.3, 0.05, 0.65], [0.001, 0.05, 0.949]) for _ in range(n)]
-        for vote, count in patterns:
-            p = posterior(vote, prior, how)
-            total += count
-            good += p * count
-            for r, v in enumerate(vote):
-                seen[r][0][v + 1] += (1 - p) * count
-                seen[r][1][v + 1] += p * count
-        new = min(0.98, max(0.5, good / total)) if total else prior
-        how = [_bounded(bad, fine) for bad, fine in seen]
-        if abs(new - prior) < 1e-9:
+        weight = kinds(votes, share, bad) * count[:, None]
+        new = (weight.sum(axis=0) + DEFECT_WEIGHT * total * believed) / (total * (1 + DEFECT_WEIGHT))
+        fired, spoke = weight.T @ (votes < 0), weight.T @ (votes != 0)
+        rate = (fired + start) / (spoke + 1)
+        rate[0] = (fired[0] + ERROR_WEIGHT * total * ERROR) / (spoke[0] + ERROR_WEIGHT * total)
+        rate[1:] = np.maximum(rate[1:], rate[0])  # a defect makes no rule fire less often, so a further bad vote never speaks for a document
+        moved = np.abs(new - share).max() + np.abs(rate - bad).max()
+        share, bad = new, rate
+        if moved < 1e-7:
             break
-        prior = new
-    return prior, how
-
-
-def _bounded(bad: list[float], good: list[float]) -> tuple[list[float], list[float]]:
-    bad, good = [x / sum(bad) for x in bad], [x / sum(good) for x in good]
-    low, high = max(0.1, bad[0]), min(RARE, good[0])
-    scale = lambda row, first: [first, *(x * (1 - first) / max(1e-12, 1 - row[0]) for x in row[1:])]
-    bad, good = scale(bad, low), scale(good, high)
-    return [max(1e-4, x) for x in bad], [max(1e-4, x) for x in good]
+    return share, bad
 
 
-def weights(prior: float, how: Table) -> tuple[float, list[list[float]]]:
-    """The log odds before any vote, and those that a rule's bad vote, abstention and good vote add."""
-    return math.log(prior / (1 - prior)), [[math.log(g / b) for b, g in zip(bad, good, strict=True)] for bad, good in how]
+def kinds(votes: np.ndarray, share: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The probability of each kind for each row of votes."""
+    odds = np.log(share) + (votes < 0) @ np.log(bad).T + (votes > 0) @ np.log1p(-bad).T
+    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
 
 
-def posterior(vote: tuple[int, ...], prior: float, how: Table) -> float:
-    start, add = weights(prior, how)
-    return 1 / (1 + math.exp(-start - sum(add[r][v + 1] for r, v in enumerate(vote))))
+def posterior(vote: tuple[int, ...], share: np.ndarray, bad: np.ndarray) -> float:
+    """The probability that a document with these votes is good: of kind 0, or of a kind whose own rule fires no more often than on good ones."""
+    own = bad[np.arange(1, len(share)), np.arange(len(share) - 1)]
+    good = np.append(True, own <= 1.001 * bad[0])
+    return float(kinds(np.array([vote]), share, bad)[0, good].sum())
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
@@ -170,9 +170,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     measured = checkpoint(votes(features(docs, id_col, text_col)))
     patterns = [(tuple(r["votes"]), r["n"]) for r in measured.groupBy("votes").agg(F.count("*").alias("n")).collect()]
-    start, add = weights(*fit(patterns))
-    odds = F.lit(start)
-    for r, steps in enumerate(add):
-        odds = odds + F.when(F.col("votes")[r] > 0, steps[2]).when(F.col("votes")[r] < 0, steps[0]).otherwise(steps[1])
+    share, bad = fit(sorted(patterns))
+    table = docs.sparkSession.createDataFrame([([*v], posterior(v, share, bad)) for v, _ in patterns], "votes array<int>, posterior double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= keep_at))
+    scored = measured.join(F.broadcast(table), "votes")  # a row for each pattern, at most 3 ** len(RULES)
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= keep_at))

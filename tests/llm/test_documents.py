@@ -52,7 +52,23 @@ def test_votes_are_weighed(spark, duck, sf_dir):
     rows = queries.op8_quality_rules(spark, "/root/testdata/sf0.01").where("not base_failed").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([r["kept"] for r in rows if r["quality"] == 1]) > 0.99
     assert np.mean([not r["kept"] for r in rows if r["quality"] == 0]) > 0.9
-    assert quality_rules.fit([])[0] == 0.9
+    assert quality_rules.fit([])[0][0] > 0.8
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.35])
+def test_noisy_rule_is_found_out(noise):
+    """A rule that fires at random on a third of all documents loses its say; the others keep theirs."""
+    rng = np.random.default_rng(3)
+    defect = rng.choice(8, size=20000, p=[0.86, *[0.02] * 7])
+    votes = np.where(rng.random((20000, 7)) < 0.001, -1, 1)
+    for r in range(7):
+        votes[defect == r + 1, r] = np.where(rng.random((defect == r + 1).sum()) < 0.9, -1, 1)
+    votes[rng.random(20000) < noise, 6] = -1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    share, bad = quality_rules.fit([(tuple(v), int(n)) for v, n in zip(patterns.tolist(), counts)])
+    good = lambda *fired: quality_rules.posterior(tuple(-1 if r in fired else 1 for r in range(7)), share, bad)
+    assert good() > 0.9 and (good(6) > 0.5) == (noise > 0) and all(good(r) < 0.5 for r in range(6)) and good(0, 6) < 0.5
+    assert noise == 0 or 0.15 < bad[0, 6] < 0.4
 
 
 @pytest.mark.parametrize("x", ["a b c d e f g h a b c d e f g h", "a " * 20, "a b c d e f g h i", "", "p q r s t u v w x " * 2 + "y"])
