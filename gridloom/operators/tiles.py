@@ -71,8 +71,7 @@ def assemble(pieces: DataFrame, block: int, bands: tuple[int, ...], alpha: int |
         chosen = [planes[b] for b in bands]
         valid = inside
         if validity == "nodata":
-            missing = (lambda x: np.isnan(x)) if nodata != nodata else (lambda x: x == nodata)
-            valid = inside & ~np.all([missing(x.astype(np.float64)) for x in chosen], axis=0)
+            valid = inside & ~np.all([is_nodata(x.astype(np.float64), nodata) for x in chosen], axis=0)
         elif validity == "alpha" and alpha in planes:
             valid = inside & (planes[alpha] > 0)
         elif validity == "mask" and 0 in planes:
@@ -87,15 +86,35 @@ def assemble(pieces: DataFrame, block: int, bands: tuple[int, ...], alpha: int |
     return pieces.groupBy("level", "block_row", "block_col").applyInArrow(run, BLOCK)
 
 
-def reduced(x: np.ndarray, valid: np.ndarray, f: int, method: str) -> tuple[np.ndarray, np.ndarray]:
-    """A (bands, n, n) array decimated by f, over valid pixels only; type and nodata places as before."""
+def most_frequent(cells: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Of the valid values along the last axis the most frequent, the least of several; 0 where there is none."""
+    order = np.lexsort((cells, ~ok), axis=-1)
+    n = cells.shape[-1]
+    x, valid = (np.take_along_axis(a, order, axis=-1).reshape(-1, n) for a in (cells, ok))
+    new = np.ones(x.shape, dtype=bool)
+    new[:, 1:] = (x[:, 1:] != x[:, :-1]) | (valid[:, 1:] != valid[:, :-1])
+    starts = np.flatnonzero(new)
+    row, often = starts // n, np.diff(np.append(starts, x.size)) * valid.ravel()[starts]
+    best = np.lexsort((starts, -often, row))
+    best = best[np.append(True, row[best][1:] != row[best][:-1])]
+    return np.where(often[best] > 0, x.ravel()[starts[best]], 0).reshape(cells.shape[:-1])
+
+
+def reduced(x: np.ndarray, valid: np.ndarray, f: int, method: str, nodata: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A (bands, n, n) array decimated by f, over valid pixels only; type and nodata places as before.
+
+    With ``nodata``, a band's cells of that value are left out of that band
+    alone, and where no others are left, it stands; a cell is valid if any band is.
+    """
     bands, n, _ = x.shape
     m = n // f
     if method == "nearest":
         return np.ascontiguousarray(x[:, ::f, ::f]), np.ascontiguousarray(valid[::f, ::f])
-    cells = x.reshape(bands, m, f, m, f).transpose(0, 1, 3, 2, 4).reshape(bands, m, m, f * f)
-    ok = valid.reshape(m, f, m, f).transpose(0, 2, 1, 3).reshape(m, m, f * f)
-    count = ok.sum(axis=2)
+    in_cells = lambda a: a.reshape(-1, m, f, m, f).transpose(0, 1, 3, 2, 4).reshape(-1, m, m, f * f)
+    cells, ok = in_cells(x), in_cells(valid)
+    if nodata is not None:
+        ok = ok & ~is_nodata(cells, nodata)
+    count = ok.sum(axis=3)
     y = np.where(ok, cells, 0).astype(np.float64)
     if method == "average":
         value = y.sum(axis=3) / np.maximum(count, 1)
@@ -104,18 +123,21 @@ def reduced(x: np.ndarray, valid: np.ndarray, f: int, method: str) -> tuple[np.n
     elif method == "sum":
         value = y.sum(axis=3)
     elif method == "mode":
-        value = np.zeros((bands, m, m))
-        for b, i, j in np.ndindex(bands, m, m):
-            if count[i, j]:
-                kinds, often = np.unique(cells[b, i, j][ok[i, j]], return_counts=True)
-                value[b, i, j] = kinds[often.argmax()]
+        value = most_frequent(cells, np.broadcast_to(ok, cells.shape))
     else:
         raise ValueError(f"blocks are not reduced by {method}")
-    return saturate(value, x.dtype), count > 0
+    out = saturate(value, x.dtype)
+    if nodata is not None:
+        out = np.where(count > 0, out, x.dtype.type(nodata))
+    return out, (count > 0).any(axis=0)
+
+
+def is_nodata(x: np.ndarray, nodata: float) -> np.ndarray:
+    return np.isnan(x) if nodata != nodata else x == nodata
 
 
-def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int, dtype: str, method: str, fill: float = 0.0) -> DataFrame:
-    """An overview level of level-0 blocks; invalid cells hold ``fill``."""
+def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int, dtype: str, method: str, fill: float = 0.0, nodata: float | None = None) -> DataFrame:
+    """An overview level of level-0 blocks; invalid cells hold ``fill``, and ``nodata`` is left out in each band by itself."""
     kind, side = np.dtype(dtype), block // factor
     if factor > block:
         raise ValueError("a block is smaller than one cell of the overview; take larger blocks")
@@ -125,7 +147,7 @@ def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int,
             out = []
             for r in batch.to_pylist():
                 x = np.frombuffer(r["data"], dtype=kind).reshape(bands, block, block)
-                small, ok = reduced(x, np.frombuffer(r["valid"], dtype=np.uint8).reshape(block, block) > 0, factor, method)
+                small, ok = reduced(x, np.frombuffer(r["valid"], dtype=np.uint8).reshape(block, block) > 0, factor, method, nodata)
                 small = np.where(ok, small, kind.type(fill))
                 out.append((level, r["block_row"] // factor, r["block_col"] // factor, r["block_row"] % factor * side, r["block_col"] % factor * side, 0, side, side, dtype, small.tobytes() + ok.astype(np.uint8).tobytes()))
             yield _batch(out, PIECE)
@@ -176,8 +198,8 @@ def reblocked(blocks: DataFrame, block: int, new: int, bands: int, dtype: str) -
     return blocks.mapInArrow(split, PIECE).groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
 
 
-def to_pixels(blocks: DataFrame, block: int, bands: int, dtype: str, width: int, height: int) -> DataFrame:
-    """(band, row, col, value) of blocks, within the raster; invalid pixels are null."""
+def to_pixels(blocks: DataFrame, block: int, bands: int, dtype: str, width: int, height: int, nodata: float | None = None) -> DataFrame:
+    """(band, row, col, value) of blocks, within the raster; invalid pixels are null, and so is ``nodata`` in any band."""
     kind, schema = np.dtype(dtype), "band int, row long, col long, value double"
 
     def run(batches):
@@ -188,7 +210,10 @@ def to_pixels(blocks: DataFrame, block: int, bands: int, dtype: str, width: int,
                 top, left = r["block_row"] * block, r["block_col"] * block
                 high, wide = min(block, height - top), min(block, width - left)
                 b, y, z = np.indices((bands, high, wide))
-                value = pa.array(x[:, :high, :wide].ravel(), mask=np.broadcast_to(~ok[:high, :wide], (bands, high, wide)).ravel())
+                missing = np.broadcast_to(~ok[:high, :wide], (bands, high, wide))
+                if nodata is not None:
+                    missing = missing | is_nodata(x[:, :high, :wide], nodata)
+                value = pa.array(x[:, :high, :wide].ravel(), mask=missing.ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(b.ravel().astype(np.int32) + 1), pa.array(y.ravel() + top), pa.array(z.ravel() + left), value], ["band", "row", "col", "value"])
 
     return blocks.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid, profiles
-from gridloom.operators import info, pixels, validate, warp
+from gridloom.operators import info, pixels, tiles, validate, warp
 from gridloom.plans import policy
 
 QUERIES: dict = {}
@@ -76,6 +76,20 @@ def overview_average_8(spark, sf_dir):
     return _rounded(pixels.overview(order_pixels(spark, sf_dir), 8, "average"))
 
 
+_TWO = f"SELECT CAST(1 AS INTEGER) AS band, row, col, value FROM ({ORD}) UNION ALL SELECT 2, o_orderkey // 128, o_orderkey % 128, CASE WHEN o_custkey % 4 <> 1 THEN CAST(o_custkey AS DOUBLE) END FROM orders"
+
+
+@query(f"SELECT band, row // 2 AS row, col // 2 AS col, round({_MEAN}, 4) AS value FROM ({_TWO}) GROUP BY 1, 2, 3 HAVING count(value) > 0")
+def overview_band_nodata(spark, sf_dir):
+    """Two bands in blocks, each with its own nodata pixels."""
+    keys = F.expr("o_orderkey div 128").alias("row"), (F.col("o_orderkey") % 128).alias("col")
+    second = F.when(F.col("o_custkey") % 4 != 1, F.col("o_custkey").cast("double"))
+    both = order_pixels(spark, sf_dir).withColumn("band", F.lit(1)).unionByName(_read(spark, sf_dir, "orders").select(*keys, second.alias("value"), F.lit(2).alias("band")))
+    blocks = tiles.from_pixels(both, 0, 64, 2, "float64", -9999.0)
+    small = tiles.overview(blocks, 1, 2, 64, 2, "float64", "average", -9999.0, -9999.0)
+    return _rounded(tiles.to_pixels(small, 64, 2, "float64", 64, 1 << 40, -9999.0).where("value is not null"))
+
+
 @query(_overview_sql(VEC, 4, _MEAN, 6))
 def overview_average_vectors(spark, sf_dir):
     return _rounded(pixels.overview(vector_pixels(spark, sf_dir), 4, "average"), 6)

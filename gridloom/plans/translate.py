@@ -125,6 +125,7 @@ def cog_translate(
     alpha = next((i + 1 for i, c in enumerate(src.colorinterp) if c == "alpha"), None)
     valid_nodata = src.nodata if nodata is None else nodata
     fill = float(valid_nodata) if plan.nodata is not None else 0.0
+    band_nodata = fill if plan.nodata is not None and plan.validity == "nodata" else None
 
     wanted = {*plan.bands, *([alpha] if alpha else []), 0}
     pieces = tiles.cut(rows.where(F.col("band").isin(*wanted)), block_in, block)
@@ -140,7 +141,7 @@ def cog_translate(
         target = warp.source_place(warp.output_grid(spark, out["width"], out["height"]), out["transform"], src_transform, target_epsg, src_epsg)
         cell = abs(out["transform"][0])
         scale = cell * height / (moved[3] - moved[1]), cell * width / (moved[2] - moved[0])
-        found = warp.warp(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height), target, resampling, ("band",), scale)
+        found = warp.warp(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height, band_nodata), target, resampling, ("band",), scale)
         width, height, place, out_epsg, zoom = out["width"], out["height"], out["transform"], target_epsg, out["zoom"]
         blocks = tiles.from_pixels(found, 0, block, n_bands, plan.dtype, fill)
         if overview_level is None:
@@ -156,10 +157,10 @@ def cog_translate(
     levels = [blocks]
     for i, factor in enumerate(plan.levels, 1):
         if overview_resampling in pixels.KERNELS or block % factor:
-            small = pixels.overview(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height), factor, overview_resampling, ("band",))
+            small = pixels.overview(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height, band_nodata), factor, overview_resampling, ("band",))
             levels.append(tiles.from_pixels(small, i, block, n_bands, plan.dtype, fill))
         else:
-            levels.append(tiles.overview(blocks, i, factor, block, n_bands, plan.dtype, overview_resampling, fill))
+            levels.append(tiles.overview(blocks, i, factor, block, n_bands, plan.dtype, overview_resampling, fill, band_nodata))
     separate = str(plan.options.get("interleave", "pixel")).lower() == "band"
     mask = plan.write_mask and not plan.append_alpha
     output = tiles.output_rows(levels[0], n_bands, block, plan.dtype, separate, mask)

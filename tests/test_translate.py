@@ -242,3 +242,30 @@ def test_arrivals(spark, tmp_path):
     translate.cog_translate(spark, IMAGE, str(folder / "a.tif"), profile())
     validate_arrivals(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [r["valid"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [True]
+
+
+@pytest.mark.parametrize("method", ["average", "mode", "rms", "cubic"])
+def test_nodata_in_one_of_two_bands(spark, tmp_path, method):
+    x = np.full((2, 128, 128), 10.0, dtype=np.float32)
+    x[0, ::2, ::2] = x[1, 64:, :] = -9999.0
+    x[0, :4, :4] = -9999.0
+    out = str(tmp_path / "a.tif")
+    translate.cog_translate(spark, x, out, profile(), nodata=-9999.0, overview_resampling=method)
+    small, _ = pixels_of(out, 1)
+    assert small.shape == (2, 64, 64) and (small[1, :30] == 10).all() and (small[1, 34:] == -9999).all()
+    assert (small[0, 4:] == 10).all() and (method == "cubic" or (small[0, :2, :2] == -9999).all())
+
+
+@pytest.mark.parametrize("factor", [2, 4])
+def test_mode_of_cells_by_brute_force(factor):
+    from gridloom.operators import tiles
+
+    rng = np.random.default_rng(4)
+    x, valid = rng.integers(0, 4, (2, 16, 16)).astype(np.int16), rng.random((16, 16)) < 0.6
+    valid[:4, :4] = False
+    got, ok = tiles.reduced(x, valid, factor, "mode", 3.0)
+    for b, i, j in np.ndindex(2, 16 // factor, 16 // factor):
+        at = slice(i * factor, (i + 1) * factor), slice(j * factor, (j + 1) * factor)
+        left = [v for v in x[b][at][valid[at]].tolist() if v != 3]
+        assert got[b, i, j] == (min(set(left), key=lambda v: (-left.count(v), v)) if left else 3)
+    assert not ok[0, 0]
