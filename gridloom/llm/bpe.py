@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A character that is no byte letter, for the word end.
@@ -293,7 +293,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, type=pa.string())], ["doc_id", "token_ids", "decoded"])
 
     kind = dict(ids.dtypes)["doc_id"]
-    return ids.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, decoded string")
+    return ids.mapInArrow(tidy(run), f"doc_id {kind}, token_ids array<int>, decoded string")
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import time
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,15 +115,28 @@ def worker_cache(owner: str, version: object, make):
     kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # stays where this module is sent by value and forgotten
     if getattr(kept, "of", None) != (owner, version):
         kept.of = kept.value = None
+        gc.collect()
         give_back()
         kept.value = make()
         kept.of = (owner, version)
     return kept.value
 
 
+def tidy(run):
+    """``run``, a function on Arrow batches, with memory given back when a task ends; workers wait for the next one with all they have."""
+
+    def all_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return all_of
+
+
 def give_back() -> None:
-    """Return a Python worker's freed memory to the system, where the C library can."""
-    gc.collect()
+    """Return a Python worker's freed memory to the system, where the libraries can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

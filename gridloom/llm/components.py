@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 #: Edges (16 bytes each) that one task contracts at a time.
 PART = 500_000
@@ -52,7 +52,7 @@ def contracted(edges: DataFrame, parts: int) -> DataFrame:
         if kept:
             yield out()
 
-    return edges.coalesce(parts).mapInArrow(run, "u bigint, v bigint")
+    return edges.coalesce(parts).mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, joinable, n_partitions
+from .common import checkpoint, joinable, n_partitions, tidy
 from .components import connected_components
 from .textnum import fingerprint, mix, shingle_sets
 
@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "fp", "regs"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, fp binary, regs binary")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, n bigint, fp binary, regs binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -169,7 +169,7 @@ def buckets(reps: DataFrame) -> DataFrame:
             band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(rep)], ["key", "band", "rep"])
 
-    return reps.select("rep", "regs").mapInArrow(run, "key bigint, band int, rep bigint")
+    return reps.select("rep", "regs").mapInArrow(tidy(run), "key bigint, band int, rep bigint")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
@@ -184,7 +184,7 @@ def likely(pairs: DataFrame, reps: DataFrame, share: float) -> DataFrame:
                 ok = plausible(x, y, *(batch.column(f"n_{s}").to_numpy() for s in "ab"), share)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def chosen_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                             keep.append((a[i], b[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], type=pa.int64()), pa.array([y for _, y in keep], type=pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def likeliest_pairs(rows: DataFrame, share: float) -> DataFrame:
             a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1)) if found else np.zeros((2, 0), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def undecided(rows: DataFrame, share: float) -> DataFrame:
@@ -309,7 +309,7 @@ def undecided(rows: DataFrame, share: float) -> DataFrame:
                 hit[x] = hit[y] = True
             yield from t.filter(pa.array(hit)).to_batches()
 
-    return rows.mapInArrow(run, SIDES)
+    return rows.mapInArrow(tidy(run), SIDES)
 
 
 def links_in_blocks(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -334,7 +334,7 @@ def links_in_blocks(rows: DataFrame, texts: DataFrame, k: int, num: int, den: in
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     columns = ["key", "i", "j", "side", "band", "rep", "comp", "size", "regs", "text"]
-    return rows.select(columns).mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select(columns).mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def linked(sets: list[np.ndarray], x: int, others: np.ndarray, comp: np.ndarray, num: int, den: int) -> list[int]:

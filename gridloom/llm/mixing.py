@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, tidy
 from .textnum import mix
 
 WEIGHTS = (5, 2, 1)
@@ -135,7 +135,7 @@ def slots(spark, quota: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
     schema = "shard long, slot long, source_no long, copy long, block long"
     if not groups:
         return spark.createDataFrame([], schema)
-    return spark.range(0, groups, 1, max(1, min(groups, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
+    return spark.range(0, groups, 1, max(1, min(groups, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(tidy(run), schema)
 
 
 def pieces(documents: DataFrame) -> DataFrame:

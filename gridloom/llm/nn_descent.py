@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, n_partitions
+from .common import checkpoint, n_partitions, tidy
 from .components import connected_components
 
 #: Tables that are dealt at once; vectors in a bucket, about, and in a block; vectors in a slice that is compared with all.
@@ -61,7 +61,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 out.append(x.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, type=pa.binary())], ["vec_id", "vec"])
 
-    return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(run, "vec_id bigint, vec binary")
+    return vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("v")).mapInArrow(tidy(run), "vec_id bigint, vec binary")
 
 
 def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -83,7 +83,7 @@ def codes(reps: DataFrame, bits: int, seed: int = 0) -> DataFrame:
                 out.append((signs @ (1 << np.arange(bits)) * TABLES + np.arange(TABLES) + (len(x) << 40)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, type=pa.list_(pa.int64()))], ["rep", "codes"])
 
-    return reps.select("rep", "vec").mapInArrow(run, "rep bigint, codes array<bigint>")
+    return reps.select("rep", "vec").mapInArrow(tidy(run), "rep bigint, codes array<bigint>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -173,7 +173,7 @@ def seeds(reps: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
                 parts = []
         yield _edges(parts)
 
-    return ordered(rows.mapInArrow(run, EDGES).where("sim > -1.5"))
+    return ordered(rows.mapInArrow(tidy(run), EDGES).where("sim > -1.5"))
 
 
 def ordered(edges: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def local_joins(graph: DataFrame, located: DataFrame, threshold: float, step: in
                 parts = []
         yield _edges(parts)
 
-    return ordered(rows.mapInArrow(run, EDGES))
+    return ordered(rows.mapInArrow(tidy(run), EDGES))
 
 
 def all_links(located: DataFrame, threshold: float) -> DataFrame:
@@ -243,7 +243,7 @@ def all_links(located: DataFrame, threshold: float) -> DataFrame:
                             parts.append((ids[here][i[a]], rep[few[b]], sim[i[a], few[b]]))
                 yield _edges(parts)
 
-        return checkpoint(ordered(located.select("rep", "vec", "comp").mapInArrow(run, EDGES)))
+        return checkpoint(ordered(located.select("rep", "vec", "comp").mapInArrow(tidy(run), EDGES)))
 
     for k in range(n):
         packed = context.broadcast(_packed(located.where(F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(n)) == k)))
@@ -304,7 +304,7 @@ def audit(located: DataFrame, threshold: float) -> float:
             has = sums[n][0] > 0
             yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(sums[n][0][has]), pa.array(sums[n][1][has])], ["rep", "true", "found"])
 
-    rows = located.select("rep", "vec", "comp").mapInArrow(run, "rep bigint, true bigint, found bigint").groupBy("rep").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).collect()
+    rows = located.select("rep", "vec", "comp").mapInArrow(tidy(run), "rep bigint, true bigint, found bigint").groupBy("rep").agg(F.sum("true").alias("true"), F.sum("found").alias("found")).collect()
     packed.destroy()
     shares: dict[bool, list[float]] = {}
     for r in rows:
@@ -330,7 +330,7 @@ def link_counts(located: DataFrame, threshold: float) -> DataFrame:
                 counts = np.concatenate([linked @ n[cut:], linked.T @ n[:cut]])
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(counts.astype(np.int64))], ["rep", "others"])
 
-    return rows.mapInArrow(run, "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
+    return rows.mapInArrow(tidy(run), "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
 
 
 def with_components(reps: DataFrame, links: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .textnum import _P, _VALUES, SPACED, mix, slices, word_hashes
 
 TERMS = 4096
@@ -128,7 +129,7 @@ def score_quality(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", tex
                 at = [np.flatnonzero(v).astype(np.int32) for v in x]
                 yield pa.RecordBatch.from_arrays([batch.column("quality").slice(row, len(x)), pa.array(at, type=pa.list_(pa.int32())), pa.array(data, type=pa.list_(pa.float32()))], ["quality", "at", "weight"])
 
-    rows = train.limit(LABELLED).mapInArrow(weigh, "quality int, at array<int>, weight array<float>").toArrow()
+    rows = train.limit(LABELLED).mapInArrow(tidy(weigh), "quality int, at array<int>, weight array<float>").toArrow()
     rows = rows.sort_by("quality")
     x = np.zeros((len(rows), TERMS), dtype=np.float32)
     for i, (at, w) in enumerate(zip(rows.column("at"), rows.column("weight"))):
@@ -143,4 +144,4 @@ def score_quality(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(x)), pa.array(vote(unit(x @ space), voters, labels))], ["doc_id", "score"])
 
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(score, f"doc_id {dict(ids.dtypes)['doc_id']}, score double")
+    return ids.mapInArrow(tidy(score), f"doc_id {dict(ids.dtypes)['doc_id']}, score double")

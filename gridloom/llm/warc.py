@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 #: Query parameters that do not tell pages apart.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=|$)"
@@ -160,7 +160,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, headers, pa.array([r["body"] for r in rows], type=pa.binary())], ["record_id", "url", "date", "type", "headers", "body"])
 
     raw = spark.read.format("binaryFile").load(path).select("content")
-    rows = raw.mapInArrow(run, "record_id string, url string, date string, type string, headers map<string,string>, body binary")
+    rows = raw.mapInArrow(tidy(run), "record_id string, url string, date string, type string, headers map<string,string>, body binary")
     return rows.select("record_id", "url", F.try_to_timestamp("date").alias("ts"), "type", "headers", "body")
 
 
