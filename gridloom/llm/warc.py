@@ -2,29 +2,32 @@
 
 A revisit record says that a page had not changed; its body is that of the
 latest earlier full response for the same canonical URL.  The as-of join runs
-in levels so that a URL with a third of all records is no single task: time is
-cut into slots, each (URL, slot) is searched by itself, and the last responses
-of the slots, one row for each, are carried forward in the same way.
+in levels so that a URL with a third of all records is no single task, be they
+spread over years or in one burst: time is cut into spans of FAN microseconds,
+each (URL, span) is searched by itself, and the last responses of the spans, one
+row for each, are carried forward in the same way, FAN spans together.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, tidy
+from .common import checkpoint, joinable, tidy
 
 #: Query parameters that do not tell pages apart.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref|sessionid|phpsessid)(=|$)"
 #: Headers of a not-modified answer that never replace those of the stored response.
 NOT_MERGED = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade", "content-length", "content-encoding", "content-type", "content-range", "content-md5"]
-#: Records in one slot of time, on average; slots that are put in order together.
-SLOT_ROWS, FAN = 500, 1000
+#: At most so many times of one URL, or spans of times, are put in order together.
+FAN = 100_000
+#: Bytes of records that the reader hands on at a time, about.
+READ_BYTES = 16 << 20
 
 RECORD = "record_id string, url string, ts timestamp, type string, headers map<string,string>, body binary"
 
@@ -40,41 +43,35 @@ def canonical_url(url: Column) -> Column:
 
 
 def latest_earlier(records: DataFrame) -> DataFrame:
-    """(record_id, url_key, response_id) for the revisits of (record_id, url_key, ts long, full boolean).
+    """(url_key, ts, response_id) of the times at which there are revisits, from (record_id, url_key, ts long, full boolean).
 
     The response is the one with the greatest (ts, record_id) among those with
-    a strictly smaller ts.  Rows with a null URL or time find none.  Records of
-    one URL and time count as one before anything is put in order.
+    a strictly smaller ts; null where there is none.  Rows with a null URL or
+    time are left out.  Records of one URL and time count as one before anything
+    is put in order.
     """
-    spread = records.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
-    slots = max(1, spread[0] // SLOT_ROWS)
-    width = max(1, ((spread[2] or 0) - (spread[1] or 0)) // slots + 1)
-    response = F.when(F.col("full"), F.struct("ts", F.col("record_id").alias("id")))
+    spread = records.agg(F.min("ts"), F.max("ts")).first()
+    first, last = (x or 0 for x in spread)
+    response = F.when(F.col("full") & F.col("record_id").isNotNull(), F.struct("ts", F.col("record_id").alias("id")))
     times = records.where("url_key is not null and ts is not null").groupBy("url_key", "ts").agg(F.max(response).alias("last"), F.bool_or(~F.col("full")).alias("asks"))
-    times = checkpoint(times.withColumn("slot", F.expr(f"(ts - {spread[1] or 0}L) div {width}L")))
-    inside = times.withColumn("near", F.max("last").over(_before(["url_key", "slot"], "ts"))).where("asks")
-    carried = carry(times.groupBy("url_key", F.col("slot").alias("place")).agg(F.max("last").alias("last")), slots)
-    found = inside.join(carried.select("url_key", F.col("place").alias("slot"), "far"), ["url_key", "slot"]).select("url_key", "ts", F.coalesce("near.id", "far.id").alias("response_id"))
-    return records.where("not full").join(found, ["url_key", "ts"], "left").select("record_id", "url_key", "response_id")
-
-
-def _before(by: list[str], order: str):
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = carry(times.withColumn("place", F.col("ts").cast("decimal(20,0)") - F.lit(first)), last - first + 1)
+    return found.where("asks").select("url_key", "ts", F.col("far.id").alias("response_id"))
 
 
 def carry(rows: DataFrame, places: int) -> DataFrame:
-    """Adds ``far``, the greatest ``last`` of the URL's smaller places, to (url_key, place, last).
+    """Adds ``far``, the greatest ``last`` of the URL's smaller places, to rows with url_key, place and last; no URL has a place twice.
 
     Places go together by FAN, level upon level, so that a URL that has all of
     them is never ordered in one task.
     """
+    before = lambda *by: F.max("last").over(Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     if places <= FAN:
-        return rows.withColumn("far", F.max("last").over(_before(["url_key"], "place")))
+        return rows.withColumn("far", before("url_key"))
     rows = checkpoint(rows.withColumn("above", F.expr(f"place div {FAN}")))
     upper = carry(rows.groupBy("url_key", F.col("above").alias("place")).agg(F.max("last").alias("last")), -(-places // FAN))
     upper = upper.select("url_key", F.col("place").alias("above"), F.col("far").alias("farther"))
-    near = rows.withColumn("far", F.max("last").over(_before(["url_key", "above"], "place")))
-    return near.join(upper, ["url_key", "above"]).select("url_key", "place", "last", F.coalesce("far", "farther").alias("far"))
+    near = rows.withColumn("far", before("url_key", "above"))
+    return near.join(upper, ["url_key", "above"]).withColumn("far", F.coalesce("far", "farther")).drop("above", "farther")
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
@@ -101,18 +98,28 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Gives record_id, url_key, response_id, status (resolved, unverified, stale
     or missing), headers and body; a stale or missing one keeps its own headers
-    and has no body.  Header names are in lower case.  Record ids must be
-    unique; repeated rows with one id are taken as one record.  Null URLs,
-    times and headers are allowed (missing; no headers).  Other record types
-    are ignored.  An empty table gives an empty result.
+    and has no body.  Header names are in lower case.  Rows with one id are one
+    record, the one least by time, URL and hash of its content; a revisit
+    without an id is a record of its own, a response without one is never found.
+    Null URLs, times and headers are allowed (missing; no headers).  Other
+    record types are ignored.  An empty table gives an empty result.
     """
     empty = F.create_map().cast("map<string,string>")
-    known = records.where(F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull()).dropDuplicates(["record_id"])
-    keyed = known.select("record_id", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("ts").alias("ts"), (F.col("type") == "response").alias("full"))
-    found = latest_earlier(checkpoint(keyed))
-    fresh = known.where("type = 'revisit'").select("record_id", F.coalesce("headers", empty).alias("fresh"))
-    stored = known.where("type = 'response'").select(F.col("record_id").alias("response_id"), F.coalesce("headers", empty).alias("stored"), "body")
-    joined = found.join(fresh, "record_id").join(stored, "response_id", "left")
+    content = F.xxhash64("url", "ts", F.array_sort(F.map_entries("headers")), "body")
+    known = records.where(F.col("type").isin("response", "revisit")).select("*", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("ts").alias("micros"), content.alias("content"))
+    order = F.struct("micros", "url_key", "content")
+    responses, revisits = known.where("type = 'response' and record_id is not null"), known.where("type = 'revisit'")
+    narrow = checkpoint(responses.groupBy("record_id").agg(F.min(order).alias("r"), F.count("*").alias("n")))
+    named = revisits.where("record_id is not null").groupBy("record_id").agg(F.min_by(F.struct("url_key", "micros", "headers"), order).alias("r")).select("record_id", "r.*")
+    asked = checkpoint(named.union(revisits.where("record_id is null").select("record_id", "url_key", "micros", "headers")))
+    times = narrow.select("record_id", "r.url_key", F.col("r.micros").alias("ts"), F.lit(True).alias("full"))
+    times = times.union(asked.select("record_id", "url_key", F.col("micros").alias("ts"), F.lit(False)))
+    found = asked.join(latest_earlier(times).withColumnRenamed("ts", "micros"), ["url_key", "micros"], "left").select("record_id", "url_key", "response_id", F.coalesce("headers", empty).alias("fresh"))
+    columns = [F.col("record_id").alias("response_id"), F.coalesce("headers", empty).alias("stored"), "body"]
+    again = joinable(narrow.where("n > 1").select("record_id", F.col("r.content").alias("content")))
+    repeated = responses.join(again, ["record_id", "content"], "left_semi").select(columns).dropDuplicates(["response_id"])
+    stored = responses.join(again.select("record_id"), "record_id", "left_anti").select(columns).union(repeated)
+    joined = found.join(stored, "response_id", "left")
     status = F.when(F.col("response_id").isNull(), "missing").otherwise(verdict(F.col("stored"), F.col("fresh")))
     good = F.col("status").isin("resolved", "unverified")
     return joined.withColumn("status", status).select(
@@ -123,13 +130,19 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file's bytes, plain or gzip, HTTP headers taken apart."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BufferedReader(io.BytesIO(data))
+    """The records of a WARC file's bytes, plain or gzip, HTTP headers taken apart.
+
+    A record without a valid length has no body, and reading goes on at the next
+    record's first line.  A file that is cut or damaged gives the records before
+    that place, the last one as far as it goes; no bytes give no records.
+    """
+    stream = io.BufferedReader(_Unpacked(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
         head = _headers(stream)
-        block = stream.read(int(head.get("content-length", 0)))
+        length = head.get("content-length", "")
+        block = stream.read(min(int(length), len(data) << 10)) if length.isascii() and length.isdigit() else b""
         out = {"record_id": head.get("warc-record-id"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "type": head.get("warc-type"), "headers": {}, "body": block}
         if head.get("content-type", "").startswith("application/http"):
             part = io.BytesIO(block)
@@ -140,6 +153,34 @@ def parse_records(data: bytes) -> Iterator[dict]:
         yield out
 
 
+class _Unpacked(io.RawIOBase):
+    """The content of gzip members one after the other, as far as they are whole."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.ended = memoryview(data), 0, zlib.decompressobj(31), False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while self.at < len(self.data) or not self.ended:
+            self.ended = self.at == len(self.data)
+            fed = self.data[self.at : self.at + (1 << 16)]
+            try:
+                out = self.member.decompress(fed, len(buffer))
+            except zlib.error:
+                self.at, self.ended = len(self.data), True
+                return 0
+            self.at += len(fed) - len(self.member.unused_data or self.member.unconsumed_tail)
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+            if out:
+                self.ended = False  # there may be more of the same input
+                buffer[: len(out)] = out
+                return len(out)
+        return 0
+
+
 def _headers(stream) -> dict[str, str]:
     out: dict[str, str] = {}
     while line := stream.readline().strip():
@@ -149,24 +190,39 @@ def _headers(stream) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (of up to 2 GB each, a file to a task)."""
+    """The records of WARC files, a file (of up to 2 GB) to a task, handed on as they are parsed.
+
+    Damaged and cut files give what comes before, as ``parse_records`` says;
+    a date that is none gives a null time, an empty file no rows.
+    """
+    schema = "record_id string, url string, date string, type string, headers map<string,string>, body binary"
+    kinds = {"record_id": pa.string(), "url": pa.string(), "date": pa.string(), "type": pa.string(), "headers": pa.map_(pa.string(), pa.string()), "body": pa.binary()}
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        value = lambda r, k: list(r[k].items()) if k == "headers" else r[k]
+        return pa.RecordBatch.from_arrays([pa.array([value(r, k) for r in rows], type=t) for k, t in kinds.items()], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows = list(parse_records(data.as_py()))
-                columns = [pa.array([r[k] for r in rows], type=t) for k, t in (("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("type", pa.string()))]
-                headers = pa.array([list(r["headers"].items()) for r in rows], type=pa.map_(pa.string(), pa.string()))
-                yield pa.RecordBatch.from_arrays([*columns, headers, pa.array([r["body"] for r in rows], type=pa.binary())], ["record_id", "url", "date", "type", "headers", "body"])
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    rows = raw.mapInArrow(tidy(run), "record_id string, url string, date string, type string, headers map<string,string>, body binary")
+                rows, size = [], 0
+                for r in parse_records(data.as_py()):
+                    rows.append(r)
+                    size += len(r["body"])
+                    if size > READ_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), schema)
     return rows.select("record_id", "url", F.try_to_timestamp("date").alias("ts"), "type", "headers", "body")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
     """Archive records made of the pages table: a response for each page and a later or earlier revisit.
 
+    Null pages are empty ones, null URLs stay null; an empty table gives no records.
     Revisits write the URL differently, some carry a weak entity tag, and every
     seventh carries the tag of another version.
     """

@@ -53,7 +53,7 @@ def test_revisits(spark):
     ]
     df = spark.createDataFrame(rows, "record_id string, url string, s long, type string, headers map<string,string>, body binary").withColumn("ts", F.timestamp_seconds("s"))
     got = {x["record_id"]: x for x in warc.resolve_revisits(df).collect()}
-    assert {k: (v["status"], v["response_id"]) for k, v in got.items()} == {"c": ("resolved", "a"), "d": ("stale", "b"), "e": ("unverified", "b"), "f": ("missing", None), "g": ("missing", None), "h": ("missing", None)}
+    assert {k: (v["status"], v["response_id"]) for k, v in got.items()} == {"c": ("resolved", "a"), "d": ("stale", "b"), "e": ("unverified", "b"), "f": ("missing", None), "g": ("missing", None), "h": ("missing", None), None: ("missing", None)}
     assert got["c"]["headers"] == {"etag": 'W/"1"', "content-length": "5", "age": "9"} and bytes(got["c"]["body"]) == b"first" and got["d"]["body"] is None
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
@@ -67,9 +67,30 @@ def test_slots_of_time_do_not_matter(spark, monkeypatch):
         if not full:
             found = max(((b, a) for a, v, b, f in rows if f and v == u and b < t), default=(0, None))
             want[i] = found[1]
-    for size in (7, 100_000):
-        monkeypatch.setattr(warc, "SLOT_ROWS", size)
-        assert {r["record_id"]: r["response_id"] for r in warc.latest_earlier(df).collect()} == want
+    for size in (3, 20, 100_000):
+        monkeypatch.setattr(warc, "FAN", size)
+        found = {(r["url_key"], r["ts"]): r["response_id"] for r in warc.latest_earlier(df).collect()}
+        assert {i: found[u, t] for i, u, t, full in rows if not full} == want
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [("a", "http://x.org/", 10, "response", b"one"), ("a", "http://x.org/", 10, "response", b"one"), ("a", "http://x.org/", 9, "response", b"earlier"), (None, "http://x.org/", 12, "response", b"nameless")]
+    rows += [("b", "http://x.org/", 20, "revisit", None), ("b", "http://x.org/", 5, "revisit", None), (None, "http://x.org/", 20, "revisit", None), (None, "http://x.org/", 20, "revisit", None)]
+    df = spark.createDataFrame(rows, "record_id string, url string, s long, type string, body binary").withColumn("ts", F.timestamp_seconds("s")).withColumn("headers", F.lit(None).cast("map<string,string>"))
+    got = sorted((str(r["record_id"]), r["response_id"], r["body"] and bytes(r["body"])) for r in warc.resolve_revisits(df).collect())
+    assert got == [("None", "a", b"earlier"), ("None", "a", b"earlier"), ("b", None, None)]
+
+
+def test_broken_archives(spark, tmp_path):
+    record = lambda i, length: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {length}\r\n\r\nhello\r\n\r\n".encode()
+    good = record("a", 5)
+    assert [(r["record_id"], r["body"]) for r in warc.parse_records(good + record("b", "many") + record("c", -1) + record("d", 5))] == [("<a>", b"hello"), ("<b>", b""), ("<c>", b""), ("<d>", b"hello")]
+    packed = gzip.compress(good) + gzip.compress(record("b", 5) * 50)
+    assert [r["record_id"] for r in warc.parse_records(packed[: len(gzip.compress(good)) + 30])][:1] == ["<a>"]
+    assert list(warc.parse_records(b"")) == [] and [r["body"] for r in warc.parse_records(record("a", 500))] == [b"hello\r\n\r\n"]
+    for name, data in (("empty", b""), ("noise", bytes(range(256))), ("cut", packed[:-9]), ("good", good)):
+        (tmp_path / name).write_bytes(data)
+    assert warc.read_warc(spark, str(tmp_path)).where("record_id = '<a>'").count() == 2
 
 
 @pytest.mark.parametrize("packed", [False, True])
