@@ -4,9 +4,10 @@ Only DataFrame functions are used.  One pattern finds all entities; each is
 brought to a canonical form (digits of a phone or card number, lower-case mail
 address), so that the same entity written differently keeps one identity.  The
 distinct entities of the corpus get surrogates from a keyed hash: digits stay
-digits, letters keep script and case, cards keep their first digit and whether
-their check digit holds, addresses stay addresses in reserved domains, names
-keep number of words, gender and script.  Surrogates that meet each other or a
+digits, letters keep script and case, cards keep their first digit and bank
+accounts their country, both whether their check digits hold, mail addresses get
+reserved domains, private network addresses stay private, names keep number of
+words, gender and script.  Surrogates that meet each other or a
 real entity are drawn anew until all are distinct, and every mention of an
 entity, in whatever document, gets the same one in its own format.  A name
 found behind a form of address is replaced without one too in its document, and
@@ -143,6 +144,35 @@ def _card(value: Column, h: Column) -> Column:
     return F.concat(body, last.cast("string"))
 
 
+def _mod_97(text: Column) -> Column:
+    """The remainder by 97 of a number in which letters stand for 10 to 35."""
+    one = lambda s, c: F.when(c.rlike("^[0-9]$"), s * 10 + c.cast("int")).otherwise(s * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda s, c: one(s, c).cast("int"))
+
+
+def _iban(value: Column, h: Column) -> Column:
+    """Country as before, check digits that hold if and only if they did."""
+    country, body = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
+    new = _alike(body, h)
+    check = lambda body: 98 - _mod_97(F.concat(body, country, F.lit("00")))
+    held = F.lpad(check(body).cast("string"), 2, "0") == F.substring(value, 3, 2)
+    return F.concat(country, F.lpad((check(new) - F.when(held, 0).otherwise(1)).cast("string"), 2, "0"), new)
+
+
+#: Private and local networks, as (pattern, fixed part, octets to fill); other addresses stay public.
+NETWORKS = [(r"^10\.", "10", 3), (r"^192\.168\.", "192.168", 2), (r"^127\.", "127", 3), (r"^169\.254\.", "169.254", 2), (r"^172\.(1[6-9]|2\d|3[01])\.", "172", 3)]
+
+
+def _ip(value: Column, h: Column, attempt: Column) -> Column:
+    """An address of the same network if that is private, else a public one; later attempts leave networks that have no free address."""
+    octet = lambda i, below, least: (_number(h, F.lit(i), below) + least).cast("string")
+    out = F.concat_ws(".", octet(0, 89, 11), *(octet(i, 254, 1) for i in (1, 2, 3)))
+    for pattern, fixed, n in NETWORKS:
+        filled = [octet(i, 16, 16) if fixed == "172" and i == 1 else octet(i, 254, 1) for i in range(4 - n, 4)]
+        out = F.when(value.rlike(pattern) & (attempt < 10), F.concat_ws(".", F.lit(fixed), *filled)).otherwise(out)
+    return out
+
+
 def _name(value: Column, h: Column, attempt: Column) -> Column:
     gender = F.substring(value, 1, 1)
     words = F.split(F.substring(value, F.lit(3), F.length(value)), " ")
@@ -168,12 +198,12 @@ def surrogate_of(kind: Column, value: Column, attempt: Column, key: str) -> Colu
 
     def made(h: Column) -> Column:
         mail = F.concat(_alike(F.substring_index(value, "@", 1), h), more, F.lit("@"), F.element_at(F.array(*map(F.lit, DOMAINS)), _number(h, F.lit(63), len(DOMAINS)) + 1))
-        octet = lambda i: (_number(h, F.lit(i), 254) + 1).cast("string")
         groups = [F.substring(h, 4 * i + 1, 4) for i in range(6)]
-        keep = F.when(kind == "phone", F.greatest(F.length(value) - 10, F.when(value.startswith("0"), 1).otherwise(0))).when(kind == "iban", 2).otherwise(0)
+        keep = F.when(kind == "phone", F.greatest(F.length(value) - 10, F.when(value.startswith("0"), 1).otherwise(0))).otherwise(0)
         return (
             F.when(kind == "email", mail)
-            .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
+            .when(kind == "ip", _ip(value, h, attempt))
+            .when(kind == "iban", _iban(value, h))
             .when(kind == "ipv6", F.concat_ws(":", F.lit("2001:db8"), *groups))
             .when(kind == "card", _card(value, h))
             .when(kind == "name", _name(value, h, attempt))

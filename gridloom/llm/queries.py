@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of the surrogates; a deployment sets its own."""
-    return spark.conf.get("spark.gridloom.pii.key", "unset key of the test tables")
+    """The secret of the surrogates: the session's ``spark.gridloom.pii.key``.
+
+    Without one each call draws a secret of its own, so nobody can tell what
+    stands behind its surrogates, and other calls give other ones.
+    """
+    return spark.conf.get("spark.gridloom.pii.key", None) or secrets.token_hex(32)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,7 @@ def test_pipeline(spark, sf_dir):
     import corpus_pipeline as p
     from tokenizers import Tokenizer
 
+    spark.conf.set("spark.gridloom.pii.key", "the tests' key")
     assert [n for n, _ in p.STAGES] == ["toxicity", "minhash_near_dedup", "pii", "mixing", "bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scores = {r["doc_id"]: r["score"] for r in queries.op6_toxicity(spark, sf_dir).collect()}

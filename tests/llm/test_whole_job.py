@@ -170,3 +170,23 @@ def test_assigned_secrets_in_any_case(spark):
     rows = [(i, x) for i, x in enumerate(["API_KEY=Zx81kkQ9pLm2", "AWS_SECRET_ACCESS_KEY=Zx81kkQ9pLm2", "Password: Zx81kkQ9pLm2", "TOKEN = Zx81kkQ9pLm2", '{"apiKey": "Zx81kkQ9pLm2"}'])]
     for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect():
         assert "Zx81kkQ9pLm2" not in r["text"] and r["n_entities"] == 1
+
+
+def test_formats_are_kept(spark):
+    """Check digits hold if they did, private addresses stay private and public ones public."""
+    import ipaddress
+
+    def mod_97(iban):
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432", "DE99370400440532013000", "FR1420041010050500013M02606"]
+    addresses = ["10.1.2.3", "192.168.0.7", "172.16.5.4", "172.31.9.9", "127.0.0.1", "169.254.1.1", "8.8.8.8", "172.32.0.1", "193.99.144.80"]
+    rows = [(i, f"pay {v} or ask {v}") for i, v in enumerate(ibans + addresses)]
+    got = {r["doc_id"]: r["text"].split() for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id int, text string"), "key").collect()}
+    for i, v in enumerate(ibans + addresses):
+        new = got[i][1]
+        assert new == got[i][4] != v
+        if i < len(ibans):
+            assert new[:2] == v[:2] and len(new) == len(v) and (mod_97(new) == 1) == (mod_97(v) == 1) and [c.isdigit() for c in new] == [c.isdigit() for c in v]
+        else:
+            assert ipaddress.ip_address(new).is_private == ipaddress.ip_address(v).is_private and ipaddress.ip_address(new).is_loopback == ipaddress.ip_address(v).is_loopback
