@@ -12,6 +12,7 @@ known, small size; all that is broadcast grows with them and not with the data.
 
 from __future__ import annotations
 
+import re
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,7 @@ THRESHOLD = 80
 
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 
+#: Sentences by which licenses are announced, and the texts and notices of short licenses.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
@@ -37,9 +39,80 @@ TEMPLATES = [
     ("bsd", "licensed under the bsd 3 clause license"),
     ("cc", "licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "subject to the terms of the mozilla public license v 2 0"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
+    (
+        "lgpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. "
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
 ]
 
 
+def template_words(text: str) -> list[str]:
+    """The words of a template, as those of documents."""
+    return [w for w in re.split(BREAK, text.lower()) if w]
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of whole words; letters that begin several stand in it once, so that most places are left after one step."""
+
+    def branch(rest: list[str]) -> str:
+        heads = sorted({w[0] for w in rest if w})
+        parts = "|".join(re.escape(c) + branch([w[1:] for w in rest if w and w[0] == c]) for c in heads)
+        return "" if not heads else f"(?:{parts})?" if "" in rest else parts if len(heads) == 1 else f"(?:{parts})"
+
+    return rf"(?i)(?<![0-9a-z])(?:{branch(words)})(?![0-9a-z])"
+
+
 def words_of(lowered: Column) -> Column:
     """The words of a text whose A-Z are lower-case already."""
     return F.filter(F.split(lowered, BREAK), lambda w: w != "")
@@ -69,7 +142,7 @@ def _all(first: Column, *rest: Column) -> Column:
 
 def template_table(spark: SparkSession, docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: int) -> tuple[DataFrame, list[str], list[str]]:
     """(one row for each template and prefix word, all template words in global order, all prefix words)."""
-    sets = [(label, sorted(set(t.lower().split())), len(t.split()) * 5 // 4) for label, t in templates]
+    sets = [(label, sorted(set(template_words(t))), len(template_words(t)) * 5 // 4) for label, t in templates]
     vocabulary = sorted({w for _, s, _ in sets for w in s})
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = F.array(*map(F.lit, vocabulary))
@@ -96,7 +169,7 @@ def template_matches(docs: DataFrame, row_key: Column, text_col: str = "text", t
     spark = docs.sparkSession
     table, order, prefixes = template_table(spark, docs, text_col, templates, threshold)
     ordered, prefix = F.array(*map(F.lit, order)), F.array(*map(F.lit, prefixes))
-    any_prefix = r"(?i)(?<![0-9a-z])(?:" + "|".join(prefixes) + r")(?![0-9a-z])"
+    any_prefix = any_of(prefixes)
     lines = docs.where(F.col(text_col).rlike(any_prefix)).select(row_key.alias("row_key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     lines = lines.where(F.col("raw").rlike(any_prefix)).select("row_key", "line", F.array_intersect(ordered, F.split(ascii_lower(F.col("raw")), BREAK)).alias("block"))
     probes = lines.select("*", F.posexplode("block").alias("b_place", "prefix_word")).where(F.array_contains(prefix, F.col("prefix_word")))
@@ -105,7 +178,7 @@ def template_matches(docs: DataFrame, row_key: Column, text_col: str = "text", t
     same = F.size(F.array_intersect("template", "block"))
     by_line = pairs.where(same >= F.col("need")).groupBy("row_key", "line", "label").agg(F.max(same / F.size("template")).alias("containment"))
     several = docs.where(F.col(text_col).rlike(any_prefix) & F.col(text_col).contains("\n")).select(row_key.alias("row_key"), words_of(ascii_lower(F.col(text_col))).alias("words"))
-    return by_line.unionByName(run_matches(several, table, prefixes, max(len(t.split()) * 5 // 4 for _, t in templates)))
+    return by_line.unionByName(run_matches(several, table, prefixes, max(len(template_words(t)) * 5 // 4 for _, t in templates)))
 
 
 def run_matches(docs: DataFrame, table: DataFrame, prefixes: list[str], widest: int) -> DataFrame:
@@ -186,4 +259,4 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
   coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM found f WHERE f.doc_id = w.doc_id), '') AS labels,
   CAST(CASE WHEN EXISTS (SELECT 1 FROM places p WHERE p.doc_id = w.doc_id) THEN 1.0 ELSE coalesce((SELECT max(c) FROM hits h WHERE h.doc_id = w.doc_id), 0.0) END AS DOUBLE) AS score
 FROM w
-""" % (", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES), THRESHOLD)
+""" % (", ".join(f"('{a}', '{' '.join(template_words(b))}')" for a, b in TEMPLATES), THRESHOLD)
