@@ -8,8 +8,8 @@
    its first neighbours, and links that connect what is linked within a block.
 3. NN-descent: at every vector its neighbours and some of those that have it as
    neighbour meet; pairs that improve a list enter it.  Links merge vectors into
-   components.  A list saturated by links grows to the vector's whole component,
-   whose members take no places in it; its places are for other components.
+   components, whose members take no places in a list: these are for other
+   components, and a list saturated by near ones is enlarged in each round.
 4. After each round an audit compares vectors of small and of large components
    with all others exactly; rounds, with fresh seeds, go on until the mean of
    their own recall reaches RECALL in both.  Where the audit after the last of ROUNDS finds less, all
@@ -38,6 +38,10 @@ from .components import connected_components
 TABLES, BUCKET, BLOCK, SLICE = 8, 48, 256, 8192
 #: Places in a neighbour list for other components; places that a block of a bucket may fill.
 NEIGHBOURS, SEEDS = 10, 4
+#: A list whose last place has this cosine is saturated; it has twice the places in the next round, for such neighbours.
+SATURATED = 0.8
+#: Members of a component of more than MANY are compared in blocks of WIDE, so that each is sent to fewer of them.
+MANY, WIDE = 4096, 2048
 ROUNDS, RECALL, AUDITED = 4, 0.995, 400
 NEAR = 1e-5
 #: A small component has at most so many vectors; at most so many vectors of small components are audited.
@@ -119,12 +123,13 @@ def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "sim"])
 
 
-def in_block_pairs(placed: DataFrame, key: str, rows: DataFrame) -> DataFrame:
+def in_block_pairs(placed: DataFrame, key: str, rows: DataFrame, wide: int = BLOCK) -> DataFrame:
     """(key, i, j, side, *rows): the members of each key in pairs of blocks i <= j, sorted by pair and side.
 
-    ``placed`` is (rep, key); keys with one member are left out.
+    ``placed`` is (rep, key); keys with one member are left out.  Blocks of keys
+    with more than MANY members may be ``wide``.
     """
-    sizes = placed.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key, F.ceil(F.col("c") / BLOCK).alias("n"))
+    sizes = placed.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").select(key, F.ceil(F.col("c") / F.when(F.col("c") > MANY, wide).otherwise(BLOCK)).alias("n"))
     dealt = placed.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("rep"), "n"))
     up = F.transform(F.sequence(F.col("own"), F.col("n") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     down = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.col("own"), F.lit(1))), lambda i: F.struct((i - 1).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
@@ -181,19 +186,25 @@ def ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def lists(edges: DataFrame, located: DataFrame) -> DataFrame:
-    """(c, m, sim): each vector's best neighbours in other components, from edges (a, b, sim)."""
+def lists(edges: DataFrame, located: DataFrame, places: int) -> DataFrame:
+    """(c, m, sim, place): each vector's best neighbours in other components, from edges (a, b, sim).
+
+    Up to NEIGHBOURS of them, and in a saturated list up to ``places``.
+    """
     comp = lambda x: located.select(F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}"))
     apart = edges.join(comp("a"), "a").join(comp("b"), "b").where("comp_a != comp_b")
     both = apart.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("m")), F.struct(F.col("b").alias("c"), F.col("a").alias("m")))).alias("e"), "sim").select("e.*", "sim")
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("sim"), "m"))).where(F.col("place") <= NEIGHBOURS).drop("place")
+    ranked = both.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("sim"), "m"))).where(F.col("place") <= places)
+    return ranked.where((F.col("place") <= NEIGHBOURS) | (F.col("sim") >= SATURATED))
 
 
-def local_joins(graph: DataFrame, located: DataFrame, threshold: float, step: int) -> DataFrame:
+def local_joins(graph: DataFrame, located: DataFrame, threshold: float, step: int, places: int) -> DataFrame:
     """Edges (a, b, sim) between the neighbours of each vector that are in different components and improve a list or are links."""
+    last = F.max(F.when(F.col("place") == NEIGHBOURS, F.col("sim")))
+    open_ = F.when(F.count("*") < places, F.least(last, F.lit(SATURATED)))  # what may enter a list that has NEIGHBOURS
     reverse = graph.select(F.col("m").alias("c"), F.col("c").alias("m")).withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.xxhash64("m", F.lit(step))))).where(F.col("place") <= NEIGHBOURS)
     members = graph.select("c", "m").union(reverse.select("c", "m")).distinct()
-    worst = graph.groupBy(F.col("c").alias("m")).agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-1.0)).alias("worst"))
+    worst = graph.groupBy(F.col("c").alias("m")).agg(F.when(F.count("*") >= NEIGHBOURS, F.coalesce(open_, F.min("sim"))).otherwise(F.lit(-1.0)).alias("worst"))
     light = located.select(F.col("rep").alias("m"), "comp", "vec").join(worst, "m", "left").select("m", "comp", "vec", F.coalesce("worst", F.lit(-1.0)).alias("worst"))
     rows = members.join(light, "m").repartition(n_partitions(graph.sparkSession), "c").sortWithinPartitions("c")
 
@@ -314,7 +325,7 @@ def audit(located: DataFrame, threshold: float) -> float:
 
 def link_counts(located: DataFrame, threshold: float) -> DataFrame:
     """(rep, others): with how many vectors, copies counted, each is linked within its component."""
-    rows = in_block_pairs(located.select("rep", "comp"), "comp", located.select("rep", "n", "vec"))
+    rows = in_block_pairs(located.select("rep", "comp"), "comp", located.select("rep", "n", "vec"), WIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in _runs(batches, ["key", "i", "j"]):
@@ -368,8 +379,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             fresh = checkpoint(seeds(reps, codes(reps, bits, batches + step), threshold))
             edges, links = ordered(edges.union(fresh)), links.union(fresh.where(F.col("sim") >= threshold))
             located = checkpoint(with_components(reps, links))
-        graph = checkpoint(lists(edges, located))
-        met = checkpoint(local_joins(graph, located, threshold, step))
+        places = NEIGHBOURS << step
+        graph = checkpoint(lists(edges, located, places))
+        met = checkpoint(local_joins(graph, located, threshold, step, places))
         links = checkpoint(links.union(met.where(F.col("sim") >= threshold)))
         edges = checkpoint(ordered(met.union(graph.select(F.col("c").alias("a"), F.col("m").alias("b"), "sim"))))
         located = checkpoint(with_components(reps, links))
@@ -377,6 +389,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         if audit(located, threshold) < RECALL:
             located = checkpoint(with_components(reps, links.union(all_links(located, threshold))))
     classes = located.join(link_counts(located, threshold), "rep", "left").select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "comp")
-    out = units.withColumn("vec", F.when(F.col("vec_id").isNotNull(), F.col("vec"))).join(classes, "vec", "left")
-    component = F.coalesce("comp", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    linkable = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
+    out = units.where(linkable).join(classes, "vec").select("vec_id", "links", "comp").union(units.where(~linkable).select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("comp").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("comp"), F.lit(True)).alias("kept"))

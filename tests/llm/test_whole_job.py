@@ -190,3 +190,21 @@ def test_formats_are_kept(spark):
             assert new[:2] == v[:2] and len(new) == len(v) and (mod_97(new) == 1) == (mod_97(v) == 1) and [c.isdigit() for c in new] == [c.isdigit() for c in v]
         else:
             assert ipaddress.ip_address(new).is_private == ipaddress.ip_address(v).is_private and ipaddress.ip_address(new).is_loopback == ipaddress.ip_address(v).is_loopback
+
+
+def test_lists_grow_and_blocks_of_any_size_agree(spark, monkeypatch):
+    """Chains of near vectors that fill a list, clashing columns, repeated rows, ids at both ends; small blocks of both kinds."""
+    rng = np.random.default_rng(8)
+    x = [rng.standard_normal(16) for _ in range(60)]
+    base = rng.standard_normal(16)
+    x += [base + rng.standard_normal(16) * s for s in np.linspace(0.1, 0.45, 120)]
+    x += [x[0], x[0] * 3]
+    ids = [*range(len(x) - 2), -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(i, v.tolist(), 1, "vec", 2.0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, rep int, vec string, comp double")
+    u = np.stack(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (u @ u.T >= 0.95).sum(axis=1) - 1
+    for name, value in (("BLOCK", 8), ("MANY", 20), ("WIDE", 16), ("NEIGHBOURS", 3), ("BUCKET", 6)):
+        monkeypatch.setattr(nn_descent, name, value)
+    got = {r["vec_id"]: r for r in nn_descent.near_vectors(rows).collect()}
+    assert [got[i]["n_links"] for i in ids] == true.tolist() and true.max() > 10
+    assert got[0]["component_id"] == got[(1 << 63) - 1]["component_id"] == -(1 << 63)
