@@ -109,20 +109,29 @@ def zoom_for_res(res: Column, strategy: str = "auto", tms: TileMatrixSet = WEB_M
     to it.  Where they are not equal, ``lower`` takes z - 1, ``upper`` z, and
     ``auto`` the level whose cell is nearer in ratio.
     """
-    cells = F.array(*(F.lit(float(c)) for c in tms.cells))
     same = lambda c: F.abs(res - c) / c <= 1e-8
-    reached = F.filter(F.transform(cells, lambda c, i: F.struct(i.alias("z"), c.alias("c"))), lambda s: (res > s["c"]) | same(s["c"]))
-    z = F.coalesce(F.get(reached, F.lit(0))["z"], F.lit(len(tms.cells) - 1))
-    here, above = F.get(cells, z), F.get(cells, z - 1)
+    reaches = lambda c: (res > c) | same(c)
+    last = len(tms.cells) - 1
+    if all(b * 2 == a for a, b in zip(tms.cells, tms.cells[1:])):
+        cell = lambda z: F.lit(float(tms.cells[0])) / F.pow(F.lit(2.0), z)
+        guess = F.greatest(F.lit(0), F.least(F.lit(last), F.ceil(F.log2(F.lit(float(tms.cells[0])) / res)))).cast("int")
+        # The logarithm may be off by one, where cells are met exactly or nearly.
+        z = F.when((guess > 0) & reaches(cell(guess - 1)), guess - 1).when((guess < last) & ~reaches(cell(guess)), guess + 1).otherwise(guess)
+    else:
+        cells = F.array(*(F.lit(float(c)) for c in tms.cells))
+        cell = lambda z: F.get(cells, z)
+        z = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(last)), lambda i: reaches(cell(i))), F.lit(0)), F.lit(last))
+    z = F.when(res.isNotNull(), z)
     if strategy == "upper":
         return z.cast("long")
-    step = F.lit(True) if strategy == "lower" else above / res < res / here
-    return F.when((z > 0) & ~same(here) & step, z - 1).otherwise(z).cast("long")
+    step = F.lit(True) if strategy == "lower" else cell(z - 1) / res < res / cell(z)
+    return F.when((z > 0) & ~same(cell(z)) & step, z - 1).otherwise(z).cast("long")
 
 
 def tile_index(x: Column, y: Column, cell: Column, tms: TileMatrixSet = WEB_MERCATOR) -> tuple[Column, Column]:
-    """(column, row) of the tile that holds a point, before clamping."""
-    return F.floor((x - tms.origin_x) / (cell * tms.tile_width)).cast("long"), F.floor((tms.origin_y - y) / (cell * tms.tile_height)).cast("long")
+    """(column, row) of the tile that holds a point, kept within the matrix."""
+    within = lambda place, side, n: F.greatest(F.lit(0), F.least(F.floor(place / side), F.bround(F.lit(tms.cells[0] * n) / cell) - 1)).cast("long")
+    return within(x - tms.origin_x, cell * tms.tile_width, tms.matrix_width_0), within(tms.origin_y - y, cell * tms.tile_height, tms.matrix_height_0)
 
 
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -133,11 +142,11 @@ def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 def aligned_grid(left: Column, top: Column, right: Column, bottom: Column, res: Column, zoom: Column, aligned_levels: int = 0, tms: TileMatrixSet = WEB_MERCATOR) -> dict[str, Column]:
     """A raster's grid on a tile matrix set: zoom, res, west, north, width, height.
 
-    Edges move out to tiles of level ``zoom - aligned_levels``.  Sizes are
+    Edges move out to tiles of level ``zoom - aligned_levels``, at least 0.  Sizes are
     rounded half to even and at least one pixel.
     """
     cells = F.array(*(F.lit(float(c)) for c in tms.cells))
-    cell, base = F.get(cells, zoom.cast("int")), F.get(cells, (zoom - aligned_levels).cast("int"))
+    cell, base = F.get(cells, zoom.cast("int")), F.get(cells, F.greatest(F.lit(0), zoom - aligned_levels).cast("int"))
     col0, row0 = tile_index(left, top, base, tms)
     col1, row1 = tile_index(right, bottom, base, tms)
     side_x, side_y = base * tms.tile_width, base * tms.tile_height

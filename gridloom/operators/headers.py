@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from gridloom.functions.projections import known, moved_point
+
 HEADER = """path string, driver string, width int, height int, count int, dtype string, nodata double, interleave string,
 compression string, photometric int, epsg int, transform array<double>, n_gcps int, ghost map<string,string>, internal_mask boolean,
 tags map<string,map<string,string>>, n_colors int,
 bands array<struct<band:int,colorinterp:string,description:string,scale:double,offset:double,tags:map<string,string>>>,
 ifds array<struct<level:int,width:int,height:int,block_h:int,block_w:int,decimation:int,ifd_offset:bigint>>,
-blocks array<struct<level:int,band:int,block_y:int,block_x:int,offset:bigint,byte_count:bigint>>"""
+blocks array<struct<level:int,band:int,block_y:int,block_x:int,offset:bigint,byte_count:bigint>>,
+web array<double>"""
 
 
 def describe(path: str, read) -> dict:
@@ -41,9 +45,24 @@ def describe(path: str, read) -> dict:
         "bands": [{"band": b, "colorinterp": interp[b - 1], "description": band(b).get("description"), "scale": band(b).get("scale", 1.0), "offset": band(b).get("offset", 0.0), "tags": band(b).get("tags", {})} for b in range(1, n + 1)],
         "ifds": [{"level": i, "width": x.width, "height": x.height, "block_h": x.block[0], "block_w": x.block[1], "decimation": round(d.width / x.width) if i else 0, "ifd_offset": x.offset} for i, x in enumerate(t.directories)],
         "blocks": [{"level": i, "band": b, "block_y": y, "block_x": x, "offset": o, "byte_count": c} for i, level in enumerate(t.directories) for b, y, x, o, c in level.blocks()],
+        "web": on_the_web(d.transform, d.width, d.height, d.epsg),
     }
 
 
+def on_the_web(transform: tuple[float, ...], width: int, height: int, epsg: int | None) -> list[float] | None:
+    """(pixel size, width, height) of a raster in Web Mercator, with as many pixels along the diagonal; None where its system is not known."""
+    if not known(epsg):
+        return None
+    a, b, c, d, e, f = transform
+    if epsg == 3857:
+        return [max(abs(a), abs(e)), float(width), float(height)]
+    at = [moved_point(a * x + b * y + c, d * x + e * y + f, epsg, 3857) for x, y in ((0, 0), (width, height), (width, 0), (0, height))]
+    res = math.dist(at[0], at[1]) / math.hypot(width, height)
+    if not (math.isfinite(res) and res > 0):
+        return None
+    return [res, *(float(max(1, round((max(v) - min(v)) / res))) for v in zip(*at))]
+
+
 def _columns() -> list[str]:
     depth, out, word = 0, [], ""
     for c in HEADER:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
-from gridloom.operators import validate, warp
+from gridloom.operators import validate
 
 _MODELS = {0: "MINISWHITE", 1: "MINISBLACK", 2: "RGB", 3: "PALETTE", 4: "MASK", 5: "CMYK", 6: "YCBCR", 8: "CIELAB"}
 
@@ -35,17 +35,15 @@ def bounds(transform: Column, width: Column, height: Column) -> Column:
 def info(headers: DataFrame, strict: bool = False) -> DataFrame:
     """The description of every file of ``read_headers``.
 
-    Zoom levels are given for rasters in Web Mercator or in degrees, whose cell
-    is the one that keeps the pixels along the diagonal; for others they are null.
+    Zoom levels are those of the raster in Web Mercator, with the cell that keeps
+    the pixels along the diagonal, and the size that it has there; they are null
+    for coordinate systems that ``functions.projections`` does not know.
     """
     checked = validate.validate_files(headers, strict).select("path", F.col("valid").alias("COG"), F.col("errors").alias("COG_errors"), F.col("warnings").alias("COG_warnings"))
     t = F.col("transform")
     part = lambda i: F.get(t, F.lit(i))
-    res = grid.resolution(part(0), part(4))
-    corner = lambda px, py: warp.moved(part(0) * px + part(1) * py + part(2), part(3) * px + part(4) * py + part(5), 4326, 3857)
-    (x0, y0), (x1, y1) = corner(F.lit(0), F.lit(0)), corner(F.col("width"), F.col("height"))
-    metres = F.when(F.col("epsg") == 3857, res).when(F.col("epsg") == 4326, F.hypot(x1 - x0, y1 - y0) / F.hypot("width", "height"))
-    halvings = grid.overview_count(F.col("width"), F.col("height"), 256)
+    metres, *size = (F.get("web", F.lit(i)) for i in range(3))
+    halvings = grid.overview_count(*size, 256)
     models = F.create_map(*(F.lit(x) for kv in _MODELS.items() for x in kv))
     profile = F.struct(
         F.col("count").alias("Bands"), F.col("width").alias("Width"), F.col("height").alias("Height"),

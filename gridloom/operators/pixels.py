@@ -1,8 +1,8 @@
 """Rasters as rows of pixels (row, col, value): overviews, resampling, bands, masks.
 
 Null is nodata.  Every overview is one aggregate whose partial results combine
-before the shuffle; a level never reads the level before it, so averages stay
-exact where cells are missing.
+before the shuffle; what a level takes from the one before are sums and counts,
+never averages, so these stay exact where cells are missing.
 """
 
 from __future__ import annotations
@@ -96,11 +96,24 @@ def kernel_overview(pixels: DataFrame, factor: int, method: str, keys: tuple[str
 
 
 def pyramid(pixels: DataFrame, levels: int, base: int = 2, method: str = "average", keys: tuple[str, ...] = ()) -> DataFrame:
-    """All overviews, with their level (1 the finest); each comes straight from the pixels."""
-    parts = [overview(pixels, base**j, method, keys).withColumn("level", F.lit(j).cast("long")) for j in range(1, levels + 1)]
-    if not parts:
+    """All overviews, with their level (1 the finest).
+
+    Averages, sums and extremes carry sums, counts and extremes from level to
+    level, so the pixels are read once and every level is as exact as if it came
+    straight from them; other methods read the pixels for each level.
+    """
+    if levels < 1:
         return overview(pixels.limit(0), base, method, keys).withColumn("level", F.lit(0).cast("long"))
-    return reduce(DataFrame.unionByName, parts)
+    if method not in ("average", "rms", "sum", "min", "max"):
+        return reduce(DataFrame.unionByName, (overview(pixels, base**j, method, keys).withColumn("level", F.lit(j).cast("long")) for j in range(1, levels + 1)))
+    v = F.col("value")
+    state, fold = {"min": (v, F.min), "max": (v, F.max), "rms": (v * v, F.sum)}.get(method, (v, F.sum))
+    now, out = pixels.select(*keys, "row", "col", state.alias("s"), v.isNotNull().cast("long").alias("n_valid")), []
+    value = {"average": F.try_divide("s", "n_valid"), "rms": F.sqrt(F.try_divide("s", "n_valid"))}.get(method, F.col("s"))
+    for j in range(1, levels + 1):
+        now = now.groupBy(*map(F.col, keys), cell("row", base).alias("row"), cell("col", base).alias("col")).agg(fold("s").alias("s"), F.sum("n_valid").alias("n_valid"))
+        out.append(now.select(*keys, "row", "col", "n_valid", value.alias("value"), F.lit(j).cast("long").alias("level")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def select_bands(pixels: DataFrame, wanted: tuple[int, ...] | int | None) -> DataFrame:

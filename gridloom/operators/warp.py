@@ -9,13 +9,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RADIUS = 6378137.0
-#: Where Web Mercator's square ends.
-MAX_LATITUDE = 85.05112877980659
-
+from gridloom.functions.projections import moved, moved_arrays, moved_point, zone
 
 def output_grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     """(row, col) of every output pixel, made in parallel."""
@@ -31,29 +29,6 @@ def inverse(t: tuple[float, ...]) -> tuple[float, ...]:
     return e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det
 
 
-def moved(x: Column, y: Column, source: int | None, target: int | None) -> tuple[Column, Column]:
-    """Coordinates of one system in another: Web Mercator (3857) and degrees (4326)."""
-    if source == target or None in (source, target):
-        return x, y
-    if (source, target) == (4326, 3857):
-        y = F.least(F.greatest(y, F.lit(-MAX_LATITUDE)), F.lit(MAX_LATITUDE))
-        return F.radians(x) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)) * RADIUS
-    if (source, target) == (3857, 4326):
-        return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
-    raise ValueError(f"no way from EPSG:{source} to EPSG:{target}")
-
-
-def moved_point(x: float, y: float, source: int | None, target: int | None) -> tuple[float, float]:
-    if source == target or None in (source, target):
-        return x, y
-    if (source, target) == (4326, 3857):
-        y = min(max(y, -MAX_LATITUDE), MAX_LATITUDE)
-        return math.radians(x) * RADIUS, math.log(math.tan(math.pi / 4 + math.radians(y) / 2)) * RADIUS
-    if (source, target) == (3857, 4326):
-        return math.degrees(x / RADIUS), math.degrees(2 * math.atan(math.exp(y / RADIUS)) - math.pi / 2)
-    raise ValueError(f"no way from EPSG:{source} to EPSG:{target}")
-
-
 def moved_bounds(bounds: tuple[float, float, float, float], source: int | None, target: int | None, steps: int = 21) -> tuple[float, float, float, float]:
     """The box around a box's edge in another system."""
     left, bottom, right, top = bounds
@@ -75,13 +50,28 @@ def source_place(grid: DataFrame, transform: tuple[float, ...], source_transform
     """Adds y and x, the place of each output pixel's centre in source pixels, and the places of its corners (y0, x0, y1, x1)."""
     a, b, c, d, e, f = transform
     i = inverse(source_transform)
+    shifts = (("", 0.5), ("0", 0.0), ("1", 1.0))
+    if {epsg, source_epsg} - {None} and epsg != source_epsg and any(zone(x) for x in (epsg, source_epsg) if x):
+        names = ["row", "col", *(f"{n}{suffix}" for suffix, _ in shifts for n in "yx")]
+
+        def run(batches):
+            for batch in batches:
+                row, col = (batch.column(n).to_numpy() for n in ("row", "col"))
+                out = []
+                for _, shift in shifts:
+                    px, py = col + shift, row + shift
+                    gx, gy = moved_arrays(a * px + b * py + c, d * px + e * py + f, epsg, source_epsg)
+                    out += [i[3] * gx + i[4] * gy + i[5], i[0] * gx + i[1] * gy + i[2]]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("col"), *map(pa.array, out)], names)
+
+        return grid.select("row", "col").mapInArrow(run, "row long, col long, " + ", ".join(f"{n} double" for n in names[2:]))
 
     def place(px: Column, py: Column) -> tuple[Column, Column]:
         gx, gy = moved(a * px + b * py + c, d * px + e * py + f, epsg, source_epsg)
         return i[0] * gx + i[1] * gy + i[2], i[3] * gx + i[4] * gy + i[5]
 
     out = {}
-    for suffix, shift in (("", 0.5), ("0", 0.0), ("1", 1.0)):
+    for suffix, shift in shifts:
         out[f"x{suffix}"], out[f"y{suffix}"] = place(F.col("col") + shift, F.col("row") + shift)
     return grid.withColumns(out)
 

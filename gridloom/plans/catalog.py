@@ -273,17 +273,22 @@ def _box(spark, sf_dir) -> DataFrame:
     return catalog(spark, sf_dir).select(k, (F.lit(-12000000.0) + k % 1000 * 21000.0).alias("w"), (F.lit(9000000.0) - k % 777 * 19000.0).alias("n"), "width", "height", (8 + F.col("p_size") % 6).cast("long").alias("zoom"))
 
 
-@query(f"SELECT path, CAST(floor((w + {grid.EXTENT!r}) / (156543.03392804097 / power(2.0, zoom) * 256)) AS BIGINT) AS tile_col, CAST(floor(({grid.EXTENT!r} - n) / (156543.03392804097 / power(2.0, zoom) * 256)) AS BIGINT) AS tile_row FROM ({_BOX})")
+_CLAMPED = "CAST(greatest(0, least(floor({} / (156543.03392804097 / power(2.0, zoom) * 256)), power(2, zoom) - 1)) AS BIGINT)"
+
+
+@query(f"SELECT path, {_CLAMPED.format('(3 * w + 20037508.342789244)')} AS tile_col, {_CLAMPED.format('(20037508.342789244 - 3 * n)')} AS tile_row FROM ({_BOX})")
 def tile_index(spark, sf_dir):
+    """Points thrice as far out, so that some are beyond the matrix."""
     cell = F.lit(grid.CELL_0) / F.pow(F.lit(2.0), F.col("zoom"))
-    col, row = grid.tile_index(F.col("w"), F.col("n"), cell)
+    col, row = grid.tile_index(3 * F.col("w"), 3 * F.col("n"), cell)
     return _box(spark, sf_dir).select("path", col.alias("tile_col"), row.alias("tile_row"))
 
 
 def _align_sql(levels: int) -> str:
     e = repr(grid.EXTENT)
     return f"""WITH b AS (SELECT *, 156543.03392804097 / power(2.0, zoom) AS cell, 156543.03392804097 / power(2.0, zoom - {levels}) * 256 AS side FROM ({_BOX})),
-t AS (SELECT *, floor((w + {e}) / side) AS c0, floor(({e} - n) / side) AS r0, floor((w + width * cell + {e}) / side) AS c1, floor(({e} - (n - height * cell)) / side) AS r1 FROM b),
+m AS (SELECT *, power(2, zoom - {levels}) - 1 AS top FROM b),
+t AS (SELECT *, greatest(0, least(floor((w + {e}) / side), top)) AS c0, greatest(0, least(floor(({e} - n) / side), top)) AS r0, greatest(0, least(floor((w + width * cell + {e}) / side), top)) AS c1, greatest(0, least(floor(({e} - (n - height * cell)) / side), top)) AS r1 FROM m),
 g AS (SELECT *, -{e} + c0 * side AS west, {e} - r0 * side AS north, -{e} + (c1 + 1) * side AS east, {e} - (r1 + 1) * side AS south FROM t)
 SELECT path, zoom, round(cell, 6) AS res, round(west, 4) AS west, round(north, 4) AS north, CAST(greatest(1, round_even((east - west) / cell, 0)) AS BIGINT) AS width, CAST(greatest(1, round_even((north - south) / cell, 0)) AS BIGINT) AS height FROM g"""
 
