@@ -76,24 +76,43 @@ def _columns() -> list[str]:
 
 
 def read_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One header row for each file; pixels are never decoded."""
+    """One header row for each file; pixels are never decoded.
 
+    Of files on a file system that executors mount only the byte ranges of their
+    headers are read, whatever their size.  In other stores files are read whole
+    by Spark, up to 2 GB each.
+    """
     schema = to_arrow_schema(StructType.fromDDL(HEADER))
 
+    def packed(row: dict) -> pa.RecordBatch:
+        row = {k: (list(v.items()) if isinstance(v, dict) else v) for k, v in row.items()}
+        if row["tags"] is not None:
+            row["tags"] = [(k, list(v.items())) for k, v in row["tags"]]
+        for b in row["bands"]:
+            b["tags"] = list(b["tags"].items())
+        return pa.RecordBatch.from_pylist([row], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 data = content.as_buffer()
-                row = describe(p, lambda at, size: data[at : at + size].to_pybytes() if at < len(data) else b"")
-                row = {k: (list(v.items()) if isinstance(v, dict) else v) for k, v in row.items()}
-                if row["tags"] is not None:
-                    row["tags"] = [(k, list(v.items())) for k, v in row["tags"]]
-                for b in row["bands"]:
-                    b["tags"] = list(b["tags"].items())
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInArrow(run, HEADER)
+                yield packed(describe(p, lambda at, size: data[at : at + size].to_pybytes() if at < len(data) else b""))
+
+    def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                with open(unquote(p.removeprefix("file://").removeprefix("file:")), "rb") as f:
+
+                    def read(at: int, size: int) -> bytes:
+                        f.seek(at)
+                        return f.read(size)
+
+                    yield packed(describe(p, read))
+
+    files = spark.read.format("binaryFile").load(path)
+    if all(f.startswith("file:") for f in files.inputFiles()):
+        return files.select("path").mapInArrow(ranged, HEADER)
+    return files.select("path", "content").mapInArrow(run, HEADER)
 
 
 def ifds(headers: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Reading seeks: a task reads the header and the byte ranges of its own blocks
 only, and filters on level, block row, block column and band choose blocks
 before anything is read.  Writing is done by all executors: each encodes its
 tiles into a file beside the target, and the commit puts headers and blocks in
-order by copying byte ranges, so no process holds the whole raster.  Paths are
+order by having the file system copy byte ranges, so no process holds the whole
+raster.  Paths are
 those of a file system that all executors mount.
 """
 
@@ -16,7 +17,9 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +65,19 @@ def decode_bands(d: tiff.Directory, band: int, row: int, data: bytes) -> Iterato
 
 @dataclass
 class Blocks(InputPartition):
+    """Some blocks of a file: the numbers ``start`` to ``stop`` of those that the filters leave, all if ``stop`` is None."""
+
     path: str
-    wanted: list[tuple[int, int, int, int, int, int]]
+    start: int = 0
+    stop: int | None = None
+
+
+#: Up to so many files are cut into partitions of a few MB by the driver, which reads their headers for it; of more each is one.
+FILES = 64
 
 
 class TiffReader(DataSourceReader):
-    """Blocks of one or more files, a few MB to a partition."""
+    """Blocks of one or more files, a few MB to a partition; tasks list the blocks themselves."""
 
     def __init__(self, options: dict):
         self.paths = sorted(p for x in options["path"].split(",") for p in (glob.glob(_file_path(x)) or [_file_path(x)]))
@@ -84,31 +94,38 @@ class TiffReader(DataSourceReader):
                 self.tests.append((i, lambda x, t=test, v=value: t(x, v)))
             yield f  # the band of a pixel-interleaved block is not known before it is read, so Spark filters too
 
+    def wanted(self, t: tiff.TiffFile) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(level, band, row, column, offset, size) of the blocks that pass; band 0 for all bands, -1 for a mask."""
+        for level, d in enumerate(t.directories):
+            for block in d.blocks():
+                key = (level, *block[:3])
+                if all(test(key[i]) for i, test in self.tests if not (i == 1 and not block[0])):
+                    yield level, *block
+        for level, d in enumerate(t.masks or t.external):
+            for block in d.blocks():
+                if all(test((level, 0, *block[1:3])[i]) for i, test in self.tests):
+                    yield level, -1, *block[1:]
+
     def partitions(self) -> list[Blocks]:
+        if len(self.paths) > FILES:
+            return [Blocks(p) for p in self.paths]
         out = []
         for path in self.paths:
-            t = parsed(path)
-            part, held = [], 0
-            for level, d in enumerate(t.directories):
-                for block in d.blocks():
-                    key = (level, *block[:3])
-                    if all(test(key[i]) for i, test in self.tests if not (i == 1 and not block[0])):
-                        part.append((level, *block))
-                        held += block[4]
-                        if held >= self.size:
-                            out.append(Blocks(path, part))
-                            part, held = [], 0
-            for level, d in enumerate(t.masks or t.external):
-                part += [(level, -1, *block[1:]) for block in d.blocks() if all(test((level, 0, *block[1:3])[i]) for i, test in self.tests)]
-            if part:
-                out.append(Blocks(path, part))
+            start, held, n = 0, 0, 0
+            for n, block in enumerate(self.wanted(parsed(path)), 1):
+                held += block[5]
+                if held >= self.size:
+                    out.append(Blocks(path, start, n))
+                    start, held = n, 0
+            if n > start:
+                out.append(Blocks(path, start, n))
         return out
 
     def read(self, partition: Blocks) -> Iterator[tuple]:
         head = parsed(partition.path)
         read = opened(partition.path)
         read_mask = opened(f"{partition.path}.msk") if head.external else read
-        for level, band, row, col, offset, count in partition.wanted:
+        for level, band, row, col, offset, count in islice(self.wanted(head), partition.start, partition.stop):
             d = ((head.masks or head.external) if band < 0 else head.directories)[level]
             bh, bw = d.block
             high, wide = min(bh, d.height - row * bh), min(bw, d.width - col * bw)
@@ -200,15 +217,7 @@ class CogWriter(DataSourceWriter):
                     levels.append({"entries": self.entries(w, h, side, bands, i, separate, masks), "counts": [where.get(k, ("", 0, 0))[2] for k in keys]})
         for name, (levels, order) in files.items():
             head, _ = tiff.layout(levels, self.tags() if name == self.path else [])
-            with open(f"{self.work}.tif", "wb") as out:
-                out.write(head)
-                for keys in reversed(order):
-                    for k in keys:
-                        file, at, size = where.get(k, ("", 0, 0))
-                        if size:
-                            with open(file, "rb") as f:
-                                f.seek(at)
-                                out.write(f.read(size))
+            put_together(f"{self.work}.tif", head, [where[k] for keys in reversed(order) for k in keys if k in where])
             os.replace(f"{self.work}.tif", name)
         if len(files) == 1 and os.path.exists(f"{self.path}.msk"):
             os.remove(f"{self.path}.msk")  # of the file that was there before
@@ -256,6 +265,43 @@ class CogWriter(DataSourceWriter):
         return out
 
 
+def put_together(target: str, head: bytes, ranges: list[tuple[str, int, int]], threads: int = 8) -> None:
+    """Write ``head`` and then ranges (file, offset, size) of other files to ``target``.
+
+    Ranges are copied by the operating system from file to file, several at a
+    time, so their bytes do not pass through this process where it can do so.
+    """
+    moves: dict[str, list[tuple[int, int, int]]] = {}
+    end = len(head)
+    for file, at, size in ranges:
+        if size:
+            moves.setdefault(file, []).append((at, end, size))
+            end += size
+    with open(target, "wb") as out:
+        out.write(head)
+        out.truncate(end)
+        out.flush()
+
+        def copy(file: str) -> None:
+            with open(file, "rb") as f:
+                for at, to, size in moves[file]:
+                    _copy_range(f.fileno(), out.fileno(), at, to, size)
+
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(copy, moves))
+
+
+def _copy_range(source: int, target: int, at: int, to: int, size: int) -> None:
+    while size:
+        try:
+            n = os.copy_file_range(source, target, size, at, to)
+        except (AttributeError, OSError):  # not between these file systems
+            n = os.pwrite(target, os.pread(source, min(size, 8 << 20), at), to)
+        if not n:
+            raise OSError("a part of the output ends too early")
+        at, to, size = at + n, to + n, size - n
+
+
 class CogSink(DataSource):
     """``df.write.format("cog").options(...).save(path)``."""
 

@@ -269,3 +269,17 @@ def test_mode_of_cells_by_brute_force(factor):
         left = [v for v in x[b][at][valid[at]].tolist() if v != 3]
         assert got[b, i, j] == (min(set(left), key=lambda v: (-left.count(v), v)) if left else 3)
     assert not ok[0, 0]
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_many_files_are_read_one_to_a_task(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(datasource, "FILES", 0 if whole else 64)
+    for i in range(3):
+        translate.cog_translate(spark, IMAGE + np.uint8(i), str(tmp_path / f"{i} a.tif"), profile(), quiet=True)
+    rows = spark.read.format("geotiff").option("partitionbytes", 20_000).load(str(tmp_path / "*.tif"))
+    got = {(r["path"], r["block_row"], r["block_col"], r["band"]): r for r in rows.where("level = 0").collect()}
+    assert len(got) == 3 * 3 * 4 * 3
+    for (path, i, j, b), r in got.items():
+        want = (IMAGE + np.uint8(int(path.rsplit("/", 1)[1][0])))[b - 1, i * 64 : (i + 1) * 64, j * 64 : (j + 1) * 64]
+        assert (np.frombuffer(r["data"], dtype=np.uint8).reshape(want.shape) == want).all()
+    assert headers.read_headers(spark, str(tmp_path)).where("driver = 'GTiff' and size(ifds) = 3").count() == 3
