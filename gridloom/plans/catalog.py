@@ -8,6 +8,7 @@ statuses, ``embeddings`` a 64-wide raster with a row for each vector, and
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +120,22 @@ def overview_mode(spark, sf_dir):
     return pixels.overview(status_pixels(spark, sf_dir), 2, "mode")
 
 
+#: The published kernels as SQL of a distance x.
+_KERNEL_SQL = {
+    "bilinear": "greatest(0.0, 1 - x)",
+    "cubic": "CASE WHEN x < 1 THEN 1.5 * x * x * x - 2.5 * x * x + 1 WHEN x < 2 THEN -0.5 * x * x * x + 2.5 * x * x - 4 * x + 2 ELSE 0.0 END",
+    "cubic_spline": "CASE WHEN x < 1 THEN (4 - 6 * x * x + 3 * x * x * x) / 6 WHEN x < 2 THEN (2 - x) * (2 - x) * (2 - x) / 6 ELSE 0.0 END",
+    "lanczos": "CASE WHEN x = 0 THEN 1.0 WHEN x < 3 THEN 3 * sin(pi() * x) * sin(pi() * x / 3) / (pi() * x * pi() * x) ELSE 0.0 END",
+    "gauss": "CASE WHEN x < 1.5 THEN exp(-2 * x * x) ELSE 0.0 END",
+}
+
+
 def _kernel_sql(method: str, factor: int) -> str:
-    table = ", ".join(f"({p}, {a}, CAST({w!r} AS DOUBLE))" for p, a, w in pixels.kernel_table(factor, method))
-    return f"""WITH k(place, away, w) AS (VALUES {table}), p AS ({VEC}),
+    return f"""WITH d AS (SELECT place, away, abs((place + 0.5) / {factor} - 0.5 - away) AS x FROM range(0, {factor}) a(place), range(-3, 4) b(away)),
+k AS (SELECT place, away, CAST(({_KERNEL_SQL[method]}) / {factor} AS DOUBLE) AS w FROM d), p AS ({VEC}),
 own AS (SELECT row // {factor} AS row, col // {factor} AS col, count(value) AS n_valid FROM p GROUP BY 1, 2),
 made AS (SELECT row // {factor} + y.away AS row, col // {factor} + x.away AS col, sum(y.w * x.w * value) AS s, sum(y.w * x.w) AS m
-  FROM p JOIN k y ON row % {factor} = y.place JOIN k x ON col % {factor} = x.place WHERE value IS NOT NULL GROUP BY 1, 2)
+  FROM p JOIN k y ON row % {factor} = y.place JOIN k x ON col % {factor} = x.place WHERE value IS NOT NULL AND y.w <> 0 AND x.w <> 0 GROUP BY 1, 2)
 SELECT own.row, own.col, n_valid, round(CASE WHEN abs(m) > 1e-9 AND n_valid > 0 THEN s / m END, 6) AS value FROM own LEFT JOIN made ON own.row = made.row AND own.col = made.col"""
 
 
@@ -353,12 +364,16 @@ def ifd_order(spark, sf_dir):
     return pixels.directory_rules(catalog_ifds(spark, sf_dir))
 
 
-def _checked(spark, sf_dir, strict: bool) -> DataFrame:
+def _checked_rows(spark, sf_dir, strict: bool) -> DataFrame:
     levels = validate.level_arrays(catalog_ifds(spark, sf_dir).drop("first_data"), catalog_blocks(spark, sf_dir))
     kind = F.when(F.col("path") % 19 == 0, "PNG").otherwise("GTiff")
     ghost = F.create_map(F.lit("KNOWN_INCOMPATIBLE_EDITION"), F.when(F.col("path") % 23 == 0, "YES").otherwise("NO"))
     rows = levels.select("path", kind.alias("driver"), "levels", ghost.alias("ghost"), (F.col("path") % 29 == 0).alias("has_sidecar"))
-    return validate.validate(rows, strict).select("path", "valid", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"))
+    return validate.validate(rows, strict)
+
+
+def _checked(spark, sf_dir, strict: bool) -> DataFrame:
+    return _checked_rows(spark, sf_dir, strict).select("path", "valid", F.size("errors").cast("long").alias("n_errors"), F.size("warnings").cast("long").alias("n_warnings"))
 
 
 def _checked_sql(strict: bool) -> str:
@@ -383,20 +398,49 @@ def validate_strict(spark, sf_dir):
     return _checked(spark, sf_dir, True)
 
 
+_MESSAGES = f"""WITH h AS ({HEADERS}), x AS (SELECT *, lag(ifd_offset) OVER o AS above, lead(first_data) OVER o AS below, lead(level) OVER o AS deeper, max(level) OVER (PARTITION BY path) AS last, lead(decimation) OVER o AS next_dec FROM h WINDOW o AS (PARTITION BY path ORDER BY level)),
+m AS (
+  SELECT path, 1 AS a, 0 AS b, 'overviews are in an external .ovr file' AS t FROM x WHERE level = 0 AND path % 29 = 0
+  UNION ALL SELECT path, 2, 0, 'the raster is larger than 512 x 512 and not tiled' FROM x WHERE level = 0 AND width > 512 AND height > 512 AND block_w = width
+  UNION ALL SELECT path, 3, 0, 'the first directory begins at ' || ifd_offset || ', beyond 300' FROM x WHERE level = 0 AND ifd_offset > 300
+  UNION ALL SELECT path, 4, 0, 'the file had an optimized layout that a later edit broke' FROM x WHERE level = 0 AND path % 23 = 0
+  UNION ALL SELECT DISTINCT path, 5, 0, 'overviews are not sorted by size' FROM x WHERE level > 0 AND next_dec < decimation
+  UNION ALL SELECT path, 6, level * 2, 'overview ' || (level - 1) || ' has the decimation ' || decimation FROM x WHERE level > 0 AND decimation <= 1
+  UNION ALL SELECT path, 6, level * 2 + 1, 'the directory of overview ' || (level - 1) || ' begins at ' || ifd_offset || ', before that of ' || CASE WHEN level = 1 THEN 'the full resolution' ELSE 'overview ' || (level - 2) END || ' at ' || above FROM x WHERE ifd_offset < above
+  UNION ALL SELECT path, 7, 0, 'data of level ' || level || ' begin at ' || first_data || ', before the last directory at ' || ifd_offset FROM x WHERE level = last AND first_data < ifd_offset
+  UNION ALL SELECT path, 8, -level, 'data of overview ' || (level - 1) || ' begin before those of overview ' || (deeper - 1) FROM x WHERE level > 0 AND first_data < below
+  UNION ALL SELECT path, 9, 0, 'data of the full resolution begin before those of overview ' || (deeper - 1) FROM x WHERE level = 0 AND first_data < below
+  UNION ALL SELECT path, 10, level, 'overview ' || (level - 1) || ' is not tiled' FROM x WHERE level > 0 AND width > 512 AND height > 512 AND block_w = width
+)
+SELECT path, CASE WHEN path % 19 = 0 THEN 'the file is not a GeoTIFF' ELSE coalesce((SELECT string_agg(t, '; ' ORDER BY a, b) FROM m WHERE m.path = h.path), '') END AS errors,
+CASE WHEN path % 19 <> 0 AND width > 512 AND height > 512 AND NOT EXISTS (SELECT 1 FROM h o WHERE o.path = h.path AND o.level > 0) THEN 'the raster is larger than 512 x 512 and has no overviews' ELSE '' END AS warnings
+FROM h WHERE level = 0"""
+
+
+@query(_MESSAGES)
+def validate_messages(spark, sf_dir):
+    """The validator's messages, in its order."""
+    return _checked_rows(spark, sf_dir, False).select("path", F.array_join("errors", "; ").alias("errors"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 # Tags, bands, profiles, policy ------------------------------------------------
 
 
 @query(
-    """SELECT p_partkey AS path, 'area=' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END || ';name=' || p_name || ';overview_resampling=NEAREST' AS tags FROM part"""
+    """SELECT p_partkey AS path, 'OVERVIEW_RESAMPLING=NEAREST;' || CASE WHEN p_size % 3 = 0 THEN 'TILING_SCHEME_NAME=WebMercatorQuad;TILING_SCHEME_ZOOM_LEVEL=' || (p_size % 20) || ';' ELSE '' END
+|| 'area=' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_brand END || ';name=' || p_name AS tags FROM part"""
 )
 def tag_merge(spark, sf_dir):
-    mine = F.create_map(F.lit("name"), F.col("p_name"), F.lit("area"), F.col("p_brand"), F.lit("overview_resampling"), F.lit("CUBIC"))
-    later = [F.create_map(F.lit("overview_resampling"), F.lit("NEAREST")), F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("area"), F.col("p_type"))).otherwise(F.create_map().cast("map<string,string>"))]
-    for extra in later:
-        names = F.map_keys(extra)
-        mine = F.map_concat(F.map_filter(mine, lambda k, _: ~F.array_contains(names, k)), extra)
-    lines = F.transform(F.array_sort(F.map_entries(mine)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.array_join(lines, ";").alias("tags"))
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, size, name, brand, kind in zip(*(batch.column(c).to_pylist() for c in ("p_partkey", "p_size", "p_name", "p_brand", "p_type"))):
+                tms = grid.WEB_MERCATOR if size % 3 == 0 else None
+                tags = policy.merged_tags({"name": name, "area": brand, "OVERVIEW_RESAMPLING": "CUBIC"}, "nearest", tms, size % 20, None, {"area": kind} if size % 2 == 0 else None)
+                out.append((path, ";".join(f"{k}={v}" for k, v in sorted(tags.items()))))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["path", "tags"])
+
+    return _read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_type").mapInArrow(run, "path long, tags string")
 
 
 @query("SELECT p_partkey AS path, CASE WHEN p_size % 3 = 0 THEN 'Image Structure' WHEN p_size % 3 = 1 THEN 'Rpc' ELSE 'Tiling Scheme V2' END AS title FROM part")
@@ -418,7 +462,13 @@ def band_metadata(spark, sf_dir):
     return rows.select("path", F.size("bands").alias("n_bands"), info.has_alpha(F.col("bands")).alias("alpha"), F.array_join(info.non_alpha(F.col("bands")).cast("array<string>"), ",").alias("colour_bands"), F.array_join(F.transform(kept, lambda b: F.concat(b["band"].cast("string"), F.lit(":"), b["description"])), "|").alias("descriptions"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {repr(c) if c else 'NULL'}, {repr(p) if p else 'NULL'}, '{i}', {b}, {'true' if o else 'false'})" for n, c, p, i, b, o in profiles.rows()) + ") v(profile, compress, photometric, interleave, block, rare_codec)")
+@query(
+    """SELECT * FROM (VALUES
+('jpeg', 'JPEG', 'YCbCr', 'pixel', 512, false), ('webp', 'WEBP', NULL, 'pixel', 512, true), ('zstd', 'ZSTD', NULL, 'pixel', 512, true),
+('lzw', 'LZW', NULL, 'pixel', 512, false), ('deflate', 'DEFLATE', NULL, 'pixel', 512, false), ('packbits', 'PACKBITS', NULL, 'pixel', 512, false),
+('lzma', 'LZMA', NULL, 'pixel', 512, false), ('lerc', 'LERC', NULL, 'pixel', 512, true), ('lerc_deflate', 'LERC_DEFLATE', NULL, 'pixel', 512, true),
+('lerc_zstd', 'LERC_ZSTD', NULL, 'pixel', 512, true), ('raw', NULL, NULL, 'pixel', 512, false)) v(profile, compress, photometric, interleave, block, rare_codec)"""
+)
 def profile_lookup(spark, sf_dir):
     return spark.createDataFrame(profiles.rows(), "profile string, compress string, photometric string, interleave string, block int, rare_codec boolean")
 
