@@ -41,7 +41,7 @@ def cut(tiles: DataFrame, source_block: tuple[int, int], block: int) -> DataFram
                         y0, x0 = max(top, r * block), max(left, c * block)
                         part = x[y0 - top : (r + 1) * block - top, x0 - left : (c + 1) * block - left]
                         out.append((0, r, c, y0 - r * block, x0 - c * block, row["band"], *part.shape, row["dtype"], np.ascontiguousarray(part).tobytes()))
-            yield _batch(out, PIECE)
+            yield batch_of(out, PIECE)
 
     return tiles.mapInArrow(run, PIECE)
 
@@ -49,7 +49,8 @@ def cut(tiles: DataFrame, source_block: tuple[int, int], block: int) -> DataFram
 _ARROW = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch of BLOCK, PIECE or the like."""
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, type=_ARROW[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
@@ -81,7 +82,7 @@ def assemble(pieces: DataFrame, block: int, bands: tuple[int, ...], alpha: int |
             top = 255 if kind.kind != "f" else 255.0
             out.append((valid * top).astype(kind))
         first = rows[0]
-        return pa.Table.from_batches([_batch([(0, first["block_row"], first["block_col"], np.stack(out).tobytes(), valid.astype(np.uint8).tobytes())], BLOCK)])
+        return pa.Table.from_batches([batch_of([(0, first["block_row"], first["block_col"], np.stack(out).tobytes(), valid.astype(np.uint8).tobytes())], BLOCK)])
 
     return pieces.groupBy("level", "block_row", "block_col").applyInArrow(run, BLOCK)
 
@@ -150,7 +151,13 @@ def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int,
                 small, ok = reduced(x, np.frombuffer(r["valid"], dtype=np.uint8).reshape(block, block) > 0, factor, method, nodata)
                 small = np.where(ok, small, kind.type(fill))
                 out.append((level, r["block_row"] // factor, r["block_col"] // factor, r["block_row"] % factor * side, r["block_col"] % factor * side, 0, side, side, dtype, small.tobytes() + ok.astype(np.uint8).tobytes()))
-            yield _batch(out, PIECE)
+            yield batch_of(out, PIECE)
+
+    return joined(blocks.mapInArrow(shrink, PIECE), level, block, side, bands, kind, fill)
+
+
+def joined(pieces: DataFrame, level: int, block: int, side: int, bands: int, kind: np.dtype, fill: float) -> DataFrame:
+    """Blocks of square pieces of all bands, each with its validity after its values."""
 
     def join(table: pa.Table) -> pa.Table:
         x, ok = np.full((bands, block, block), fill, dtype=kind), np.zeros((block, block), dtype=np.uint8)
@@ -159,10 +166,9 @@ def overview(blocks: DataFrame, level: int, factor: int, block: int, bands: int,
             cutoff = bands * side * side * kind.itemsize
             x[(slice(None), *at)] = np.frombuffer(r["data"][:cutoff], dtype=kind).reshape(bands, side, side)
             ok[at] = np.frombuffer(r["data"][cutoff:], dtype=np.uint8).reshape(side, side)
-        first = r
-        return pa.Table.from_batches([_batch([(level, first["block_row"], first["block_col"], x.tobytes(), ok.tobytes())], BLOCK)])
+        return pa.Table.from_batches([batch_of([(level, r["block_row"], r["block_col"], x.tobytes(), ok.tobytes())], BLOCK)])
 
-    return blocks.mapInArrow(shrink, PIECE).groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
+    return pieces.groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
 
 
 def reblocked(blocks: DataFrame, block: int, new: int, bands: int, dtype: str) -> DataFrame:
@@ -184,7 +190,7 @@ def reblocked(blocks: DataFrame, block: int, new: int, bands: int, dtype: str) -
                         at = slice(y - top, (i + 1) * new - top), slice(z - left, (j + 1) * new - left)
                         part, valid = x[(slice(None), *at)], ok[at]
                         out.append((r["level"], i, j, y - i * new, z - j * new, 0, *valid.shape, dtype, part.tobytes() + valid.tobytes()))
-            yield _batch(out, PIECE)
+            yield batch_of(out, PIECE)
 
     def join(table: pa.Table) -> pa.Table:
         x, ok = np.zeros((bands, new, new), dtype=kind), np.zeros((new, new), dtype=np.uint8)
@@ -193,7 +199,7 @@ def reblocked(blocks: DataFrame, block: int, new: int, bands: int, dtype: str) -
             at, cutoff = (slice(r["at_row"], r["at_row"] + h), slice(r["at_col"], r["at_col"] + w)), bands * h * w * kind.itemsize
             x[(slice(None), *at)] = np.frombuffer(r["data"][:cutoff], dtype=kind).reshape(bands, h, w)
             ok[at] = np.frombuffer(r["data"][cutoff:], dtype=np.uint8).reshape(h, w)
-        return pa.Table.from_batches([_batch([(r["level"], r["block_row"], r["block_col"], x.tobytes(), ok.tobytes())], BLOCK)])
+        return pa.Table.from_batches([batch_of([(r["level"], r["block_row"], r["block_col"], x.tobytes(), ok.tobytes())], BLOCK)])
 
     return blocks.mapInArrow(split, PIECE).groupBy("level", "block_row", "block_col").applyInArrow(join, BLOCK)
 
@@ -231,7 +237,7 @@ def from_pixels(pixels: DataFrame, level: int, block: int, bands: int, dtype: st
         at = row % block, col % block
         x[band[here] - 1, at[0][here], at[1][here]] = saturate(value[here], kind)
         ok[at[0][here], at[1][here]] = 1
-        return pa.Table.from_batches([_batch([(level, int(row[0] // block), int(col[0] // block), x.tobytes(), ok.tobytes())], BLOCK)])
+        return pa.Table.from_batches([batch_of([(level, int(row[0] // block), int(col[0] // block), x.tobytes(), ok.tobytes())], BLOCK)])
 
     return pixels.groupBy(F.floor(F.col("row") / block).alias("r"), F.floor(F.col("col") / block).alias("c")).applyInArrow(run, BLOCK)
 
@@ -252,6 +258,6 @@ def output_rows(blocks: DataFrame, bands: int, block: int, dtype: str, separate:
                     out.append((*key, 0, np.ascontiguousarray(x.transpose(1, 2, 0)).tobytes()))
                 if mask:
                     out.append((*key, -1, (np.frombuffer(r["valid"], dtype=np.uint8) * 255).tobytes()))
-            yield _batch(out, schema)
+            yield batch_of(out, schema)
 
     return blocks.mapInArrow(run, schema)

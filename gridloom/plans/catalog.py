@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid, profiles
-from gridloom.operators import info, pixels, tiles, validate, warp
+from gridloom.operators import info, pixels, resample, tiles, validate, warp
 from gridloom.plans import policy
 
 QUERIES: dict = {}
@@ -542,3 +542,34 @@ def _warp_query(method: str, sql: str):
 
 for _m, _sql in _WARP_SQL.items():
     _warp_query(_m, _sql)
+
+
+# The same in blocks, as files are translated -------------------------------------
+
+
+def vector_blocks(spark, sf_dir) -> DataFrame:
+    return tiles.from_pixels(vector_pixels(spark, sf_dir).withColumn("band", F.lit(1)), 0, 32, 1, "float64")
+
+
+def _unblocked(blocks: DataFrame, width: int, height: int) -> DataFrame:
+    return _rounded(tiles.to_pixels(blocks, 32, 1, "float64", width, height).select("row", "col", "value"), 6)
+
+
+def _blocks_query(name: str, sql: str, overview: bool):
+    def run(spark, sf_dir):
+        height = _read(spark, sf_dir, "embeddings").count()  # ids are dense
+        if overview:
+            made = resample.kernel_overview(vector_blocks(spark, sf_dir), 32, 1, "float64", (height, 64), 2, name, 1)
+            return _unblocked(made, 32, -(-height // 2)).where("value is not null")
+        out = int(height / _STEP), 25
+        place = resample.placing((_STEP, 0.0, 0.0, 0.0, _STEP, 0.0), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+        made = resample.resample(vector_blocks(spark, sf_dir), 32, 1, "float64", (height, 64), out, place, name, (_STEP, _STEP))
+        return _unblocked(made, out[1], out[0]).where("value is not null")
+
+    query(f"SELECT row, col, value FROM ({sql}) WHERE value IS NOT NULL", f"blocks_{'overview' if overview else 'warp'}_{name}")(run)
+
+
+for _m in ("cubic", "lanczos", "gauss"):
+    _blocks_query(_m, _kernel_sql(_m, 2), True)
+for _m, _sql in _WARP_SQL.items():
+    _blocks_query(_m, _sql, False)

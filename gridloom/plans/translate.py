@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
-from gridloom.operators import headers, info, pixels, tiles, validate, warp
+from gridloom.operators import headers, info, pixels, resample, tiles, validate, warp
 from gridloom.plans import policy
 from gridloom.sources import datasource, tiff
 
@@ -87,8 +87,7 @@ def cog_translate(
     """Write ``source`` (a path, an array of bands, rows, columns, or tile rows with their ``policy.Source``) as a cloud-optimized file.
 
     The header settles the plan on the driver; blocks are read, cut to the
-    output's blocks, reduced and encoded by the executors.  Warping and
-    resampling by kernels go through rows of pixels.
+    output's blocks, warped, reduced and encoded by the executors.
 
     ``config`` knows GDAL_TIFF_INTERNAL_MASK (off: the mask goes to a file
     beside the output, its name with .msk added) and GDAL_TIFF_OVR_BLOCKSIZE.
@@ -138,12 +137,11 @@ def cog_translate(
         moved = warp.moved_bounds(box, src_epsg, target_epsg)
         res = max(abs(a), abs(e)) if src_epsg in (None, target_epsg) else warp.suggested_resolution(src_transform, width, height, src_epsg, target_epsg)
         out = grid.aligned(moved, res, zoom_level_strategy, zoom_level, aligned_levels, tms)
-        target = warp.source_place(warp.output_grid(spark, out["width"], out["height"]), out["transform"], src_transform, target_epsg, src_epsg)
         cell = abs(out["transform"][0])
         scale = cell * height / (moved[3] - moved[1]), cell * width / (moved[2] - moved[0])
-        found = warp.warp(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height, band_nodata), target, resampling, ("band",), scale)
+        where = resample.placing(out["transform"], src_transform, target_epsg, src_epsg)
+        blocks = resample.resample(blocks, block, n_bands, plan.dtype, (height, width), (out["height"], out["width"]), where, resampling, scale, 0, fill, band_nodata)
         width, height, place, out_epsg, zoom = out["width"], out["height"], out["transform"], target_epsg, out["zoom"]
-        blocks = tiles.from_pixels(found, 0, block, n_bands, plan.dtype, fill)
         if overview_level is None:
             plan.levels = [decimation_base**j for j in range(1, grid.overview_levels(width, height, block) + 1)]
     if use_cog_driver:
@@ -157,8 +155,7 @@ def cog_translate(
     levels = [blocks]
     for i, factor in enumerate(plan.levels, 1):
         if overview_resampling in pixels.KERNELS or block % factor:
-            small = pixels.overview(tiles.to_pixels(blocks, block, n_bands, plan.dtype, width, height, band_nodata), factor, overview_resampling, ("band",))
-            levels.append(tiles.from_pixels(small, i, block, n_bands, plan.dtype, fill))
+            levels.append(resample.kernel_overview(blocks, block, n_bands, plan.dtype, (height, width), factor, overview_resampling, i, fill, band_nodata))
         else:
             levels.append(tiles.overview(blocks, i, factor, block, n_bands, plan.dtype, overview_resampling, fill, band_nodata))
     separate = str(plan.options.get("interleave", "pixel")).lower() == "band"
