@@ -33,7 +33,7 @@ END = "\ue000"
 BATCH_BYTES = 4 << 20
 NEVER = 1 << 40
 #: Bytes, about, of one generation of the cache; two generations are kept.
-CACHE = 56 << 20
+CACHE = 80 << 20
 #: Bytes, about, that a cached piece takes beside its letters and 8 for each token.
 ENTRY = 200
 #: Words of more bytes are merged one by one.
@@ -205,12 +205,12 @@ class WordBPE:
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
             exact.update(zip(part, self.merge_many([raw[i] for i in part])))
-        for i, (w, p) in enumerate(zip(words, proposals)):
-            self.keep(w, exact[i] if i in exact else tuple(p))
+        self.keep({w: exact[i] if i in exact else tuple(p) for i, (w, p) in enumerate(zip(words, proposals))})
 
-    def keep(self, piece: str, ids: tuple[int, ...]) -> None:
-        self.new[piece] = ids
-        self.held += ENTRY + len(piece) + 8 * len(ids)
+    def keep(self, found: dict[str, tuple[int, ...]]) -> None:
+        """Take pieces and their ids into the cache's newer generation."""
+        self.new.update(found)
+        self.held += ENTRY * len(found) + sum(map(len, found)) + 8 * sum(map(len, found.values()))
 
     # Texts -----------------------------------------------------------------
 
@@ -228,21 +228,15 @@ class WordBPE:
         if self.held > CACHE:
             self.old, self.new, self.held = self.new, {}, 0
         new, old = self.new, self.old
-        unknown = []
-        for c in chunks:
-            if c not in new:
-                if (ids := old.get(c)) is not None:
-                    self.keep(c, ids)
-                else:
-                    unknown.append(c)
+        missing = chunks - new.keys()
+        self.keep({c: old[c] for c in missing & old.keys()})
+        unknown = missing - old.keys()
         split = self.split.findall
         cut = {c: split(c) for c in unknown if not (c.isascii() and c.isalpha())}
         words = {w for ws in cut.values() for w in ws}
         words.update(c for c in unknown if c not in cut)
         self.learn([w for w in words if w not in new])
-        for c, ws in cut.items():
-            if len(ws) != 1:
-                self.keep(c, tuple(chain.from_iterable(new[w] for w in ws)))
+        self.keep({c: tuple(chain.from_iterable(new[w] for w in ws)) for c, ws in cut.items() if len(ws) != 1})
 
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Token ids and decoded text of each text."""
