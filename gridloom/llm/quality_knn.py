@@ -94,16 +94,17 @@ def fit(weights: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def vote(vectors: np.ndarray, voters: np.ndarray, labels: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """The similarity-weighted mean label of each vector's nearest voters; of all voters for a zero vector."""
+    """The similarity-weighted mean label of each vector's nearest voters, all those included that are as near as the last; of all voters for a zero vector."""
     base = float(labels.mean()) if len(labels) else 0.5
     out = np.full(len(vectors), base)
     k = min(neighbours, len(voters))
     for i in range(0, len(vectors), BLOCK) if k else ():
         cosine = vectors[i : i + BLOCK] @ voters.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4
-        total = w.sum(axis=1)
-        out[i : i + BLOCK] = np.where(total > 0, (w * labels[near]).sum(axis=1) / np.maximum(total, 1e-12), base)
+        last = np.partition(cosine, len(voters) - k, axis=1)[:, len(voters) - k]
+        row, near = np.nonzero(cosine >= last[:, None] - 1e-6)
+        w = np.maximum(cosine[row, near], 0).astype(np.float64) ** 4
+        total, good = (np.bincount(row, weights=x, minlength=len(cosine)) for x in (w, w * labels[near]))
+        out[i : i + BLOCK] = np.where(total > 0, good / np.maximum(total, 1e-12), base)
     return np.clip(out, 0, 1)
 
 
@@ -129,7 +130,8 @@ def score_quality(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", tex
                 at = [np.flatnonzero(v).astype(np.int32) for v in x]
                 yield pa.RecordBatch.from_arrays([batch.column("quality").slice(row, len(x)), pa.array(at, type=pa.list_(pa.int32())), pa.array(data, type=pa.list_(pa.float32()))], ["quality", "at", "weight"])
 
-    rows = train.limit(LABELLED).mapInArrow(tidy(weigh), "quality int, at array<int>, weight array<float>").toArrow()
+    train = train.orderBy(F.xxhash64("text"), "quality").limit(LABELLED)
+    rows = train.mapInArrow(tidy(weigh), "quality int, at array<int>, weight array<float>").toArrow()
     rows = rows.sort_by("quality")
     x = np.zeros((len(rows), TERMS), dtype=np.float32)
     for i, (at, w) in enumerate(zip(rows.column("at"), rows.column("weight"))):

@@ -208,3 +208,23 @@ def test_lists_grow_and_blocks_of_any_size_agree(spark, monkeypatch):
     got = {r["vec_id"]: r for r in nn_descent.near_vectors(rows).collect()}
     assert [got[i]["n_links"] for i in ids] == true.tolist() and true.max() > 10
     assert got[0]["component_id"] == got[(1 << 63) - 1]["component_id"] == -(1 << 63)
+
+
+def test_votes_by_brute_force():
+    """Similarity-weighted labels of the nearest voters, ties at the last place included, whatever the voters' order."""
+    from gridloom.llm import quality_knn
+
+    rng = np.random.default_rng(9)
+    voters = quality_knn.unit(rng.standard_normal((60, 8)).astype(np.float32))
+    voters[40:] = voters[20:40]  # ties
+    labels, vectors = rng.integers(0, 2, 60).astype(float), quality_knn.unit(rng.standard_normal((700, 8)).astype(np.float32))
+    vectors[5] = 0
+    want = []
+    for v in vectors.astype(float):
+        cosine = [sum(a * b for a, b in zip(v, q)) for q in voters.astype(float).tolist()]
+        last = sorted(cosine, reverse=True)[4]
+        w = [max(c, 0) ** 4 if c >= last - 1e-6 else 0.0 for c in cosine]
+        want.append(sum(x * y for x, y in zip(w, labels)) / sum(w) if sum(w) > 0 else labels.mean())
+    turn = rng.permutation(60)
+    assert np.allclose(quality_knn.vote(vectors, voters, labels, 5), want, atol=1e-4)
+    assert np.allclose(quality_knn.vote(vectors, voters[turn], labels[turn], 5), want, atol=1e-4)
