@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, minhash, mixing, pii, queries
@@ -21,15 +21,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_AT = 0.7
 
 
-#: What tells rows apart: ids may repeat or be null.
-KEY = F.xxhash64("doc_id", "text")
+def row_id() -> Column:
+    """What tells rows apart: ids may repeat or be null."""
+    return F.xxhash64("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below TOXIC_AT; each row is judged by its own text, whatever its id."""
-    scores = queries.toxicity_scores(spark, docs.select(KEY.alias("doc_id"), "text"), sf_dir)
+    scores = queries.toxicity_scores(spark, docs.select(row_id().alias("doc_id"), "text"), sf_dir)
     rejected = joinable(scores.where(F.col("score") >= TOXIC_AT).select(F.col("doc_id").alias("__key")).distinct())
-    return docs.withColumn("__key", KEY).join(rejected, "__key", "left_anti").select(COLUMNS)
+    return docs.withColumn("__key", row_id()).join(rejected, "__key", "left_anti").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id but not the text are judged each by its own text.
     Texts without words are in no group.
     """
-    keyed = docs.select(*COLUMNS, KEY.alias("__key"))
+    keyed = docs.select(*COLUMNS, row_id().alias("__key"))
     found = minhash.near_duplicates(keyed, "__key", k=5, num=80, den=100)
     classes = found.groupBy(F.col("doc_id").alias("__key")).agg(F.min("component_id").alias("class"))
     ids = keyed.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
