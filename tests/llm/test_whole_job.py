@@ -228,3 +228,17 @@ def test_votes_by_brute_force():
     turn = rng.permutation(60)
     assert np.allclose(quality_knn.vote(vectors, voters, labels, 5), want, atol=1e-4)
     assert np.allclose(quality_knn.vote(vectors, voters[turn], labels[turn], 5), want, atol=1e-4)
+
+
+@pytest.mark.parametrize("sizes", [[1000, 10, 500, 3], [5, 5, 5], [7], [0, 100, 0], [], [1, 10**6, 1], [10**6, 1, 1, 1, 1]])
+def test_targets_by_brute_force(sizes):
+    """The level at which shares by weight, none above twice the size, sum up to 150 %."""
+    from gridloom.llm import mixing
+
+    weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    at = lambda level: [min(level * w, 2 * s) for w, s in zip(weights, sizes)]
+    low, high = 0.0, 2.0 * sum(sizes) + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(at(middle)) < 1.5 * sum(sizes) else (low, middle)
+    assert np.allclose(mixing.targets(sizes), at(high), rtol=1e-9, atol=1e-6)
