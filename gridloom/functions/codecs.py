@@ -30,6 +30,8 @@ def compress(data: bytes, name: str | None) -> bytes:
             return packbits(data)
         case "LZW":
             return lzw(data)
+        case "JPEG":
+            raise CodecUnavailable("JPEG takes images, not bytes alone; see functions.jpeg")
     raise CodecUnavailable(f"no codec for {name} is installed")
 
 

@@ -175,7 +175,7 @@ def cog_translate(
         "width": width, "height": height, "bands": n_bands, "dtype": plan.dtype, "block": block, "overview_block": small_block, "mask": str(mask).lower(),
         "internal_mask": str(not policy.is_off(config, "GDAL_TIFF_INTERNAL_MASK")).lower(),
         "factors": ",".join(map(str, plan.levels)),
-        "meta": json.dumps({"compress": plan.options.get("compress"), "interleave": plan.options.get("interleave", "pixel"), "nodata": plan.nodata, "transform": place, "epsg": out_epsg, "colorinterp": interp, "colormap": (colormap or colors) if n_bands == 1 else None, "xml": tiff.metadata_xml({"": tags, **domains}, about)}),
+        "meta": json.dumps({"compress": plan.options.get("compress"), "interleave": plan.options.get("interleave", "pixel"), "photometric": plan.options.get("photometric"), "quality": next((v for k, v in plan.options.items() if k.lower() in ("jpeg_quality", "quality")), None), "nodata": plan.nodata, "transform": place, "epsg": out_epsg, "colorinterp": interp, "colormap": (colormap or colors) if n_bands == 1 else None, "xml": tiff.metadata_xml({"": tags, **domains}, about)}),
     }
     say(f"writing {dst_path}")
     writer = output.write.format("cog").mode("overwrite" if overwrite else "append")

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual, WriterCommitMessage
 
-from gridloom.functions import codecs
+from gridloom.errors import CodecUnavailable
+from gridloom.functions import codecs, jpeg
 from gridloom.sources import tiff
 
 TILE = "path string, level int, block_row int, block_col int, band int, height int, width int, dtype string, data binary"
@@ -171,7 +172,8 @@ class CogWriter(DataSourceWriter):
 
     Options: path, width, height, bands, dtype, block, factors (of the
     overviews, comma-separated), and as JSON in ``meta``: compress, interleave,
-    nodata, transform, epsg, colorinterp, colormap, xml.  With pixel
+    photometric, quality (of JPEG), nodata, transform, epsg, colorinterp, colormap,
+    xml.  With pixel
     interleaving ``data`` holds all bands of a block, band 0.  With the option
     ``mask`` band -1 holds the blocks of a mask, which goes to a file of its own
     (.msk) with ``internal_mask`` false.  ``overview_block`` is the block size of
@@ -184,13 +186,26 @@ class CogWriter(DataSourceWriter):
             raise FileExistsError(self.path)
         self.o, self.meta = dict(options), json.loads(options.get("meta", "{}"))
         self.work = f"{self.path}.{uuid.uuid4().hex}.parts"
+        separate = self.meta.get("interleave", "pixel").lower() == "band"
+        self.samples = 1 if separate else int(self.o["bands"])
+        self.jpeg = str(self.meta.get("compress") or "").upper() == "JPEG"
+        self.ycbcr = self.jpeg and self.samples == 3 and str(self.meta.get("photometric") or "").upper() == "YCBCR"
+        if self.jpeg and (self.samples not in (1, 3) or np.dtype(self.o["dtype"]) != np.uint8):
+            raise CodecUnavailable("JPEG takes one or three bands of bytes; choose bands and dtype, or interleave by band")
+
+    def packed(self, level: int, band: int, data: bytes) -> bytes:
+        """A block as it stands in the file; masks of JPEG files are deflated."""
+        if not self.jpeg or band < 0:
+            return codecs.compress(data, "DEFLATE" if self.jpeg else self.meta.get("compress"))
+        side = int(self.o.get("overview_block", self.o["block"]) if level else self.o["block"])
+        return jpeg.encode(np.frombuffer(data, dtype=np.uint8).reshape(side, side, self.samples), self.ycbcr, int(self.meta.get("quality") or jpeg.QUALITY))
 
     def write(self, iterator) -> Part:
         os.makedirs(self.work, exist_ok=True)
         name, found, at = f"{self.work}/{uuid.uuid4().hex}", [], 0
         with open(name, "wb") as f:
             for row in iterator:
-                data = codecs.compress(bytes(row["data"]), self.meta.get("compress")) if row["data"] is not None else b""
+                data = self.packed(row["level"], row["band"], bytes(row["data"])) if row["data"] is not None else b""
                 f.write(data)
                 found.append((row["level"], row["block_row"], row["block_col"], row["band"], at, len(data)))
                 at += len(data)
@@ -230,13 +245,13 @@ class CogWriter(DataSourceWriter):
         dtype, e = np.dtype(self.o["dtype"]), tiff.entry_bytes
         if mask:
             kind = [e(254, 4, 5 if level else 4), e(258, 3, 8), e(262, 3, 4), e(277, 3, 1), e(284, 3, 1), e(339, 3, 1)]
-            return [*kind, e(256, 4, w), e(257, 4, h), e(259, 3, codecs.TAGS[(self.meta.get("compress") or "").upper() or None]), e(322, 4, block), e(323, 4, block)]
+            return [*kind, e(256, 4, w), e(257, 4, h), e(259, 3, 8 if self.jpeg else codecs.TAGS[(self.meta.get("compress") or "").upper() or None]), e(322, 4, block), e(323, 4, block)]
         interp = self.meta.get("colorinterp") or ["gray"] * bands
-        rgb, palette = interp[:3] == ["red", "green", "blue"], bool(self.meta.get("colormap"))
+        rgb, palette = self.ycbcr or interp[:3] == ["red", "green", "blue"], bool(self.meta.get("colormap"))
         extra = bands - (3 if rgb else 1)
         out = [
             e(254, 4, 1 if level else 0), e(256, 4, w), e(257, 4, h), e(258, 3, [dtype.itemsize * 8] * bands), e(259, 3, codecs.TAGS[(self.meta.get("compress") or "").upper() or None]),
-            e(262, 3, 3 if palette else 2 if rgb else 1), e(277, 3, bands), e(284, 3, 2 if separate else 1), e(322, 4, block), e(323, 4, block),
+            e(262, 3, 3 if palette else 6 if self.ycbcr else 2 if rgb else 1), e(277, 3, bands), e(284, 3, 2 if separate else 1), e(322, 4, block), e(323, 4, block),
             e(339, 3, [{"u": 1, "i": 2, "f": 3}[dtype.kind]] * bands),
         ]
         if extra > 0:
@@ -245,6 +260,8 @@ class CogWriter(DataSourceWriter):
             table = {int(k): v for k, v in self.meta["colormap"].items()}
             n = 2 ** (dtype.itemsize * 8)
             out.append(e(320, 3, [table.get(i, (0, 0, 0))[c] * 257 for c in range(3) for i in range(n)]))
+        if self.ycbcr:
+            out.append(e(530, 3, [1, 1]))
         if self.meta.get("nodata") is not None:
             out.append(e(42113, 2, repr(self.meta["nodata"])))
         return out

@@ -12,7 +12,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 
-from gridloom.functions import codecs
+from gridloom.functions import codecs, jpeg
 
 #: Field type: (struct letter, bytes).
 _TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("s", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
@@ -252,6 +252,8 @@ def decode_block(d: Directory, row: int, data: bytes) -> np.ndarray:
         raw = np.frombuffer(codecs.decompress(data, d.compression, stride * bh), dtype=np.uint8)[: stride * bh].reshape(bh, stride)
         parts = np.unpackbits(raw, axis=1)[:, : bw * samples * bits].reshape(bh, bw * samples, bits)
         return (parts @ (1 << np.arange(bits - 1, -1, -1))).astype(np.uint8).reshape(bh, bw, samples)
+    if d.compression == "JPEG":
+        return jpeg.decode(data, d.get(262, 1) == 6, bytes(d.many(347)) or None)[:bh, :bw]
     size = bh * bw * samples * d.dtype.itemsize
     raw = codecs.decompress(data, d.compression, size)[:size]
     predictor = d.get(317, 1)

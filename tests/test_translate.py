@@ -1,3 +1,4 @@
+import contextlib
 import io
 import json
 
@@ -283,3 +284,26 @@ def test_many_files_are_read_one_to_a_task(spark, tmp_path, monkeypatch, whole):
         want = (IMAGE + np.uint8(int(path.rsplit("/", 1)[1][0])))[b - 1, i * 64 : (i + 1) * 64, j * 64 : (j + 1) * 64]
         assert (np.frombuffer(r["data"], dtype=np.uint8).reshape(want.shape) == want).all()
     assert headers.read_headers(spark, str(tmp_path)).where("driver = 'GTiff' and size(ifds) = 3").count() == 3
+
+
+@pytest.mark.parametrize("bands", [1, 3, 4])
+def test_jpeg_files(spark, tmp_path, bands):
+    """Lossy files with YCbCr, a mask from alpha, and overviews; read back and described."""
+    r, c = np.mgrid[0:150, 0:201]
+    x = np.stack([(r + c) % 200 + 20, r % 150 + 50, 255 - c, np.where(c < 100, 255, 0)])[:bands].astype(np.uint8)
+    if bands == 4:
+        source = str(tmp_path / "alpha.tif")
+        translate.cog_translate(spark, x, source, profile(), quiet=True)
+    out = str(tmp_path / "a.tif")
+    with pytest.warns(UserWarning) if bands != 3 else contextlib.nullcontext():
+        translate.cog_translate(spark, source if bands == 4 else x, out, profile("jpeg", JPEG_QUALITY=95), overview_resampling="average")
+    got, mask = pixels_of(out)
+    n = 1 if bands == 1 else 3
+    seen = x[:n, :, :100] if bands == 4 else x[:n]
+    assert got.shape[0] == n and np.abs(got[:, :, : seen.shape[2]].astype(int) - seen).mean() < 4
+    assert (mask is not None) == (bands == 4) and (mask is None or (mask[:, :100] == 255).all() and not mask[:, 100:].any())
+    row = translate.cog_info(spark, out)
+    assert row["COG"] and row["Compression"] == "JPEG" and row["ColorSpace"] == ("MINISBLACK" if n == 1 else "YCBCR")
+    assert row["Profile"]["ColorInterp"] == (["gray"] if n == 1 else ["red", "green", "blue"]) and pixels_of(out, 1)[0].shape == (n, 75, 101)
+    with pytest.raises(Exception, match="one or three bands of bytes"):
+        translate.cog_translate(spark, x.astype(np.float32), str(tmp_path / "b.tif"), profile("jpeg"))
