@@ -12,9 +12,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from gridloom.functions.profiles import cog_profiles  # noqa: E402
 from gridloom.plans.describe import get_data_offset, get_web_optimized_params, get_zooms, has_alpha_band, has_mask_band, non_alpha_indexes  # noqa: E402
-from gridloom.plans.translate import cog_info, cog_translate, cog_validate  # noqa: E402
+from gridloom.plans.translate import cog_in_memory, cog_info, cog_translate, cog_validate, warped_source  # noqa: E402
 
 __all__ = [
-    "cog_info", "cog_profiles", "cog_translate", "cog_validate",
+    "cog_in_memory", "cog_info", "cog_profiles", "cog_translate", "cog_validate", "warped_source",
     "get_data_offset", "get_web_optimized_params", "get_zooms", "has_alpha_band", "has_mask_band", "non_alpha_indexes",
 ]

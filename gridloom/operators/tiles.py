@@ -225,6 +225,27 @@ def to_pixels(blocks: DataFrame, block: int, bands: int, dtype: str, width: int,
     return blocks.mapInArrow(run, schema)
 
 
+TILE = "path string, level int, block_row int, block_col int, band int, height int, width int, dtype string, data binary"
+
+
+def tile_rows(blocks: DataFrame, block: int, bands: int, dtype: str, width: int, height: int, path: str, mask: bool) -> DataFrame:
+    """Blocks as the ``geotiff`` source gives them: a row for each band, cut to the raster's size, band 0 their validity if ``mask``."""
+    kind = np.dtype(dtype)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.frombuffer(r["data"], dtype=kind).reshape(bands, block, block).astype(kind.newbyteorder("<"))
+                ok = np.frombuffer(r["valid"], dtype=np.uint8).reshape(block, block) * np.uint8(255)
+                high, wide = min(block, height - r["block_row"] * block), min(block, width - r["block_col"] * block)
+                planes = [(b + 1, dtype, x[b]) for b in range(bands)] + [(0, "uint8", ok)] * mask
+                out += [(path, r["level"], r["block_row"], r["block_col"], b, high, wide, t, np.ascontiguousarray(p[:high, :wide]).tobytes()) for b, t, p in planes]
+            yield batch_of(out, TILE)
+
+    return blocks.mapInArrow(run, TILE)
+
+
 def from_pixels(pixels: DataFrame, level: int, block: int, bands: int, dtype: str, fill: float = 0.0) -> DataFrame:
     """Blocks of (band, row, col, value)."""
     kind = np.dtype(dtype)

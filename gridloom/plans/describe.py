@@ -24,7 +24,7 @@ def non_alpha_indexes(path: str) -> tuple[int, ...]:
 
 
 def _on_grid(path: str, tms: grid.TileMatrixSet) -> tuple[tuple[float, float, float, float], float, int, int]:
-    """(left, bottom, right, top) and resolution in the tile matrix set's system, width and height in pixels."""
+    """(left, bottom, right, top) and resolution in the tile matrix set's system, width and height in pixels there."""
     source, d, _ = describe_source(path)
     transform = warp.affine_from_gcps(d.gcps) if d.gcps else d.transform
     target = int(tms.crs.split(":")[1]) if tms.crs.startswith("EPSG:") else None
@@ -32,7 +32,9 @@ def _on_grid(path: str, tms: grid.TileMatrixSet) -> tuple[tuple[float, float, fl
     box = (min(c, c + a * source.width), min(f, f + e * source.height), max(c, c + a * source.width), max(f, f + e * source.height))
     same = d.epsg in (None, target)
     res = max(abs(a), abs(e)) if same else warp.suggested_resolution(transform, source.width, source.height, d.epsg, target)
-    return warp.moved_bounds(box, d.epsg, target), res, source.width, source.height
+    left, bottom, right, top = moved = warp.moved_bounds(box, d.epsg, target)
+    size = (source.width, source.height) if same else (max(1, round((right - left) / res)), max(1, round((top - bottom) / res)))
+    return moved, res, *size
 
 
 def get_zooms(path: str, tilesize: int = 256, tms: grid.TileMatrixSet = grid.WEB_MERCATOR, zoom_level_strategy: str = "auto") -> tuple[int, int]:

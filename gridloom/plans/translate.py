@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import warnings
 
 import numpy as np
@@ -209,6 +210,41 @@ def cog_info(spark: SparkSession, path: str, strict: bool = False, config: dict
     return info.info(headers.read_headers(spark, os.fspath(path)), strict).first()
 
 
+def warped_source(spark: SparkSession, path: str, transform: tuple[float, ...], width: int, height: int, epsg: int | None = None, resampling: str = "nearest", block: int = 512) -> tuple[DataFrame, policy.Source]:
+    """A file as it looks on another grid, as a source for ``cog_translate`` (with that transform and code); no pixel is read before one is asked for.
+
+    Cells without a valid source pixel hold nodata, where there is one, and are
+    out of the mask, which it has wherever the file has a mask or nothing that
+    says what is valid.
+    """
+    datasource.register(spark)
+    path = os.fspath(path)
+    src, d, _ = describe_source(path)
+    bands = tuple(range(1, src.count + 1))
+    alpha = next((i for i, c in enumerate(src.colorinterp, 1) if c == "alpha"), None)
+    validity = "nodata" if src.nodata is not None else "alpha" if alpha else "mask" if src.internal_mask else "all"
+    pieces = tiles.cut(spark.read.format("geotiff").load(path).where("level = 0"), d.block, block)
+    blocks = tiles.assemble(pieces, block, bands, alpha, src.nodata, src.dtype, validity, False)
+    own = warp.affine_from_gcps(d.gcps) if d.gcps else d.transform
+    place = resample.placing(transform, own, epsg, d.epsg)
+    high, wide = (abs(b - a) for a, b in zip(place(np.array([0.0]), np.array([0.0])), place(np.array([float(height)]), np.array([float(width)]))))
+    scale = float(high[0] / height), float(wide[0] / width)
+    fill = float(src.nodata or 0.0)
+    found = resample.resample(blocks, block, src.count, src.dtype, (src.height, src.width), (height, width), place, resampling, scale, 0, fill, src.nodata if validity == "nodata" else None)
+    masked = validity in ("mask", "all")
+    rows = tiles.tile_rows(found, block, src.count, src.dtype, width, height, path, masked)
+    return rows, policy.Source(width, height, src.count, src.dtype, src.nodata, src.colorinterp, masked)
+
+
+def cog_in_memory(spark: SparkSession, source, dst_kwargs: dict, folder: str | None = None, **options) -> bytes:
+    """What ``cog_translate`` would write, as bytes; it lies in ``folder``, which executors must mount, until it is read."""
+    if folder is None and ("cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local")):
+        raise ValueError("name a folder that all executors mount")
+    with tempfile.TemporaryDirectory(dir=folder) as made:
+        cog_translate(spark, source, f"{made}/out.tif", dst_kwargs, **options)
+        return cog_bytes(f"{made}/out.tif")
+
+
 def cog_bytes(path: str) -> bytes:
     """A written file's content, for those who want it in memory."""
     with open(datasource._file_path(path), "rb") as f:

@@ -307,3 +307,19 @@ def test_jpeg_files(spark, tmp_path, bands):
     assert row["Profile"]["ColorInterp"] == (["gray"] if n == 1 else ["red", "green", "blue"]) and pixels_of(out, 1)[0].shape == (n, 75, 101)
     with pytest.raises(Exception, match="one or three bands of bytes"):
         translate.cog_translate(spark, x.astype(np.float32), str(tmp_path / "b.tif"), profile("jpeg"))
+
+
+def test_warped_source_and_bytes(spark, tmp_path):
+    """A file seen on a grid of two-pixel cells, translated from there; and an output as bytes."""
+    source, out = str(tmp_path / "a.tif"), str(tmp_path / "b.tif")
+    translate.cog_translate(spark, IMAGE, source, profile(), transform=(10.0, 0.0, 0.0, 0.0, -10.0, 2000.0), epsg=3857, quiet=True)
+    place = (20.0, 0.0, -40.0, 0.0, -20.0, 2000.0)
+    rows, seen = gridloom.warped_source(spark, source, place, 80, 75, 3857, "average", 64)
+    assert (seen.width, seen.height, seen.internal_mask) == (80, 75, True)
+    translate.cog_translate(spark, (rows, seen), out, profile(), transform=place, epsg=3857, add_mask=True, quiet=True)
+    got, mask = pixels_of(out)
+    want = IMAGE.astype(float)[:, :150, :156].reshape(3, 75, 2, 78, 2).mean(axis=(2, 4))
+    assert np.abs(got[:, :, 2:80] - want[:, :, :78]).max() <= 0.5 and not mask[:, :2].any() and (mask[:, 2:80] == 255).all()
+    data = gridloom.cog_in_memory(spark, IMAGE, profile(), quiet=True)
+    (tmp_path / "c.tif").write_bytes(data)
+    assert (pixels_of(str(tmp_path / "c.tif"))[0] == IMAGE).all()
