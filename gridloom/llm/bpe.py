@@ -63,8 +63,9 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.special.items()}
         self.longest: dict[str, int] = {}
-        for t in self.vocab:
-            self.longest[t[:2]] = max(self.longest.get(t[:2], 0), len(t))
+        for t in self.vocab:  # by their first four letters, so that few lengths are tried in vain
+            if len(t) > 3:
+                self.longest[t[:4]] = max(self.longest.get(t[:4], 0), len(t))
         n = self.size = max(self.tokens) + 1
         self.rank, self.left, self.right = np.full(n, -1), np.arange(n), np.arange(n)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -94,10 +95,10 @@ class WordBPE:
 
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match, or None where no token fits."""
-        out, i, vocab, longest = [], 0, self.vocab, self.longest
-        while i < len(word):
-            for j in range(min(len(word), i + longest.get(word[i : i + 2], 1)), i, -1):
-                if (t := vocab.get(word[i:j])) is not None:
+        out, i, n, known, longest = [], 0, len(word), self.vocab.get, self.longest.get
+        while i < n:
+            for j in range(min(n, i + longest(word[i : i + 4], 3)), i, -1):
+                if (t := known(word[i:j])) is not None:
                     out.append(t)
                     i = j
                     break
