@@ -53,6 +53,8 @@ SYLLABLES = {
 #: Endings of made-up names by script and gender.
 ENDINGS = {("latin", "m"): "rdo", ("latin", "f"): "lina", ("cyrillic", "m"): "слав", ("cyrillic", "f"): "лина"}
 DOMAINS = ("example.com", "example.net", "example.org")
+#: Surrogates of so many characters in all are broadcast to the documents; more are joined by a shuffle, with equal results.
+BROADCAST_BYTES = 32 << 20
 
 
 def kind_of(value: Column) -> Column:
@@ -261,8 +263,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """``docs`` with entities in the text replaced, and the column ``n_entities`` (mentions, long).
 
     Null texts stay null and have 0 mentions.  Repeated rows give the same
-    text; null ids are carried through; other columns are left alone.  An empty
-    table gives an empty result.
+    text; null ids are carried through; other columns are left alone, but for one
+    of the name n_entities.  An empty table gives an empty result.
     """
     text = F.col(text_col)
     row = row_key(F.col(id_col), text)
@@ -274,9 +276,10 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     mentions = checkpoint(mentions.dropDuplicates(["__row", "place"]))
     surrogates = checkpoint(assign(mentions.select("kind", "canonical").distinct(), key))
     filled = mentions.join(surrogates, ["kind", "canonical"]).select("__row", "people", "place", written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new"))
-    filled = filled.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"), F.first("people").alias("__people"))
-    touched = docs.where(has).withColumn("__row", row).join(filled, "__row")
+    filled = checkpoint(filled.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]).alias("__new"), F.first("people").alias("__people")))
+    held = filled.agg(F.sum(64 + F.length(F.array_join("__new", "")) + F.length(F.array_join("__people", "")))).first()[0] or 0
     whole = F.array_join(F.transform(F.split(text, pattern_with(F.col("__people")), -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
-    touched = touched.withColumn("n_entities", F.size("__new").cast("long")).withColumn(text_col, whole).drop("__row", "__new", "__people")
-    rest = docs.where(~F.coalesce(has, F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
-    return touched.select(rest.columns).union(rest)
+    out = docs.withColumn("__row", row).join(F.broadcast(filled) if held <= BROADCAST_BYTES else filled, "__row", "left")
+    found = F.col("__new").isNotNull()
+    out = out.withColumn("n_entities", F.when(found, F.size("__new").cast("long")).otherwise(F.lit(0).cast("long"))).withColumn(text_col, F.when(found, whole).otherwise(text))
+    return out.select(*docs.columns, *["n_entities"] * ("n_entities" not in docs.columns))
