@@ -18,7 +18,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -30,12 +30,12 @@ from .common import tidy, worker_cache
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A character that is no byte letter, for the word end.
 END = "\ue000"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 NEVER = 1 << 40
 #: Bytes, about, of one generation of the cache; two generations are kept.
-CACHE = 80 << 20
-#: Bytes, about, that a cached piece takes beside its letters and 8 for each token.
-ENTRY = 200
+CACHE = 48 << 20
+#: Bytes, about, that a cached piece takes beside its letters and ids.
+ENTRY = 170
 #: Words of more bytes are merged one by one.
 LONG = 40
 
@@ -87,8 +87,9 @@ class WordBPE:
         self.split = regex.compile(SPLIT)
         self.spaces = regex.compile(r"\s+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.new: dict[str, bytes] = {}  # pieces and their ids, as bytes of this kind
+        self.old: dict[str, bytes] = {}
         self.held = self.exact = self.seen = 0
 
     # Words -----------------------------------------------------------------
@@ -206,12 +207,18 @@ class WordBPE:
         for k in range(0, len(short), 4096):
             part = short[k : k + 4096]
             exact.update(zip(part, self.merge_many([raw[i] for i in part])))
-        self.keep({w: exact[i] if i in exact else tuple(p) for i, (w, p) in enumerate(zip(words, proposals))})
+        self.keep(dict(zip(words, self.packed([exact[i] if i in exact else p for i, p in enumerate(proposals)]))))
 
-    def keep(self, found: dict[str, tuple[int, ...]]) -> None:
+    def packed(self, many: list[Sequence[int]]) -> list[bytes]:
+        """Lists of ids as bytes."""
+        flat = np.fromiter(chain.from_iterable(many), dtype=self.kind).tobytes()
+        ends = (np.cumsum([0, *map(len, many)]) * self.kind.itemsize).tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+    def keep(self, found: dict[str, bytes]) -> None:
         """Take pieces and their ids into the cache's newer generation."""
         self.new.update(found)
-        self.held += ENTRY * len(found) + sum(map(len, found)) + 8 * sum(map(len, found.values()))
+        self.held += ENTRY * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
 
     # Texts -----------------------------------------------------------------
 
@@ -237,26 +244,27 @@ class WordBPE:
         words = {w for ws in cut.values() for w in ws}
         words.update(c for c in unknown if c not in cut)
         self.learn([w for w in words if w not in new])
-        self.keep({c: tuple(chain.from_iterable(new[w] for w in ws)) for c, ws in cut.items() if len(ws) != 1})
+        self.keep({c: b"".join([new[w] for w in ws]) for c, ws in cut.items() if len(ws) != 1})
 
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
         """Token ids and decoded text of each text."""
+        ids, decoded = self.encode_arrays(texts)
+        return [i.tolist() for i in ids], decoded
+
+    def encode_arrays(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """``encode_batch`` with ids as arrays."""
         pieces = []
         for t in texts:
             parts = self.cut.split(t) if self.cut and "<|" in t else [t]
             pieces.append([p if i % 2 else self.chunks_of(p) for i, p in enumerate(parts)])
         self.prepare({c for ps in pieces for p in ps if isinstance(p, list) for c in p})
         known, token = self.new.__getitem__, self.tokens.__getitem__
+        special = {p: self.packed([[i]])[0] for p, i in self.special.items()}
         ids, decoded = [], []
         for ps in pieces:
-            found: list[int] = []
-            for p in ps:
-                if isinstance(p, str):
-                    found.append(self.special[p])
-                else:
-                    found.extend(chain.from_iterable(map(known, p)))
-            ids.append(found)
-            decoded.append(" ".join(map(token, found)))
+            found = b"".join([special[p] if isinstance(p, str) else b"".join(map(known, p)) for p in ps])
+            ids.append(np.frombuffer(found, dtype=self.kind))
+            decoded.append(" ".join(map(token, ids[-1].tolist())))
         return ids, decoded
 
     def decode(self, ids: list[int]) -> str:
@@ -281,9 +289,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         bpe = worker_cache("bpe", stamp, lambda: WordBPE(content.value))
         for whole in batches:
             for batch in _pieces(whole):
-                found, decoded = bpe.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+                found, decoded = bpe.encode_arrays([t or "" for t in batch.column("text").to_pylist()])
                 offsets = np.cumsum([0, *map(len, found)])
-                flat = pa.array(np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1])))
+                flat = pa.array(np.concatenate(found).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, type=pa.string())], ["doc_id", "token_ids", "decoded"])
 
