@@ -49,9 +49,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     """(first row, row count, byte offsets, bytes) of runs of documents."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    n = len(texts)
-    off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    if not pa.types.is_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    if texts.null_count:  # else the texts are not copied
+        texts = pc.fill_null(texts, "")
+    n, kind = len(texts), np.int32 if pa.types.is_string(texts.type) else np.int64
+    off = np.frombuffer(texts.buffers()[1] or bytes(8), dtype=kind)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     i = 0
     while i < n:
