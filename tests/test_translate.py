@@ -323,3 +323,23 @@ def test_warped_source_and_bytes(spark, tmp_path):
     data = gridloom.cog_in_memory(spark, IMAGE, profile(), quiet=True)
     (tmp_path / "c.tif").write_bytes(data)
     assert (pixels_of(str(tmp_path / "c.tif"))[0] == IMAGE).all()
+
+
+def test_tile_matrix_set_of_json_info_as_json_and_colour_map(spark, tmp_path):
+    doc = {"id": "Two", "crs": "http://www.opengis.net/def/crs/EPSG/0/3857", "tileMatrices": [
+        {"id": str(z), "cellSize": 200.0 / 2**z, "pointOfOrigin": [-1000.0, 2000.0], "tileWidth": 128, "tileHeight": 128, "matrixWidth": 2**z * 3, "matrixHeight": 2**z} for z in (1, 0)
+    ]}
+    tms = grid.TileMatrixSet.from_json(json.dumps(doc))
+    assert (tms.id, tms.crs, tms.cells, tms.matrix_width_0) == ("Two", "EPSG:3857", (200.0, 100.0), 3)
+    assert tms.tile(-1000.0 + 128 * 100 * 4.5, 2000.0 - 1, 1) == (4, 0) and tms.tile(1e9, -1e9, 1) == (5, 1) and tms.corner(1, 1, 0) == (24600.0, -23600.0)
+    old = {"identifier": "Old", "supportedCRS": "urn:x", "tileMatrix": [{"identifier": "0", "scaleDenominator": 1000.0, "topLeftCorner": [0, 0], "tileWidth": 256, "tileHeight": 256, "matrixWidth": 1, "matrixHeight": 1}]}
+    assert grid.TileMatrixSet.from_json(json.dumps(old)).cells == pytest.approx((0.28,))
+    out, colors = str(tmp_path / "a.tif"), {0: (0, 0, 0), 1: (255, 10, 20), 255: (9, 8, 7)}
+    translate.cog_translate(spark, (IMAGE[:1] > 99).astype(np.uint8), out, profile(), colormap=colors, quiet=True)
+    d = datasource.parsed(out).directories[0]
+    assert {k: tuple(v[:3]) for k, v in d.colormap().items() if k in colors} == colors and d.colorinterp() == ["palette"]
+    from gridloom.operators import info
+
+    row = info.info_json(info.info(headers.read_headers(spark, out))).first()
+    said = json.loads(row["json"])
+    assert row["Path"].endswith("a.tif") and said["Profile"]["ColorMap"] is True and said["COG"] is True and len(said["IFD"]) == 3
