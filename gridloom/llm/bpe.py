@@ -276,7 +276,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     ``vocabulary`` is the path of a vocabulary file on the driver; its content
     travels in the task closure (a fixed file of a few MB).  Null texts count
-    as empty: no ids and an empty decoded text.  Ids are carried through as
+    as empty: no ids and an empty decoded text.  A text of any length is encoded
+    whole, by itself where it exceeds BATCH_BYTES.  Ids are carried through as
     they are, null or repeated; an empty table gives an empty result.
     """
     with open(vocabulary, encoding="utf-8") as f:

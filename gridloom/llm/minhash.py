@@ -414,8 +414,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct k-word shingles (A-Z folded; a shorter text is one shingle).
     component_id is the smallest doc_id reachable.  Null, empty and blank texts
     have the empty set and are linked with nothing; rows with a null id are
-    linked with nothing, have a null component and are kept.  Repeated rows are
-    exact copies, so each gives the same result.  No rows, no result rows.
+    linked with nothing, have a null component and are kept.  Ids may be any of
+    bigint.  Texts of any length count whole; a task holds one at a time beside
+    its slices.  Repeated rows are exact copies, so each gives the same result.
+    No rows, no result rows.
     """
     share = num / den
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))

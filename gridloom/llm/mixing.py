@@ -150,7 +150,9 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The mix itself: (shard, slot, source_no, copy, block, parts), a row for each slot.
 
     ``parts`` lists the documents in the block: doc_id, the first word's number
-    in the document and the number of words.
+    in the document and the number of words.  Null and empty texts are in no
+    block, long ones in many; null sources, null ids and repeated rows are as in
+    ``taken_words``.  An empty table gives no slots.
     """
     documents, taken = plan(checkpoint(sized(docs, id_col, text_col, source_col)), seed)
     part = F.struct("start", "doc_id", F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0)).alias("first_word"), "words")

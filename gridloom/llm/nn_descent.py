@@ -358,7 +358,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     and rows with a null id link with nothing (0 links, a component of their
     own; a null id has a null component and is kept).  Repeated rows are equal
     vectors and count as links of each other.  Vectors of different lengths are
-    never linked.  An empty table gives an empty result.
+    never linked.  Ids may be any of bigint.  An empty table gives an empty result.
     """
     units = checkpoint(unit_vectors(vectors, id_col, vec_col))
     usable = units.where("vec is not null and vec_id is not null")
