@@ -417,7 +417,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing, have a null component and are kept.  Ids may be any of
     bigint.  Texts of any length count whole; a task holds one at a time beside
     its slices.  Repeated rows are exact copies, so each gives the same result.
-    No rows, no result rows.
+    Ids tell documents apart: of different texts under one id either may be
+    compared, so give such rows ids of their own, as the pipeline does.  No
+    rows, no result rows.
     """
     share = num / den
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
