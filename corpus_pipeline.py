@@ -19,6 +19,8 @@ from gridloom.llm.common import checkpoint, delete_folder, joinable, shared_fold
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose probability of being toxic reaches this go.
 TOXIC_AT = 0.7
+#: Bytes, about, of a generation of the encoder's cache and of a batch of texts, a quarter and half of its own: by the last stage an executor's heap has grown.
+ENCODER_CACHE, ENCODER_BATCH = 12 << 20, 1 << 19
 
 
 def row_id() -> Column:
@@ -64,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
-    return queries.token_digests(bpe.encode_documents(docs, queries.vocabulary_path()))
+    return queries.token_digests(bpe.encode_documents(docs, queries.vocabulary_path(), cache=ENCODER_CACHE, batch_bytes=ENCODER_BATCH))
 
 
 def _measured(docs: DataFrame) -> DataFrame:

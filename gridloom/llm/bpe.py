@@ -50,7 +50,7 @@ def byte_letters() -> list[str]:
 class WordBPE:
     """Encoder and decoder for one vocabulary file's content."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, cache: int = CACHE):
         import regex
 
         spec = json.loads(content)
@@ -90,6 +90,7 @@ class WordBPE:
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.new: dict[str, bytes] = {}  # pieces and their ids, as bytes of this kind
         self.old: dict[str, bytes] = {}
+        self.cache = cache
         self.held = self.exact = self.seen = 0
 
     # Words -----------------------------------------------------------------
@@ -233,7 +234,7 @@ class WordBPE:
 
     def prepare(self, chunks: set[str]) -> None:
         """Have every chunk's token ids in the newer generation of the cache."""
-        if self.held > CACHE:
+        if self.held > self.cache:
             self.old, self.new, self.held = self.new, {}, 0
         new, old = self.new, self.old
         missing = chunks - new.keys()
@@ -271,14 +272,15 @@ class WordBPE:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, token_ids array<int>, decoded string) of every whole text.
 
     ``vocabulary`` is the path of a vocabulary file on the driver; its content
     travels in the task closure (a fixed file of a few MB).  Null texts count
     as empty: no ids and an empty decoded text.  A text of any length is encoded
-    whole, by itself where it exceeds BATCH_BYTES.  Ids are carried through as
-    they are, null or repeated; an empty table gives an empty result.
+    whole, by itself where it exceeds ``batch_bytes``.  Ids are carried through as
+    they are, null or repeated; an empty table gives an empty result.  A smaller
+    ``cache`` (as CACHE) or batch takes less memory and more time; results are equal.
     """
     with open(vocabulary, encoding="utf-8") as f:
         read = f.read()
@@ -287,9 +289,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     ids = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = worker_cache("bpe", stamp, lambda: WordBPE(content.value))
+        bpe = worker_cache("bpe", (stamp, cache), lambda: WordBPE(content.value, cache))
         for whole in batches:
-            for batch in _pieces(whole):
+            for batch in _pieces(whole, batch_bytes):
                 found, decoded = bpe.encode_arrays([t or "" for t in batch.column("text").to_pylist()])
                 offsets = np.cumsum([0, *map(len, found)])
                 flat = pa.array(np.concatenate(found).astype(np.int32))
@@ -297,16 +299,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, type=pa.string())], ["doc_id", "token_ids", "decoded"])
 
     kind = dict(ids.dtypes)["doc_id"]
-    return ids.mapInArrow(tidy(run), f"doc_id {kind}, token_ids array<int>, decoded string")
+    return ids.mapInArrow(tidy(run, "bpe"), f"doc_id {kind}, token_ids array<int>, decoded string")
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with a few MB of text each."""
+def _pieces(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text each."""
     import pyarrow.compute as pc
 
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + BATCH_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + size, side="right")))
         yield batch.slice(i, j - i)
         i = j

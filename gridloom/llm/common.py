@@ -112,20 +112,34 @@ def worker_cache(owner: str, version: object, make):
     Workers outlive tasks and stages, so what an operator keeps would otherwise
     lie beside what all later ones need.
     """
-    kept = sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))  # stays where this module is sent by value and forgotten
+    kept = _kept()
     if getattr(kept, "of", None) != (owner, version):
-        kept.of = kept.value = None
-        gc.collect()
-        give_back()
+        _forget(kept)
         kept.value = make()
         kept.of = (owner, version)
     return kept.value
 
 
-def tidy(run):
-    """``run``, a function on Arrow batches, with memory given back when a task ends; workers wait for the next one with all they have."""
+def _kept() -> types.ModuleType:
+    """Where ``worker_cache`` keeps: it stays where this module is sent by value and forgotten."""
+    return sys.modules.setdefault("_gridloom_kept", types.ModuleType("_gridloom_kept"))
+
+
+def _forget(kept: types.ModuleType) -> None:
+    kept.of = kept.value = None
+    gc.collect()
+    give_back()
+
+
+def tidy(run, owner: str | None = None):
+    """``run``, a function on Arrow batches, with memory given back when a task ends; workers wait for the next one with all they have.
+
+    What ``worker_cache`` keeps for others than ``owner`` goes before the task begins.
+    """
 
     def all_of(batches):
+        if (getattr(kept := _kept(), "of", None) or (owner,))[0] != owner:
+            _forget(kept)
         try:
             yield from run(batches)
         finally:

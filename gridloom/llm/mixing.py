@@ -90,7 +90,9 @@ def plan(rows: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     blocks = [-(-s // BLOCK_WORDS) for s in sizes]
     quota = np.array([round(t * b / s) if s else 0 for t, s, b in zip(goal, sizes, blocks)], dtype=np.int64)
     table = [(r["source"], i, r["size"], float(goal[i]), -(-r["n"] // RUN)) for i, r in enumerate(totals)]
-    sources = spark.createDataFrame(table, "name string, source_no int, source_size long, target double, runs long")
+    kinds = {"name": pa.string(), "source_no": pa.int32(), "source_size": pa.int64(), "target": pa.float64(), "runs": pa.int64()}
+    # From Arrow, as rows of Python would start workers of another kind, which stay beside those of the operators.
+    sources = spark.createDataFrame(pa.table([pa.array([r[i] for r in table], type=kind) for i, kind in enumerate(kinds.values())], names=list(kinds)))
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(F.col("name"))).drop("name")
     placed = placed.withColumn("run", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), "runs"))
     before = placed.groupBy("source_no", "run").agg(F.sum("size").alias("words")).withColumn("part", F.expr(f"run div {RUNS}"))

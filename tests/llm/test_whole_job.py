@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import license_scan, nn_descent, pii, toxicity
+from gridloom.llm import bpe, common, license_scan, mixing, nn_descent, pii, queries, toxicity
 
 
 def pairs(n, others, dim=32, seed=5):
@@ -252,3 +252,41 @@ def test_targets_by_brute_force(sizes):
         middle = (low + high) / 2
         low, high = (middle, high) if sum(at(middle)) < 1.5 * sum(sizes) else (low, middle)
     assert np.allclose(mixing.targets(sizes), at(high), rtol=1e-9, atol=1e-6)
+
+
+def test_small_cache_of_the_encoder_gives_equal_ids(spark):
+    """The pipeline's encoder keeps a cache of its own, smaller size, and encodes as with the usual one."""
+    import corpus_pipeline as p
+
+    content = open(queries.vocabulary_path(), encoding="utf-8").read()
+    batches = [[" ".join(f"wo{i * 400 + k:x}rd's same" for k in range(400))] * 2 for i in range(30)]
+    usual, small = bpe.WordBPE(content), bpe.WordBPE(content, cache=200_000)
+    held = []
+    for texts in batches:
+        assert small.encode_batch(texts) == usual.encode_batch(texts)
+        held.append(small.held)
+    assert usual.held > 2_000_000 and max(held) < 600_000 and len(small.new) + len(small.old) < len(usual.new) / 3
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(batches)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["token_ids"] for r in bpe.encode_documents(rows, queries.vocabulary_path(), cache=1, batch_bytes=5000).collect()}
+    assert got == {i: usual.encode_batch(t)[0][0] for i, t in enumerate(batches)} | {None: []}
+    assert 2 * p.ENCODER_CACHE <= bpe.CACHE and p.ENCODER_BATCH < bpe.BATCH_BYTES
+
+
+def test_a_worker_drops_what_other_operators_keep():
+    import weakref
+
+    class Kept:
+        pass
+
+    gone = weakref.ref(common.worker_cache("one", 1, Kept))
+    assert list(common.tidy(iter, "one")([1, 2])) == [1, 2] and gone() is not None
+    assert list(common.tidy(iter)([1, 2])) == [1, 2] and gone() is None
+
+
+def test_sources_of_the_mix_start_no_workers_of_another_kind(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    rows = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", None), (3, None, "ß")], "doc_id long, text string, source string").localCheckpoint()
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("a table from rows of Python"))
+    got = {r["doc_id"]: (r["source_no"], r["size"], r["source_size"]) for r in mixing.taken_words(rows).collect()}
+    assert got == {1: (0, 3, 3), 2: (2, 2, 2), 3: (1, 0, 0)}
